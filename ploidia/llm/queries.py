@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, simhash
+from . import bpe, exact_dedup, fingerprints, simhash, token_store
 
 ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -27,11 +32,31 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir), k=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.write_store(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+    def digest(batches):
+        for b in batches:
+            ids = b.column(3)
+            flat, at = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
+            crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(crc, np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return token_store.read_documents(store).mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op5_fingerprints": op5_fingerprints,
         "op6_simhash": op6_simhash,
+        "op8_token_store": op8_token_store,
+        "op10_bpe": op10_bpe,
     }
 
 

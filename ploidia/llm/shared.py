@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def words_of(text: Column) -> Column:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the plan's leaves, to scale partition counts with the input."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def blocks_for(df: DataFrame, block_bytes: int) -> int:
@@ -72,3 +73,41 @@ def to_payload(table: pa.Table) -> bytes:
 
 def from_payload(payload) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload) if isinstance(payload, bytes) else payload).read_all()
+
+
+def packed_blocks(df: DataFrame, n_blocks: int, key: str, flush_bytes: int = 32 << 20) -> DataFrame:
+    """(block, payload): the rows of ``df`` by hash of ``key``, as zstd Arrow streams that shuffle small.
+
+    A row's block depends on its key alone, so a lost task yields the same blocks again.
+    """
+
+    def emit(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = table.column("__block").to_numpy()
+        table = table.drop_columns(["__block"])
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
+            payload = to_payload(table.take(pa.array(order[s:e])))
+            yield pa.RecordBatch.from_arrays([pa.array([at[order[s]]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+    def pack(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.nbytes
+            if size >= flush_bytes:
+                yield from emit(held)
+                held, size = [], 0
+        if held:
+            yield from emit(held)
+
+    keyed = df.withColumn("__block", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int"))
+    return keyed.mapInArrow(pack, "block int, payload binary")
+
+
+def unpacked(group: pa.Table) -> pa.Table:
+    """The rows of all payloads of one block."""
+    return pa.concat_tables([from_payload(x.as_buffer()) for x in group.column("payload")]).combine_chunks()
