@@ -191,3 +191,40 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = member.groupBy("label").agg(F.min("least").alias("component_id"))
     named = member.join(least, "label").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: a document goes if it is similar to one that stays.
+
+    Components of fingerprints within the radius are the candidate groups. In
+    each group the smallest id leads and stays; the members whose sets of
+    ``k``-word shingles have a Jaccard similarity of at least ``similarity`` to
+    the leader's go; the rest, if any, get a new leader, until none is left. A
+    round compares each member with one leader only, and is a written table.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256).alias("sha"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    grams = shingle_hashes(rows.select(F.struct("doc_id", "sha").alias("key"), "text"), "key", "text", k).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.sha").alias("sha"), "h")
+    fp = staged(fingerprints(rows.select(F.struct("doc_id", "sha").alias("key"), "text"), "key", "text", k).select("doc_id.doc_id", "doc_id.sha", "fp").distinct(), "near-fp")
+    classes = staged(fp.groupBy("fp").agg(F.count("*").alias("n")), "near-classes")
+    labels = components(classes.select(F.col("fp").alias("node")), staged(links(classes.select("fp"), radius), "near-links"))
+    # only groups of two documents or more need their shingles
+    groups = classes.join(labels, classes["fp"] == labels["node"]).select("fp", "n", "label")
+    large = groups.groupBy("label").agg(F.sum("n").alias("members")).where("members > 1").select("label")
+    member = staged(fp.join(groups.join(large, "label").select("fp", "label"), "fp").select("doc_id", "sha", "label"), "near-members")
+    same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.sha") == F.col(f"{b}.sha"))
+    left = staged(grams.alias("g").join(member.alias("m"), same("g", "m")).select("m.label", "g.doc_id", "g.sha", F.array_distinct("h").alias("h")).dropDuplicates(["label", "doc_id", "sha"]), "near-shingles")
+    gone = None
+    while not left.isEmpty():
+        first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "sha")
+        lead = staged(left.groupBy("label").agg(F.min_by(F.struct("doc_id", "sha", "h"), first).alias("lead")), "near-leaders")
+        both = left.join(lead, "label").withColumn("is_lead", F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("sha") == F.col("lead.sha")))
+        common = F.size(F.array_intersect("h", F.col("lead.h")))
+        union = F.size("h") + F.size("lead.h") - common
+        judged = staged(both.where("not is_lead").withColumn("goes", F.when(union == 0, F.lit(True)).otherwise(common >= similarity * union)).select("label", "doc_id", "sha", "h", "goes"), "near-judged")
+        part = judged.where("goes").select("doc_id", "sha")
+        gone = part if gone is None else gone.unionByName(part)
+        left = judged.where("not goes").drop("goes")
+    if gone is None:
+        return docs
+    gone = staged(gone, "near-gone")
+    return rows.alias("d").join(gone.alias("g"), same("d", "g"), "left_anti").select("row.*")
