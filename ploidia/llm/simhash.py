@@ -193,7 +193,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fp.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: a document goes if it is similar to one that stays.
 
     Components of fingerprints within the radius are the candidate groups. In
