@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,3 +112,13 @@ def packed_blocks(df: DataFrame, n_blocks: int, key: str, flush_bytes: int = 32
 def unpacked(group: pa.Table) -> pa.Table:
     """The rows of all payloads of one block."""
     return pa.concat_tables([from_payload(x.as_buffer()) for x in group.column("payload")]).combine_chunks()
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int):
+    """The batch in runs of rows of about ``limit`` bytes of text; a longer text is a run by itself."""
+    size = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end

@@ -29,13 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, staged
+from .shared import blocks_for, slices, staged
 
 #: Ids in a chunk.
 CHUNK = 1 << 16
 #: Stored input bytes that make a shard.
 SHARD_BYTES = 16 << 20
 LEVEL = 3
+#: Bytes of text encoded at once.
+SLICE = 4 << 20
 
 
 @lru_cache(maxsize=4)
@@ -127,7 +129,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         schema = None
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1, SLICE)):
             if schema is None:
                 schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(b.schema.field(0).type)), ("doc_starts", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary()))])
             ids, n = encode_texts(b.column(1), path)
