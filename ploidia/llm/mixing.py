@@ -154,7 +154,8 @@ class Mix:
                     slot = np.random.default_rng([seed, 1, shard]).permutation(len(k))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int64)), pa.array(slot.astype(np.int64)), pa.array(ix.astype(np.int32)), pa.array(at)], names=["shard", "slot", "source_ix", "block"])
 
-        self.slots = spark.range(0, shards if counts.sum() else 0, 1, max(1, min(shards, 1 << 14))).mapInArrow(draw, "shard bigint, slot bigint, source_ix int, block bigint")
+        # written, so that the planner knows its true size: it would broadcast what it believes as small as the range of shards
+        self.slots = staged(spark.range(0, shards if counts.sum() else 0, 1, max(1, min(shards, 1 << 14))).mapInArrow(draw, "shard bigint, slot bigint, source_ix int, block bigint"), "mix-slots")
 
     def taken(self) -> DataFrame:
         """doc_id, rid, size, source, source_size, target, taken: words that the mix takes, repeats counted."""
