@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import slices, small_batches, staged
 
 RARE, MIN_LINE, MIN_BLOCK = 64, 24, 48
 
@@ -100,6 +100,7 @@ def common_blocks(a: list, b: list, weight: np.ndarray, least: int) -> list[int]
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
     """One row per document: doc_id, text, h and n (hash and length of each line), gone (positions), common (hashes that go)."""
+    small_batches(docs)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), lines.alias("l"))
@@ -110,24 +111,28 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     later = held.join(shared, ["h", "n"]).where("rid <> first.rid")
     found = staged(later.select("rid", "h", "df", F.col("first.rid").alias("a")), "lines-found")
     pairs = found.where(F.col("df") <= rare).select("a", F.col("rid").alias("b")).distinct()
+    # merge joins at every size: these sides hold whole documents' lines and texts, and grow with the input
     of = rows.select("rid", "h", "n")
-    two = pairs.join(of.select(F.col("rid").alias("a"), F.col("h").alias("ha")), "a").join(of.select(F.col("rid").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb")), "b").select("b", "ha", "hb", "nb")
+    two = pairs.join(of.select(F.col("rid").alias("a"), F.col("h").alias("ha")).hint("merge"), "a").join(of.select(F.col("rid").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb")).hint("merge"), "b").select("b", "ha", "hb", "nb")
 
     def align(batches):
         for batch in batches:
             rid, gone = [], []
-            for b, ha, hb, nb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                got = common_blocks(ha, hb, nb.values.to_numpy(), min_block)
+            key = batch.column(0).to_numpy()
+            # row by row: only one pair's lines become Python objects at a time
+            (fa, oa), (fb, ob), (fn, on) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[1:4])
+            for i in range(batch.num_rows):
+                got = common_blocks(fa[oa[i] : oa[i + 1]].tolist(), fb[ob[i] : ob[i + 1]].tolist(), fn[on[i] : on[i + 1]], min_block)
                 if got:
-                    rid.append(b)
-                    gone.append(got)
+                    rid.append(key[i])
+                    gone.append(np.array(got, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
     aligned = two.mapInArrow(align, "rid bigint, gone array<int>").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     # a frequent line goes by itself; it is a block if it is long enough
     common = found.where(F.col("df") > rare).join(shared.where(F.col("n") >= min_block).select("h").distinct(), "h", "left_semi").groupBy("rid").agg(F.collect_list("h").alias("common"))
     marks = staged(aligned.join(common, "rid", "full_outer"), "lines-marks")
-    return rows.join(marks, "rid", "left").select("doc_id", "text", "h", "n", "gone", "common")
+    return rows.join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "h", "n", "gone", "common")
 
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
@@ -136,15 +141,15 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = marked.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1, 1 << 20)):
             n, removed, kept = [], [], []
-            for text, h, size, gone, common in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), b.column(5), strict=True):
-                hashes = h.values.to_numpy()
+            for i in range(b.num_rows):
+                text, hashes, size, gone, common = b.column(1)[i].as_py(), b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy(), b.column(4)[i], b.column(5)[i]
                 out = np.zeros(len(hashes), bool)
                 if gone.is_valid:
                     out[gone.values.to_numpy()] = True
                 if common.is_valid:
-                    out |= np.isin(hashes, common.values.to_numpy()) & (size.values.to_numpy() >= min_block)
+                    out |= np.isin(hashes, common.values.to_numpy()) & (size >= min_block)
                 n.append(len(hashes))
                 removed.append(np.flatnonzero(out).astype(np.int32))
                 kept.append(text if not out.any() else "\n".join(x for x, o in zip(text.split("\n"), out, strict=True) if not o))

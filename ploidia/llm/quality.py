@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE
+from .shared import SPACE, small_batches
 
 PLACES = 1 << 18
 SAMPLE = 20_000
@@ -137,6 +137,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: flo
     """``docs`` in a column ``row`` (struct), with ``expected_grade``, ``tail`` and ``selected``."""
     if model is None:
         model = Model(np.zeros(SIZE), np.full(GRADES - 1, -np.inf))
+    small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
     @F.pandas_udf("array<double>")

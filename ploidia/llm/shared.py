@@ -54,9 +54,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def small_batches(df: DataFrame, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows for this session's Python operators: a batch holds whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan's leaves, to scale partition counts with the input."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate of the plan, to scale partition counts with the input; where it has none, the bytes of all text."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if found < 1 << 60:
+        return found
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(sum(df.agg(*texts).first())) if texts else df.count()
 
 
 def blocks_for(df: DataFrame, block_bytes: int) -> int:
@@ -105,6 +116,7 @@ def packed_blocks(df: DataFrame, n_blocks: int, key: str, flush_bytes: int = 32
         if held:
             yield from emit(held)
 
+    small_batches(df)
     keyed = df.withColumn("__block", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int"))
     return keyed.mapInArrow(pack, "block int, payload binary")
 

@@ -9,7 +9,7 @@ by the number of parts. Minimizers that stand in one document only are left out
 first, by exchanging their hashes alone.
 
 A part holds each distinct stretch once, with its smallest document. It builds a
-run-length index of them: suffixes sorted to a fixed depth, the Burrows-Wheeler
+run-length index of them: suffixes sorted, the Burrows-Wheeler
 transform in runs, suffix positions sampled at run ends, and the rows at which
 suffixes begin to differ within ``length`` bytes. All stretches are then streamed
 through it together, right to left, a step along the runs for each byte; where a
@@ -45,7 +45,7 @@ LENGTH = 50
 #: Bytes of a k-gram: windows have length - K + 1 of them.
 K = 20
 #: Stored input bytes of a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 LATE = np.iinfo(np.int64).max
 
 
@@ -168,23 +168,42 @@ def distinct_stretches(s: Stretches, shared: np.ndarray, ids: np.ndarray, length
 # ---- the run-length index --------------------------------------------------------------------------------------------
 
 
-def sorted_suffixes(t: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, rank): suffixes by their first ``depth`` bytes or more, ties by position, and each suffix's class."""
+def sorted_suffixes(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of all suffixes in order: each by its bytes up to its string's end, then by position.
+
+    ``ends`` are the places of the end bytes. Doubling compares 8, 16, ... bytes
+    and stops when the longest string is compared as a whole.
+    """
     n = len(t)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # bytes before the end
     padded = np.concatenate([t, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    have = 8
-    while True:
-        rows = np.argsort(key, kind="stable")
-        k = key[rows]
-        rank = np.empty(n, np.int64)
-        rank[rows] = np.cumsum(np.diff(k, prepend=k[:1]) != 0)
-        if have >= depth or int(rank[rows[-1]]) == n - 1:
-            return rows, rank
-        after = np.zeros(n, np.int64)
-        after[: n - have] = rank[have:] + 1
-        key = rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+    short = left < 8
+    drop = (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64))) % np.uint64(64)
+    key[short] = np.where(left[short] > 0, key[short] >> drop << drop, np.uint64(0))
+    have, longest = 8, int(left.max()) if n else 0
+    # equal bytes of unequal lengths (zero bytes inside strings) are told apart by length
+    rank = _ranks(key, None if np.count_nonzero(t == 0) == len(ends) else np.minimum(left, 8))
+    while have < longest:
+        after = np.zeros(n, np.uint64)
+        inside = np.flatnonzero(left >= have)
+        after[inside] = rank[inside + have] + np.uint64(1)
+        rank = _ranks(rank << np.uint64(32) | after)
         have *= 2
+    return np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
+
+
+def _ranks(key: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
+    rows = np.argsort(key) if then is None else np.lexsort((then, key))
+    k = key[rows]
+    new = np.empty(len(k), bool)
+    new[:1] = False
+    np.not_equal(k[1:], k[:-1], out=new[1:])
+    if then is not None:
+        new[1:] |= then[rows][1:] != then[rows][:-1]
+    rank = np.empty(len(k), np.uint64)
+    rank[rows] = np.cumsum(new)
+    return rank
 
 
 class RunIndex:
@@ -205,9 +224,7 @@ class RunIndex:
         where = np.repeat(at - (ends[:-1] - ends[0]), size) + np.arange(int(size.sum()))
         t[where] = body[ends[0] : ends[-1]]
         self.size, self.length, self.n = size, length, len(t)
-        # to this depth all that matters is sorted; beyond it, ties by position keep the map of rows one to one
-        rows, rank = sorted_suffixes(t, length)
-        exact = self._total_order(t, rows, rank)
+        exact = sorted_suffixes(t, at + size)
         bwt = t[exact - 1]
         head = np.flatnonzero(np.diff(bwt, prepend=bwt[:1] + np.uint8(1)))
         self.run_start, self.run_byte = head, bwt[head]
@@ -223,27 +240,14 @@ class RunIndex:
         self.row_of_end = self.row_of_end[at + size]  # rows of the zero bytes that end the strings
         self.owner = np.searchsorted(at, exact, "right") - 1
 
-    def _total_order(self, t, rows, rank):
-        """Full suffix order, so that stepping left stays one to one: doubling on until all ranks differ."""
-        n, have = len(t), 64
-        while int(rank[rows[-1]]) < n - 1:
-            after = np.zeros(n, np.int64)
-            if have < n:
-                after[: n - have] = rank[have:] + 1
-            key = rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
-            rows = np.argsort(key, kind="stable")
-            k = key[rows]
-            rank = np.empty(n, np.int64)
-            rank[rows] = np.cumsum(np.diff(k, prepend=k[:1]) != 0)
-            have *= 2
-        return rows
-
     def _prefix_class(self, t, exact):
-        """Class of each row by its first ``length`` bytes."""
+        """Class of each row by its first ``length`` bytes; only rows with so many matter."""
         padded = np.concatenate([t, np.zeros(self.length + 8, np.uint8)])
         out = np.zeros(self.n, bool)
         for i in range(0, self.length, 8):
-            w = np.ndarray((self.n,), "<u8", padded, min(i, self.length - 8), (1,))[exact]
+            w = np.ndarray((self.n,), "<u8", padded, i, (1,))[exact]
+            if self.length - i < 8:
+                w = w & np.uint64((1 << 8 * (self.length - i)) - 1)
             out[1:] |= w[1:] != w[:-1]
         return np.cumsum(out)
 

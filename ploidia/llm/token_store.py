@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, slices, staged
+from .shared import blocks_for, slices, small_batches, staged
 
 #: Ids in a chunk.
 CHUNK = 1 << 16
@@ -37,7 +37,9 @@ CHUNK = 1 << 16
 SHARD_BYTES = 16 << 20
 LEVEL = 3
 #: Bytes of text encoded at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Segments joined to one text for the library, and segments a worker remembers.
+TOGETHER, REMEMBERED = 200, 250_000
 
 
 @lru_cache(maxsize=4)
@@ -51,6 +53,38 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def _known(path: str) -> dict[bytes, bytes]:
+    """Ids of segments this worker has met: saves time only, and holds no more than REMEMBERED."""
+    return {}
+
+
+def _encode_segments(segments: list[bytes], path: str) -> list[bytes]:
+    """Ids of each segment, as little-endian bytes.
+
+    Many segments go to the library as one text with a special token between:
+    it splits at special tokens first, so each is encoded by itself.
+    """
+    t = _tokenizer(path)
+    special = next(((i, x.content) for i, x in sorted(t.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.normalized)), None)
+    out: list[bytes] = [b""] * len(segments)
+    texts = [x.decode() for x in segments]
+    alone = [i for i, x in enumerate(texts) if special is None or special[1] in x]
+    for i, e in zip(alone, t.encode_batch_fast([texts[i] for i in alone], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<i4").tobytes()
+    apart = set(alone)
+    joint = [i for i in range(len(texts)) if i not in apart]
+    groups = [joint[i : i + TOGETHER] for i in range(0, len(joint), TOGETHER)]
+    for at in range(0, len(groups), 100):
+        for group, e in zip(groups[at : at + 100], t.encode_batch_fast([special[1].join([texts[i] for i in g]) for g in groups[at : at + 100]], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<i4")
+            cut = np.flatnonzero(ids == special[0])
+            raw = ids.tobytes()
+            for i, s, f in zip(group, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)], strict=True):
+                out[i] = raw[4 * s : 4 * f]
+    return out
+
+
 def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of each text's ids."""
     texts = texts.cast(pa.large_string())
@@ -71,17 +105,21 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
     coded = segments.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    t = _tokenizer(path)
-    distinct = coded.dictionary.cast(pa.large_string())
-    got: list[list[int]] = []
-    for i in range(0, len(distinct), 20_000):
-        got += [e.ids for e in t.encode_batch_fast(distinct[i : i + 20_000].to_pylist(), add_special_tokens=False)]
-    lens = np.fromiter(map(len, got), np.int64, len(got))
-    flat = np.fromiter((x for ids in got for x in ids), np.int64, int(lens.sum()))
-    first = np.cumsum(lens) - lens
+    known = _known(path)
+    distinct = coded.dictionary.to_pylist()
+    found = [known.get(x) for x in distinct]
+    new = [i for i, x in enumerate(found) if x is None]
+    for i, ids in zip(new, _encode_segments([distinct[i] for i in new], path), strict=True):
+        found[i] = ids
+        if len(known) < REMEMBERED:
+            known[distinct[i]] = ids
+    lens = np.fromiter(map(len, found), np.int32, len(found)) // 4
+    flat = np.frombuffer(b"".join(found), "<i4")
+    del distinct, found
+    first = np.cumsum(lens, dtype=np.int32) - lens
     own = lens[codes]
-    ends = np.cumsum(own)
-    ids = flat[np.repeat(first[codes] - (ends - own), own) + np.arange(int(ends[-1]))]
+    ends = np.cumsum(own, dtype=np.int32)
+    ids = flat[np.repeat(first[codes] - (ends - own), own) + np.arange(ends[-1], dtype=np.int32)]
     bounds = np.concatenate([[0], ends])[np.searchsorted(at, offsets)]
     return ids, np.diff(bounds)
 
@@ -94,12 +132,15 @@ def pack_planes(ids: np.ndarray) -> tuple[int, list[bytes]]:
     return width, [squeeze(np.packbits((ids >> np.uint32(b)).astype(np.uint8) & 1).tobytes()) for b in range(width)]
 
 
-def unpack_planes(planes: list[bytes], n: int) -> np.ndarray:
-    out = np.zeros(n, np.uint32)
+def unpack_planes(planes: list[bytes], n: int, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Ids start..end of a chunk of n; planes are read as a whole, bits only where they are wanted."""
+    end = n if end is None else end
+    low, high = start // 8, -(-end // 8)
+    out = np.zeros(8 * (high - low), np.uint32)
     spread = zstandard.ZstdDecompressor().decompress
     for b, plane in enumerate(planes):
-        out |= np.unpackbits(np.frombuffer(spread(plane), np.uint8), count=n).astype(np.uint32) << np.uint32(b)
-    return out
+        out |= np.unpackbits(np.frombuffer(spread(plane), np.uint8)[low:high]).astype(np.uint32) << np.uint32(b)
+    return out[start - 8 * low : end - 8 * low]
 
 
 STORE = "shard int, chunk int, first bigint, n_ids int, doc_ids array<{0}>, doc_starts array<bigint>, doc_lens array<bigint>, planes array<binary>"
@@ -107,6 +148,7 @@ STORE = "shard int, chunk int, first bigint, n_ids int, doc_ids array<{0}>, doc_
 
 def write_store(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes the store and returns its table, a row per chunk."""
+    small_batches(docs)
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     dealt = base.repartitionByRange(blocks_for(docs, shard_bytes), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
@@ -133,7 +175,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             if schema is None:
                 schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int32()), ("doc_ids", pa.list_(b.schema.field(0).type)), ("doc_starts", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int64())), ("planes", pa.list_(pa.binary()))])
             ids, n = encode_texts(b.column(1), path)
-            ended = np.full(len(ids) + len(n), end_id, np.int64)
+            ended = np.full(len(ids) + len(n), end_id, np.int32)
             ends = np.cumsum(n + 1) - 1
             keep = np.ones(len(ended), bool)
             keep[ends] = False
@@ -167,33 +209,40 @@ def read_documents(store: DataFrame) -> DataFrame:
     # one row per shard
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("before"))
 
-    def run(batches):
+    names = ["shard", "chunk", "doc_id", "start", "n_tokens", "at", "ids"]
+
+    def whole_documents(batches):
         for b in batches:
             for r in b.to_pylist():
-                ids = unpack_planes(r["planes"], r["n_ids"])
-                starts = np.array(r["doc_starts"], np.int64) - r["first"]
-                lens = np.array(r["doc_lens"], np.int64)
-                ends = np.minimum(starts + lens, len(ids))
-                # what comes before the first start belongs to a document of an earlier chunk
-                lead = int(starts[0]) if len(starts) else len(ids)
-                doc_id, start, n, at, offsets = list(r["doc_ids"]), starts.tolist(), lens.tolist(), starts.tolist(), ends.tolist()
-                offsets = [lead, *offsets]
-                if lead:
-                    doc_id, start, n, at, offsets = [None, *doc_id], [None, *start], [None, *n], [0, *at], [0, *offsets]
-                first = r["first"]
+                first, n = r["first"], r["n_ids"]
+                starts, lens = np.array(r["doc_starts"], np.int64), np.array(r["doc_lens"], np.int64)
+                inside = int(np.searchsorted(starts + lens, first + n, "right"))
+                if not inside:
+                    continue
+                low = int(starts[0]) - first
+                ids = unpack_planes(r["planes"], n, low, int(starts[inside - 1] + lens[inside - 1]) - first)
+                bounds = np.concatenate([[0], np.cumsum(lens[:inside])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["shard"]] * len(at), pa.int32()), pa.array([r["chunk"]] * len(at), pa.int32()), pa.array(doc_id, b.schema.field("doc_ids").type.value_type),
-                        pa.array([None if s is None else s + first for s in start], pa.int64()), pa.array(n, pa.int64()), pa.array([a + first for a in at], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32))),
-                    ],
-                    names=["shard", "chunk", "doc_id", "start", "n_tokens", "at", "ids"],
-                )
-
-    parts = store.mapInArrow(run, f"shard int, chunk int, doc_id {kind}, start bigint, n_tokens bigint, at bigint, ids array<int>")
-    whole = parts.where("start is not null and n_tokens = size(ids)").select("shard", "doc_id", "start", "n_tokens", "ids")
-    # a document over an edge: its start is the last one before the part
-    edge = parts.where("start is null or n_tokens > size(ids)")
+                    [pa.array([r["shard"]] * inside, pa.int32()), pa.array(r["doc_ids"][:inside], b.schema.field("doc_ids").type.value_type), pa.array(starts[:inside]), pa.array(lens[:inside]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))],
+                    names=["shard", "doc_id", "start", "n_tokens", "ids"],
+                )
+
+    def edge_parts(batches):
+        """What a chunk has of documents that go over its edges: at most one before, and one after."""
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                first, n, starts, lens = r["first"], r["n_ids"], r["doc_starts"], r["doc_lens"]
+                if (lead := min(n, starts[0] - first if starts else n)) > 0:
+                    out.append((r["shard"], r["chunk"], None, None, None, first, unpack_planes(r["planes"], n, 0, lead).astype(np.int32)))
+                if starts and starts[-1] + lens[-1] > first + n:
+                    out.append((r["shard"], r["chunk"], r["doc_ids"][-1], starts[-1], lens[-1], starts[-1], unpack_planes(r["planes"], n, starts[-1] - first, n).astype(np.int32)))
+            kinds = [pa.int32(), pa.int32(), b.schema.field("doc_ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+
+    whole = store.mapInArrow(whole_documents, f"shard int, doc_id {kind}, start bigint, n_tokens bigint, ids array<int>")
+    # a document over an edge: a part without a start belongs to the last one that starts before
+    edge = store.mapInArrow(edge_parts, f"shard int, chunk int, doc_id {kind}, start bigint, n_tokens bigint, at bigint, ids array<int>")
     heads = store.select("shard", "first", F.try_element_at("doc_starts", F.lit(-1)).alias("last"))
     carried = heads.select("shard", "first", F.last("last", ignorenulls=True).over(Window.partitionBy("shard").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
     edge = edge.join(carried, (edge["shard"] == carried["shard"]) & (edge["at"] == carried["first"]), "left").select(edge["shard"], "doc_id", F.coalesce("start", "open").alias("start"), "n_tokens", "at", "ids")

@@ -1,0 +1,473 @@
+"""Each operator against a brute-force version, on a fixture with nulls, empty and long texts, ties, copies and repeated rows."""
+
+import functools
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from ploidia.llm import bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, quality, simhash, suffix_dedup, token_store
+
+SCHEMA = "doc_id long, text string, source string, rid string, name string, h long, `a.b` string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def rows_of():
+    rng = random.Random(4)
+    vocab = [a + b for a in ("an", "er", "th", "on", "ré", "ü") for b in ("the", "ti", "sh", "nd", "é", "a", "ou")]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    passage = text(30)
+    texts = [None, "", " ", "\n\t", "One", "one", "ONE", "Été", "ÉTÉ", "a b c", text(3000), "x" * 9000, passage]
+    texts += [text(rng.randint(1, 120)) for _ in range(30)]
+    texts += [t for t in texts[13:18]]
+    texts += [passage + " " + text(20), text(10) + "\n" + passage + "\n" + text(5), "<|endoftext|> mid <|endoftext|>", "tabs\tand  blanks \r\n here ", "ta b   c \n\nd", "日本語 テキスト 日本語"]
+    texts += [texts[20].replace("the", "thee", 1), texts[20].upper()]
+    out = [(i, t, None if i % 11 == 0 else f"src{i % 4}" if i % 3 else "hot", "r", "n", 1, "x") for i, t in enumerate(texts)]
+    return [*out, out[5], out[20]]  # repeated rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows_of(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ids(docs):
+    return sorted(r[0] for r in docs.select("doc_id").collect())
+
+
+# 1 ---------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [4, 64, 4096])
+def test_exact_groups(docs, block):
+    got = exact_dedup.exact_groups(docs, block_bytes=block).collect()
+    rows = [(r[0], (r[1] or "").translate(LOW)) for r in rows_of()]
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    text = dict(rows)
+    for r in got:
+        same = [i for i, t in rows if t == text[r.doc_id]]
+        assert (r.keep_id, r.group_size, r.text_sha256) == (max(same), len(same), hashlib.sha256(text[r.doc_id].encode()).hexdigest())
+    assert sum(r.kept for r in got) == len(set(text.values()))
+
+
+def test_drop_exact_copies(docs):
+    kept = exact_dedup.drop_exact_copies(docs)
+    assert kept.columns == docs.columns
+    texts = [(t or "").translate(LOW) for (t,) in kept.select("text").collect()]
+    assert len(texts) == len(set(texts)) == len({(r[1] or "").translate(LOW) for r in rows_of()})
+
+
+def test_exact_null_ids(spark):
+    d = spark.createDataFrame([(None, "a"), (None, "a"), (3, "A"), (None, None)], "doc_id long, text string")
+    got = exact_dedup.exact_groups(d).collect()
+    assert sorted((r.group_size, r.keep_id, r.kept) for r in got if r.text_sha256 == hashlib.sha256(b"a").hexdigest()) == [(3, 3, False), (3, 3, False), (3, 3, True)]
+    assert exact_dedup.drop_exact_copies(d).count() == 2
+
+
+# 2 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_lm_scoring(docs):
+    got = lm_scoring.score_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    rows = [(r[0], [w for w in words((r[1] or "").translate(LOW))]) for r in rows_of()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    count = {}
+    for i, w in rows:
+        if not held(i):
+            for x in [*w, None]:
+                count[x] = count.get(x, 0) + 1
+    n, v = sum(count.values()), len(count)
+    want = {i: (held(i), len(w) + 1, sum(count.get(x, 0) > 0 for x in [*w, None]), n, sum(math.log10((count.get(x, 0) + 0.1) / (n + 0.1 * (v + 1))) for x in [*w, None])) for i, w in rows}
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+        assert r.base_score == pytest.approx(want[r.doc_id][4], abs=1e-6)
+        assert np.isfinite(r.score) and r.score < 0
+
+
+def test_windows_score_each_id_once():
+    for n in (1, 31, 32, 33, 58, 59, 500):
+        doc, first = lm_scoring.windows_of(np.array([n]))
+        seen = np.zeros(n, int)
+        for f in first:
+            start = max(0, f - lm_scoring.OVERLAP)
+            seen[f : min(n, start + lm_scoring.WINDOW)] += 1
+        assert (seen == 1).all(), n
+
+
+def _classes(n=60):
+    rng = np.random.default_rng(0)
+    of = np.arange(n) % lm_scoring.CLASSES
+    within = np.full((lm_scoring.CLASSES + 1, n), -50.0)
+    for c in range(lm_scoring.CLASSES + 1):
+        for k in np.unique(of):
+            p = rng.random((of == k).sum()) + 0.1
+            within[c, of == k] = np.log(p / p.sum())
+    start = rng.standard_normal((lm_scoring.OWN + lm_scoring.CLASSES, lm_scoring.CLASSES)).astype(np.float32)
+    return lm_scoring.Classes(of, np.full(n, lm_scoring.OWN) + of, within.astype(np.float32), np.zeros((lm_scoring.OWN, lm_scoring.OWN), np.float32), start)
+
+
+def test_scores_are_probabilities_and_causal():
+    c = _classes()
+    w = lm_scoring.new_weights(c.start)
+    logs = [lm_scoring.score_ids(np.array([7, 3, x], np.uint16), np.array([0, 3]), w, c, 0)[0] for x in range(60)]
+    two = lm_scoring.score_ids(np.array([7, 3], np.uint16), np.array([0, 2]), w, c, 0)[0]
+    used = len(set(c.of.tolist()))
+    assert used <= lm_scoring.CLASSES
+    assert sum(10 ** (x - two) for x in logs) <= 1 + 1e-3
+    # masked batches give what one id at a time gives
+    one = np.random.default_rng(1).integers(0, 60, 40).astype(np.uint16)
+    flat, at = np.concatenate([one, one[:5]]), np.array([0, 40, 45])
+    assert lm_scoring.score_ids(flat, at, w, c, 0)[1] == pytest.approx(lm_scoring.score_ids(one[:5], np.array([0, 5]), w, c, 0)[0], abs=1e-4)
+
+
+def test_gradients():
+    c = _classes()
+    w = {k: v.astype(np.float64) for k, v in lm_scoring.new_weights(c.start).items()}
+    rng = np.random.default_rng(2)
+    x, y, live = rng.integers(lm_scoring.OWN, lm_scoring.OWN + 20, (2, 9)), rng.integers(0, 60, (2, 9)), np.ones((2, 9))
+    _, g = lm_scoring.backward(w, x, y, live)
+    for k in w:
+        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        up, down = ({**w, k: w[k].copy()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        slope = (lm_scoring.backward(up, x, y, live)[0] - lm_scoring.backward(down, x, y, live)[0]) / 2e-4
+        assert g[k][at] == pytest.approx(slope, rel=2e-2, abs=1e-4), k
+
+
+# 3 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_repeated_spans(docs):
+    got = suffix_dedup.repeated_spans(docs, length=50, block_bytes=1 << 10).collect()
+    rows = sorted((r[0], (r[1] or "").encode()) for r in rows_of())
+    seen, want = set(), {}
+    for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+        fresh = set()
+        for i, b in group:
+            cover = np.zeros(len(b), bool)
+            for p in range(len(b) - 49):
+                if b[p : p + 50] in seen:
+                    cover[p : p + 50] = True
+                fresh.add(b[p : p + 50])
+            want[i] = (len(b), bytes(np.frombuffer(b, np.uint8)[~cover]))
+        seen |= fresh
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    assert any(len(k) < n for n, k in want.values())
+    for r in got:
+        assert (r.n_bytes, bytes(r.kept)) == want[r.doc_id]
+        assert sum(e - s for s, e in r.spans) == r.n_bytes - len(r.kept)
+
+
+def test_run_index_is_compressed():
+    import pyarrow as pa
+
+    strings = pa.array([b"abcabcabcabcabcabc" * 9, b"bcabcabca" * 9], pa.large_binary())
+    index = suffix_dedup.RunIndex(strings, 10)
+    assert len(index.run_start) < index.n / 4
+    first, least = index.least_of_matches(np.array([5, 2]))
+    assert set(least[: first[1]].tolist()) == {2}
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_patience():
+    a, b = list("abcdefg"), list("xbcdyfgz")
+    assert [(a[i], b[j]) for i, j in line_dedup.patience(a, b)] == [(c, c) for c in "bcdfg"]
+    assert line_dedup.patience([], b) == [] and line_dedup.patience(list("aaa"), list("aa")) == [(0, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("rare", [2, 64])
+def test_lines_go_from_later_documents(spark, rare):
+    line = lambda i: f"this is a line of text number {i} and it is long enough to count"
+    rows = [(1, "\n".join(map(line, range(6)))), (2, "own line that nobody else has in this table\n" + line(2) + "\n" + line(3)), (3, line(4)), (4, line(4)), (5, "short\nshort"), (6, None), (7, ""), (7, line(4))]
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+    assert [got[k].n_removed for k in ((1, 6), (2, 3), (3, 1), (4, 1), (5, 2), (6, 1))] == [0, 2, 1, 1, 0, 0]
+    assert got[(2, 3)].kept == "own line that nobody else has in this table"
+
+
+def test_first_holder_keeps_every_line(docs):
+    got = line_dedup.drop_common_lines(docs).collect()
+    assert len(got) == len(rows_of())
+    kept = {x.strip() for r in got for x in r.kept.split("\n")}
+    for _, t, *_ in rows_of():
+        for x in (t or "").split("\n"):
+            assert x.strip(" ") in {k.strip(" ") for k in kept} or x.strip() in kept
+
+
+# 5 ---------------------------------------------------------------------------------------------------------------------
+
+
+def h64(*values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+        seed_signed = seed - (1 << 64) if seed >> 63 else seed
+    return seed_signed
+
+
+def winnowed(t, k=5, w=4):
+    hs = [h64(x) for x in words(t)]
+    grams = [h64(*hs[i : i + k]) for i in range(len(hs) - k + 1)] if len(hs) >= k else [functools.reduce(h64, hs, 42)] if hs else []
+    spans = [range(i, i + w) for i in range(len(grams) - w + 1)] if len(grams) >= w else [range(len(grams))] if grams else []
+    return [(grams[i], i) for i in sorted({max(s, key=lambda i: (-grams[i], i)) for s in spans})]
+
+
+def test_winnowing(docs):
+    got = {}
+    for r in fingerprints.edited_and_next(docs, range_rows=10).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    rows = sorted(((r[0], r[1] or "") for r in rows_of()))
+    assert sum(map(len, got.values())) == len(rows)
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        a, b, c = ({h for h, _ in winnowed(x)} for x in (t, edited, nxt))
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        want = (len(t), hashlib.sha256(edited.encode()).hexdigest(), " ".join(f"{p}:{h & (1 << 64) - 1:x}" for h, p in winnowed(t)), like(a, b), like(a, c))
+        assert want in [(r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got[i]]
+
+
+def test_winnowing_guarantee():
+    rng = random.Random(1)
+    shared = [str(rng.random()) for _ in range(8)]
+    a, b = ([str(rng.random()) for _ in range(20)] + shared + [str(rng.random()) for _ in range(20)] for _ in range(2))
+    assert {h for h, _ in winnowed(" ".join(a))} & {h for h, _ in winnowed(" ".join(b))}
+
+
+# 6 ---------------------------------------------------------------------------------------------------------------------
+
+
+def simhash_of(t, k=4):
+    w = words((t or "").translate(LOW))
+    grams = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] or ([" ".join(w)] if w else [])
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def components(fps, radius):
+    own = list(range(len(fps)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(fps)), 2):
+        if (fps[i] ^ fps[j]).bit_count() <= radius:
+            own[root(j)] = root(i)
+    return [root(i) for i in range(len(fps))]
+
+
+def test_simhash(docs):
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_groups(docs).collect())
+    rows = sorted(rows_of(), key=lambda r: r[0])
+    fps = [simhash_of(r[1]) for r in rows]
+    own = components(fps, 4)
+    least = [min(r[0] for r, o in zip(rows, own, strict=True) if o == mine) for mine in own]
+    assert got == sorted((r[0], f"{f:016x}", c) for r, f, c in zip(rows, fps, least, strict=True))
+
+
+@pytest.mark.parametrize("radius", [1, 4, 6])
+def test_covering_masks_cover(radius):
+    masks = simhash.covering_masks(radius)
+    rng = random.Random(radius)
+    for _ in range(3000):
+        flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
+        assert any(m & flips == 0 for m in masks)
+
+
+def test_links_in_a_hot_bucket(spark):
+    rng = np.random.default_rng(3)
+    base = 0x0123456789ABCDEF
+    fps = {base}
+    while len(fps) < 400:  # near copies around one fingerprint, and strangers
+        fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
+    fps |= {int(x) for x in rng.integers(0, 1 << 62, 200)}
+    fps = sorted(fps)
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = simhash.links(nodes, 4)
+    assert found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
+    got = {r.node: r.label for r in simhash.components(nodes.withColumnRenamed("fp", "node"), found).collect()}
+    own = components(fps, 4)
+    assert len(set(got.values())) == len(set(own))
+    assert all((got[a] == got[b]) == (x == y) for (a, x), (b, y) in itertools.pairwise(zip(fps, own, strict=True)))
+
+
+def test_drop_near_copies(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)) for _ in range(12)]
+    near = [b.replace(b.split()[100], "changed", 1) for b in base]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(base + near + [None, "", None])], "doc_id long, text string, label string")
+    kept = simhash.drop_near_copies(d)
+    assert kept.columns == d.columns
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == [*range(12), 24]
+
+
+# 7 ---------------------------------------------------------------------------------------------------------------------
+
+
+def _graded(spark, n=400):
+    rng = random.Random(2)
+    vocab = [f"word{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(n):
+        t = [rng.choice(vocab) for _ in range(rng.randint(20, 200))]
+        toxic, bad = rng.random() < 0.15, rng.random() < 0.15
+        if toxic:
+            t[rng.randrange(len(t))] = rng.choice(["nasty", "vile"])
+        if bad:
+            t = [x.upper() + "!!" for x in t]
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(not bad), int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_held_out(spark):
+    d, labels = _graded(spark)
+    got = {r.doc_id: r for r in quality.rate_documents(d, labels.where("doc_id % 3 <> 0")).collect()}
+    truth = {r.doc_id: r.quality + 1 - r.toxic for r in labels.collect()}
+    test = [i for i in truth if i % 3 == 0]
+    assert np.mean([got[i].selected == (truth[i] == 2) for i in test]) > 0.9
+    assert np.mean([got[i].expected_grade for i in test if truth[i] == 2]) > np.mean([got[i].expected_grade for i in test if truth[i] < 2]) + 0.5
+
+
+def test_quality_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, 0), (10, 0, 1), (10, 1, 1)], "doc_id long, quality int, toxic int")
+    assert quality.rate_documents(docs, labels).count() == len(rows_of())
+    assert quality.select_documents(docs, labels.limit(0)).count() == len(rows_of())
+    assert quality.rate_documents(empty, labels).count() == 0
+
+
+def test_thresholds_stay_ordered():
+    rng = np.random.default_rng(0)
+    m = quality.fit([rng.integers(0, 50, 5) for _ in range(200)], rng.integers(0, 3, 200))
+    assert (np.diff(m.thresholds) >= 0).all()
+
+
+# 8 ---------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("chunk", [16, 1 << 16])
+def test_token_store(docs, chunk):
+    store = token_store.write_store(docs, P.path("byte_bpe_50k.json"), 2, chunk=chunk)
+    got = sorted((r.start, r.doc_id, r.n_tokens, list(r.ids)) for r in token_store.read_documents(store).collect())
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    start, want = 0, []
+    for i, x in sorted((r[0], r[1] or "") for r in rows_of()):
+        own = [*t.encode(x, add_special_tokens=False).ids, 2]
+        want.append((start, i, len(own), own))
+        start += len(own)
+    assert got == want
+    assert store.where(F.col("n_ids") > chunk).count() == 0
+
+
+def test_planes_round_trip():
+    rng = np.random.default_rng(0)
+    for ids in (np.zeros(0, np.uint32), np.array([0]), rng.integers(0, 50257, 1001), np.array([2**32 - 1, 5])):
+        width, planes = token_store.pack_planes(ids)
+        assert len(planes) == width and (token_store.unpack_planes(planes, len(ids)) == ids).all()
+        assert (token_store.unpack_planes(planes, len(ids), len(ids) // 3, len(ids) // 2) == ids[len(ids) // 3 : len(ids) // 2]).all()
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_targets():
+    assert mixing.targets_of([100, 100, 100], [1, 2, 3], 300) == [50, 100, 150]
+    t = mixing.targets_of([1000, 10, 10], [1, 2, 3], 1020)
+    assert t[1:] == [30, 30] and sum(t) == pytest.approx(1020)
+    assert mixing.targets_of([0, 5], [1, 1], 5) == [0, 5] and mixing.targets_of([], [], 0) == []
+
+
+def test_permutation_and_draws():
+    for n in (1, 2, 7, 1000):
+        assert sorted(mixing.permuted(np.arange(n), n, [1, 2]).tolist()) == list(range(n))
+    counts = np.array([5, 0, 37, 58])
+    shards = [mixing.shard_counts(j, 7, counts, 16, 3) for j in range(7)]
+    assert sum(own for own, _ in shards).tolist() == counts.tolist()
+    assert all((b == sum((o for o, _ in shards[:j]), np.zeros(4, int))).all() for j, (_, b) in enumerate(shards))
+
+
+def test_mixing(docs):
+    mix = mixing.Mix(docs, block=8, slots=32)
+    got = mix.taken().collect()
+    again = sorted((r.doc_id, r.taken) for r in mixing.Mix(docs, block=8, slots=32).taken().collect())
+    assert again == sorted((r.doc_id, r.taken) for r in got)
+    size = {}
+    for r in rows_of():
+        size[r[2]] = size.get(r[2], 0) + len(words(r[1]))
+    order = sorted((s for s in size if s is not None)) + [None]
+    want = dict(zip(order, mixing.targets_of([size[s] for s in order], [1 + i % 3 for i in range(len(order))], sum(size.values())), strict=True))
+    assert len(got) == len(rows_of())
+    for r in got:
+        assert r.source_size == size[r.source] and r.target == pytest.approx(want[r.source]) and r.taken <= 3 * r.size
+    for s in order:
+        assert sum(r.taken for r in got if r.source == s) == pytest.approx(want[s], abs=9)
+    # the output's slots are what was counted
+    assert mix.pieces().agg(F.sum("words")).first()[0] == sum(r.taken for r in got)
+
+
+def test_mixed_documents(docs, empty):
+    out = mixing.mixed_documents(docs, block=8)
+    assert out.columns == docs.columns
+    assert max(r[0] for r in out.where("doc_id <> 5 and doc_id <> 20").groupBy("doc_id").count().select("count").collect()) <= 3
+    assert mixing.mixed_documents(empty).count() == 0
+
+
+# 10 --------------------------------------------------------------------------------------------------------------------
+
+
+def test_bpe(docs):
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    got = bpe.encode_documents(docs, P.path("word_bpe_49k.json"), block_bytes=256).collect()
+    assert len(got) == len(rows_of())
+    text = {r[0]: r[1] or "" for r in rows_of()}
+    for r in got:
+        own = t.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, list(r.ids), r.decoded) == (len(own), own, t.decode(own, skip_special_tokens=False))
+
+
+def test_decode_table(spark):
+    d = spark.createDataFrame([(1, [320, 1929]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode_documents(d, P.path("word_bpe_49k.json")).collect()}
+    assert got == {1: Tokenizer.from_file(P.path("word_bpe_49k.json")).decode([320, 1929], skip_special_tokens=False), 2: "", 3: ""}
+    assert bpe.pieces_table(spark, P.path("word_bpe_49k.json")).count() == 49408
+
+
+# empty tables ----------------------------------------------------------------------------------------------------------
+
+
+def test_empty_tables(empty):
+    path = P.path("byte_bpe_50k.json")
+    assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_exact_copies(empty).count() == 0
+    assert suffix_dedup.repeated_spans(empty).count() == 0
+    assert line_dedup.drop_common_lines(empty).count() == 0
+    assert fingerprints.edited_and_next(empty).count() == 0
+    assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+    assert token_store.read_documents(token_store.write_store(empty, path, 2)).count() == 0
+    assert mixing.Mix(empty).taken().count() == 0
+    assert bpe.encode_documents(empty, P.path("word_bpe_49k.json")).count() == 0
+    assert lm_scoring.score_documents(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
