@@ -91,6 +91,11 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     return masks
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of signed fingerprints; as unsigned, since numpy counts the bits of absolute values."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _spanning_links(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links within one key that connect what all its pairs within the radius connect."""
     links = []
@@ -103,7 +108,7 @@ def _spanning_links(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.n
             hit = np.zeros(len(unseen), bool)
             by = np.zeros(len(unseen), np.int64)
             for at in range(0, len(unseen), BLOCK):
-                apart = np.bitwise_count(unseen[None, at : at + BLOCK] ^ f[:, None])
+                apart = distance(unseen[None, at : at + BLOCK], f[:, None])
                 nearest = apart.argmin(0)
                 hit[at : at + BLOCK] = apart[nearest, np.arange(apart.shape[1])] <= radius
                 by[at : at + BLOCK] = f[nearest]
@@ -131,7 +136,7 @@ def _links_of(radius: int):
                 if not same.any():
                     break
                 i = np.flatnonzero(same)
-                i = i[np.bitwise_count(f[i] ^ f[i + lag]) <= radius]
+                i = i[distance(f[i], f[i + lag]) <= radius]
                 out.append((f[i], f[i + lag]))
             for s, e in zip(starts[size > 32], ends[size > 32], strict=True):
                 out += _spanning_links(f[s:e], radius)

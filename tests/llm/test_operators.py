@@ -299,13 +299,19 @@ def test_covering_masks_cover(radius):
         assert any(m & flips == 0 for m in masks)
 
 
+def test_distance_counts_the_sign_bit():
+    a = np.array([0, -1, 1 << 62], np.int64)
+    assert simhash.distance(a, np.array([-(1 << 63), 0, -(1 << 63)], np.int64)).tolist() == [1, 64, 2]
+
+
 def test_links_in_a_hot_bucket(spark):
     rng = np.random.default_rng(3)
     base = 0x0123456789ABCDEF
     fps = {base}
     while len(fps) < 400:  # near copies around one fingerprint, and strangers
         fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
-    fps |= {int(x) for x in rng.integers(0, 1 << 62, 200)}
+    fps |= {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 200)}
+    fps |= {f ^ -(1 << 63) for f in list(fps)[:50]}
     fps = sorted(fps)
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     found = simhash.links(nodes, 4)
