@@ -276,7 +276,7 @@ def components(fps, radius):
         return i
 
     for i, j in itertools.combinations(range(len(fps)), 2):
-        if (fps[i] ^ fps[j]).bit_count() <= radius:
+        if ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= radius:
             own[root(j)] = root(i)
     return [root(i) for i in range(len(fps))]
 
@@ -311,8 +311,8 @@ def test_links_in_a_hot_bucket(spark):
     while len(fps) < 400:  # near copies around one fingerprint, and strangers
         fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)))
     fps |= {int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 200)}
-    fps |= {f ^ -(1 << 63) for f in list(fps)[:50]}
-    fps = sorted(fps)
+    fps |= {f ^ (1 << 63) for f in list(fps)[:50] if f >= 0}
+    fps = sorted({f - (1 << 64) if f >> 63 == 1 else f for f in fps})
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
     found = simhash.links(nodes, 4)
     assert found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
