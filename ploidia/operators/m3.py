@@ -49,17 +49,15 @@ def smoothed(signal: DataFrame, axis: DataFrame, key: list[str], window: int = P
     # frame bounds are literals: one plan for each of the few widths
     widths = sorted({smoothing_width(r["n"], window) for r in sizes.select("n").distinct().collect()})  # one row a chromosome
     wide = F.greatest(F.lit(10), F.least(F.lit(window), F.floor(F.col("n") / 3) + 1)).cast("int")
-    out = None
+    line = Window.partitionBy(*key, "chr").orderBy("i")
+    every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first("value").over(every), F.last("value").over(every)
+    out = F.lit(None).cast("double")
     for w in widths:
         left, right = w // 2, w - w // 2 - 1
-        line = Window.partitionBy(*key, "chr").orderBy("i")
-        inner = F.sum("value").over(line.rowsBetween(-left, right))
-        first = F.first("value").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        last = F.last("value").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        total = inner + F.greatest(F.lit(0), left - F.col("i")) * first + F.greatest(F.lit(0), F.col("i") + right - (F.col("n") - 1)) * last
-        part = placed.where(wide == w).select(*key, "gene_ix", (total / w).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else placed.select(*key, "gene_ix", "value").limit(0)
+        total = F.sum("value").over(line.rowsBetween(-left, right)) + F.greatest(F.lit(0), left - F.col("i")) * first + F.greatest(F.lit(0), F.col("i") + right - (F.col("n") - 1)) * last
+        out = F.when(F.col("width") == w, total / w).otherwise(out)
+    return placed.withColumn("width", wide).select(*key, "gene_ix", out.alias("value"))
 
 
 def pooled_signal(values: DataFrame, cells: DataFrame, axis: DataFrame, medians: DataFrame, window: int = Params.smooth_window) -> DataFrame:

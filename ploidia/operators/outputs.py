@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genome import AUTOSOMES
 from ..params import Params
+from ..session import written
 from .m4 import weighted_median_rows
 
 
@@ -109,10 +110,10 @@ def denoise(rc: DataFrame, reference: DataFrame, amplifier: float = Params.sd_am
 
 
 def reference_relative_signal(cn: DataFrame, predictions: DataFrame, segments: DataFrame, amplifier: float = Params.sd_amplifier, quantile: float = Params.ref_score_quantile) -> DataFrame:
-    reference = confident_diploid(predictions, quantile)
+    reference = written(confident_diploid(predictions, quantile), "diploid")
     if reference.isEmpty():
         raise ValueError("no reference cells to denoise against")
-    return denoise(recenter(cn, reference, segments.select("segment_id", "n_genes")), reference, amplifier)
+    return denoise(written(recenter(cn, reference, segments.select("segment_id", "n_genes")), "recentered"), reference, amplifier)
 
 
 def genome_layout(segments: DataFrame, rank: str = "chr_rank") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import m1, m3, m4
 from ..params import Params
+from ..session import written
 
 PARAMS = Params(min_genes=100)
 
@@ -72,8 +73,8 @@ def matrix(spark: SparkSession, d: str):
 def scored(spark: SparkSession, d: str):
     """(dev, segments, scored cells) of ``embeddings``: score, burden, coherent, is_ref, low_complexity."""
     cn, own, segs = matrix(spark, d)
-    dev = m4.deviation(cn, m3.reference_baseline(cn, own), segs)
-    b = m4.burden(dev, segs)
+    dev = written(m4.deviation(cn, m3.reference_baseline(cn, own), segs), "deviation")
+    b = written(m4.burden(dev, segs), "burden")
     t = m4.template_of(dev, b)
     out = own.join(m4.projection(dev, t, segs), "cell_id").join(b, "cell_id").join(m4.coherent_fraction(dev, segs), "cell_id").withColumn("low_complexity", F.col("cell_id") % 11 == 0)
     return dev, segs, out
@@ -92,4 +93,4 @@ def predictions(spark: SparkSession, d: str):
     cn, own, segs = matrix(spark, d)
     _, _, c = called(spark, d)
     clone = F.when(F.col("class") == "tumor", F.concat(F.lit("subclone_"), (F.col("label") % 3 + 1).cast("string"))).otherwise("")
-    return cn, segs, own, c.withColumn("subclone", clone).withColumn("cn_burden", F.col("burden")).withColumn("tumor_score", F.col("score"))
+    return cn, segs, own, written(c.withColumn("subclone", clone).withColumn("cn_burden", F.col("burden")).withColumn("tumor_score", F.col("score")), "plain-cut")

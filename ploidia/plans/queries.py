@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import genome
 from ..operators import evaluate, m1, m2, m3, m4, outputs
 from ..params import Params
+from ..session import written
 from ..sources import text, validate
 from . import driver_tables as t
 from .pipeline import run_pipeline
@@ -163,12 +164,12 @@ def m1e(spark: SparkSession, d: str) -> DataFrame:
     return m1.normalize_log1p(t.counts(spark, d)).select("cell_id", "gene", r6("value").alias("value"))
 
 
-@query("m1f_gene_mask", "SELECT p_partkey AS orig_ix, p_name AS gene, p_brand AS chr FROM part WHERE p_size <= 45 AND NOT starts_with(p_name, 'a') AND NOT starts_with(p_name, 'be') AND NOT (starts_with(p_name, 'c') AND p_brand = 'Brand#11') AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1) AND p_brand <> 'Brand#55'")
+@query("m1f_gene_mask", "SELECT p_partkey AS orig_ix, p_name AS gene, p_brand AS chr FROM part WHERE p_size <= 45 AND NOT starts_with(p_name, 'a') AND NOT starts_with(p_name, 'be') AND NOT (starts_with(p_name, 'c') AND p_brand = 'Brand#11') AND p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1 AND p_partkey % 50 = 0) AND p_brand <> 'Brand#55'")
 def m1f(spark: SparkSession, d: str) -> DataFrame:
     p = t.table(spark, d, "part")
     chrom = F.when(F.col("p_size") <= 45, F.col("p_brand"))
     named = p.select(F.col("p_partkey").alias("orig_ix"), F.col("p_name").alias("gene"), chrom.alias("chr"), "p_type").where(genome.placeable(F.col("p_name"), F.col("chr"), ("a", "be"), ("Brand#55",), {"c": "Brand#11"}))
-    return named.join(p.where("p_size = 1").select("p_type").distinct(), "p_type", "left_anti").select("orig_ix", "gene", "chr")
+    return named.join(p.where("p_size = 1 and p_partkey % 50 = 0").select("p_type").distinct(), "p_type", "left_anti").select("orig_ix", "gene", "chr")
 
 
 @query("m1g_genome_order", BASE + 'SELECT gene, chr, chr_rank, "start", "end", gene_ix FROM axis')
@@ -569,8 +570,8 @@ def out15(spark: SparkSession, d: str) -> DataFrame:
 @query("out16_denoise", DIP + "SELECT cell_id, segment_id, round(sign(value) * greatest(abs(value) - spread, 0), 6) AS value FROM rc JOIN spr USING (segment_id)")
 def out16(spark: SparkSession, d: str) -> DataFrame:
     cn, segs, _, p = t.predictions(spark, d)
-    ref = outputs.confident_diploid(p)
-    return outputs.denoise(outputs.recenter(cn, ref, segs), ref).select("cell_id", "segment_id", r6("value").alias("value"))
+    ref = written(outputs.confident_diploid(p), "diploid")
+    return outputs.denoise(written(outputs.recenter(cn, ref, segs), "recentered"), ref).select("cell_id", "segment_id", r6("value").alias("value"))
 
 
 @query("out17_layout", EMB + ", e AS (SELECT *, sum(n_genes) OVER (ORDER BY chr_rank, segment_id)::BIGINT AS right_edge FROM segs), f AS (SELECT segment_id, chr, right_edge - n_genes AS left_edge, right_edge FROM e) SELECT *, min(left_edge) OVER c AS chr_left, max(right_edge) OVER c AS chr_right, (min(left_edge) OVER c + max(right_edge) OVER c) / 2 AS chr_mid FROM f WINDOW c AS (PARTITION BY chr)")
