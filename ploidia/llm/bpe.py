@@ -23,7 +23,6 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +77,23 @@ def _distinct(lists) -> tuple[np.ndarray, pa.Array]:
     return rank[codes] if len(codes) else np.zeros(0, np.int64), words.take(pa.array(order))
 
 
+with np.errstate(over="ignore"):
+    _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
 def _parts(words: pa.Array, n: int) -> np.ndarray:
-    return (pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) % np.uint64(n)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+    """Part of each (non-empty) word, by a hash of its bytes."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    words = words.cast(pa.large_string())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
+    start = at[:-1] - at[0]
+    place = np.arange(len(data)) - np.repeat(start, np.diff(at))
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63], start)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) % np.uint64(n)).astype(np.int64)
 
 
 def _encode_words(words: pa.Array, path: str) -> pa.ListArray:
