@@ -9,9 +9,10 @@ index, which columnar reads fetch without the payload, and the row also lists
 the documents that start in it. Writers commit through Spark, so tasks that are
 retried or speculated leave no stray chunks, and any file system will do.
 
-Texts are encoded by segment: white space with the word that follows. Byte-level
-pre-tokenizers never join a word to the white space after it, so equal segments
-have equal ids, and each distinct segment of a batch is encoded once.
+Texts are encoded by segment: white space with the letters or marks that follow.
+Byte-level pre-tokenizers of this family never join a word to the white space
+after it, nor letters to marks, so equal segments have equal ids, and each
+distinct segment of a batch is encoded once.
 
 Defined results: null counts as empty, which still has its end id; rows of equal
 id follow one another by text, null ids come last; an empty table gives an empty
@@ -25,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +55,11 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def _special(path: str) -> list[str]:
+    return [x.content for x in _tokenizer(path).get_added_tokens_decoder().values()]
+
+
 @lru_cache(maxsize=2)
 def _known(path: str) -> dict[bytes, bytes]:
     """Ids of segments this worker has met: saves time only, and holds no more than REMEMBERED."""
@@ -100,6 +107,11 @@ def encode_texts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     solid[1:] |= (data[1:] >= 128) & (data[:-1] == 0xC3)
     start = np.zeros(len(data) + 1, bool)
     start[1:-1] = blank[1:] & solid[:-1]
+    if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in _special(path)):
+        # letters and marks part wherever they meet, but for apostrophes; only special tokens run across
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        mark = (data > 32) & (data < 127) & ~letter & ~((data >= 48) & (data <= 57)) & (data != 39)
+        start[1:-1] |= (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.append(np.flatnonzero(start[:-1]), len(data))
     segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
