@@ -81,8 +81,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = ends[0]
     for more in ends[1:]:
         named = named.unionByName(more)
-    whole = rows.select("rid", "doc_id", "n_bytes", "text_sha256", F.size("seq").alias("n_blocks")).join(named.select("rid", F.get("seq", F.lit(0)).alias("name")), "rid")
-    groups = whole.groupBy("n_bytes", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("best"))
+    whole = staged(rows.select("rid", "doc_id", "n_bytes", "text_sha256", F.size("seq").alias("n_blocks")).join(named.select("rid", F.get("seq", F.lit(0)).alias("name")), "rid"), "exact-named")
+    # written, so that the join's sides are plain tables and one group of very many copies is split over tasks
+    groups = staged(whole.groupBy("n_bytes", "name").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("best")), "exact-groups")
     return whole.join(groups, ["n_bytes", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "n_bytes", "n_blocks"
     )
