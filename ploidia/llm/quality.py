@@ -31,7 +31,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .shared import SPACE, small_batches
 
@@ -140,16 +139,16 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: flo
     small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
-    def run(batches):
+    @F.arrow_udf("array<double>")
+    def tails(x: pa.Array) -> pa.Array:
         weights, thresholds = held.value
-        for b in batches:
-            x = b.column(1)
-            at = x.offsets.to_numpy().astype(np.int64)
-            t = Model(weights, thresholds).tails(x.values.to_numpy()[at[0] : at[-1]], at[:-1] - at[0], np.diff(at))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t.sum(1)), pa.array(t[:, -1]), pa.array(t[:, -1] >= cut)], names=["row", "expected_grade", "tail", "selected"])
-
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), features(F.col(f"`{text_col}`")).alias("x"))
-    return inner.mapInArrow(run, StructType([inner.schema["row"], *[StructField(n, k) for n, k in (("expected_grade", DoubleType()), ("tail", DoubleType()), ("selected", BooleanType()))]]))
+        at = x.offsets.to_numpy().astype(np.int64)
+        t = Model(weights, thresholds).tails(x.values.to_numpy()[at[0] : at[-1]], at[:-1] - at[0], np.diff(at))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1, dtype=np.int32) * t.shape[1]), pa.array(t.ravel()))
+
+    # only the places of features go to Python; texts stay
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), tails(features(F.col(f"`{text_col}`"))).alias("t"))
+    return inner.select("row", F.aggregate("t", F.lit(0.0), lambda a, b: a + b).alias("expected_grade"), F.element_at("t", -1).alias("tail"), (F.element_at("t", -1) >= cut).alias("selected"))
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5, **how) -> DataFrame:

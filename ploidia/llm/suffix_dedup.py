@@ -168,8 +168,9 @@ def distinct_stretches(s: Stretches, shared: np.ndarray, ids: np.ndarray, length
 # ---- the run-length index --------------------------------------------------------------------------------------------
 
 
-def sorted_suffixes(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order: each by its bytes up to its string's end, then by position.
+def sorted_suffixes(t: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, new): positions of all suffixes in order, each by its bytes up to its string's end, then by position;
+    and where the first ``length`` bytes differ from the row before.
 
     ``ends`` are the places of the end bytes. Doubling compares 8, 16, ... bytes
     and stops when the longest string is compared as a whole.
@@ -184,13 +185,24 @@ def sorted_suffixes(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
     have, longest = 8, int(left.max()) if n else 0
     # equal bytes of unequal lengths (zero bytes inside strings) are told apart by length
     rank = _ranks(key, None if np.count_nonzero(t == 0) == len(ends) else np.minimum(left, 8))
+    level, kept = have, rank  # ranks of the longest power that fits in ``length``
     while have < longest:
         after = np.zeros(n, np.uint64)
         inside = np.flatnonzero(left >= have)
         after[inside] = rank[inside + have] + np.uint64(1)
         rank = _ranks(rank << np.uint64(32) | after)
         have *= 2
-    return np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
+        if have <= length:
+            level, kept = have, rank
+    rows = np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
+    # two windows of ``level`` bytes cover ``length``; shorter suffixes are never asked for, and stand alone
+    first = kept[rows]
+    shift = rows + (length - level)
+    second = np.where(left[rows] >= length, kept[np.minimum(shift, n - 1)].astype(np.int64), -1 - rows)
+    new = np.empty(n, bool)
+    new[:1] = True
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return rows, new
 
 
 def _ranks(key: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
@@ -224,7 +236,7 @@ class RunIndex:
         where = np.repeat(at - (ends[:-1] - ends[0]), size) + np.arange(int(size.sum()))
         t[where] = body[ends[0] : ends[-1]]
         self.size, self.length, self.n = size, length, len(t)
-        exact = sorted_suffixes(t, at + size)
+        exact, new = sorted_suffixes(t, at + size, length)
         bwt = t[exact - 1]
         head = np.flatnonzero(np.diff(bwt, prepend=bwt[:1] + np.uint8(1)))
         self.run_start, self.run_byte = head, bwt[head]
@@ -234,27 +246,16 @@ class RunIndex:
         self.run_map[order] = np.cumsum(run_len[order]) - run_len[order]
         self.run_end_position = exact[np.append(head[1:], self.n) - 1]  # sampled run ends
         # rows where the first ``length`` bytes change
-        self.group_start = np.flatnonzero(np.diff(self._prefix_class(t, exact), prepend=-1))
+        self.group_start = np.flatnonzero(new)
         self.row_of_end = np.empty(self.n, np.int64)
         self.row_of_end[exact] = np.arange(self.n)
         self.row_of_end = self.row_of_end[at + size]  # rows of the zero bytes that end the strings
         self.owner = np.searchsorted(at, exact, "right") - 1
 
-    def _prefix_class(self, t, exact):
-        """Class of each row by its first ``length`` bytes; only rows with so many matter."""
-        padded = np.concatenate([t, np.zeros(self.length + 8, np.uint8)])
-        out = np.zeros(self.n, bool)
-        for i in range(0, self.length, 8):
-            w = np.ndarray((self.n,), "<u8", padded, i, (1,))[exact]
-            if self.length - i < 8:
-                w = w & np.uint64((1 << 8 * (self.length - i)) - 1)
-            out[1:] |= w[1:] != w[:-1]
-        return np.cumsum(out)
-
-    def step(self, row: np.ndarray) -> np.ndarray:
-        """From the row of a suffix to that of the suffix one byte longer."""
-        run = np.searchsorted(self.run_start, row, "right") - 1
-        return self.run_map[run] + row - self.run_start[run]
+    def steps(self) -> np.ndarray:
+        """For each row, the row of the suffix one byte longer: every run maps as a whole, and is spread out for one pass of streaming."""
+        size = np.diff(np.append(self.run_start, self.n))
+        return (np.repeat(self.run_map - self.run_start, size) + np.arange(self.n)).astype(np.int32)
 
     def least_of_matches(self, weight: np.ndarray, batch: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
         """(first, out): for every place of every string with ``length`` bytes to its right, the least weight of a string that holds those bytes.
@@ -263,6 +264,8 @@ class RunIndex:
         ``first`` says where in ``out`` a string's places begin.
         """
         group_least = np.minimum.reduceat(weight[self.owner], self.group_start)
+        step = self.steps()
+        group = np.repeat(np.arange(len(self.group_start), dtype=np.int32), np.diff(np.append(self.group_start, self.n)))
         places = np.maximum(0, self.size - self.length + 1)
         first = np.cumsum(places) - places
         out = np.full(int(places.sum()), LATE)
@@ -275,12 +278,11 @@ class RunIndex:
                 live = int(np.searchsorted(-left[:live], 0, "left")) if live else 0  # lengths descend
                 if not live:
                     break
-                row = self.step(row[:live])
+                row = step[row[:live]]
                 left = left[:live] - 1
                 matched += 1
                 if matched >= self.length:
-                    group = np.searchsorted(self.group_start, row, "right") - 1
-                    out[first[own[:live]] + left] = group_least[group]
+                    out[first[own[:live]] + left] = group_least[group[row]]
         return first, out
 
 
