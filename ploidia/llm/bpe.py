@@ -28,12 +28,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, from_payload, packed_blocks, to_payload, unpacked
+from .shared import blocks_for, from_payload, packed_blocks, tidy, to_payload, unpacked
 
 #: Input bytes (as stored) that make one block; a block is handled in memory.
-BLOCK_BYTES = 9 << 20
+BLOCK_BYTES = 7 << 20
 #: Words given to the library at once.
-BATCH = 20_000
+BATCH = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -121,6 +121,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "block", "words"])
 
     def ids_of_part(group: pa.Table) -> pa.Table:
+        tidy()
         asked = [from_payload(x.as_buffer()).column("w").combine_chunks() for x in group.column("words")]
         coded = pa.concat_arrays([pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a for a in asked]).dictionary_encode()
         ids = _encode_words(coded.dictionary, path)
@@ -148,7 +149,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         out = []
         # a few documents at a time, so that the expanded ids stay small
         size = np.concatenate([[0], np.cumsum(n_ids[codes])])
-        step = max(1, len(starts) // max(1, int(size[-1] // 2_000_000)))
+        step = max(1, len(starts) // max(1, int(size[-1] // 500_000)))
         for a in range(0, len(starts) - 1, step):
             b = min(a + step, len(starts) - 1)
             own = pa.array(codes[starts[a] : starts[b]])

@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, from_payload, packed_blocks, to_payload, unpacked
+from .shared import blocks_for, from_payload, packed_blocks, tidy, to_payload, unpacked
 
 LENGTH = 50
 #: Bytes of a k-gram: windows have length - K + 1 of them.
@@ -339,6 +339,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return table(zip(*out, strict=True) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()), ["part", "block", "asked"])
 
     def index_part(group: pa.Table) -> pa.Table:
+        tidy()
         asked = [from_payload(x.as_buffer()) for x in group.column("asked")]
         strings = pa.concat_arrays([c for t in asked for c in t.column("s").chunks]).dictionary_encode()
         code = strings.indices.to_numpy(zero_copy_only=False)
