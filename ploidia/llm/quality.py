@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, small_batches
+from .shared import SPACE, small_batches, tidy
 
 PLACES = 1 << 18
 SAMPLE = 20_000
@@ -141,6 +141,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: flo
 
     @F.arrow_udf("array<double>")
     def tails(x: pa.Array) -> pa.Array:
+        tidy()
         weights, thresholds = held.value
         at = x.offsets.to_numpy().astype(np.int64)
         t = Model(weights, thresholds).tails(x.values.to_numpy()[at[0] : at[-1]], at[:-1] - at[0], np.diff(at))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, small_batches, staged, words_of
+from .shared import ascii_lower, small_batches, staged, tidy, words_of
 
 #: Rows of one key compared at once: BLOCK x BLOCK popcounts.
 BLOCK = 1024
@@ -120,8 +120,8 @@ def _spanning_links(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.n
 
 def _links_of(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         kept: list[np.ndarray] = []
-        last = None
 
         def flush(t, k, f):
             out = []
@@ -164,7 +164,9 @@ def _links_of(radius: int):
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links a > b between distinct fingerprints (column fp) that connect every pair within the radius."""
     masks = covering_masks(radius)
-    keyed = distinct.select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("x"), "fp").select("x.t", "x.k", "fp")
+    # a small table becomes one row a mask: spread it first, or a few tasks make all rows
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(parts, "fp").select(F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("x"), "fp").select("x.t", "x.k", "fp")
     dealt = keyed.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
     return dealt.mapInArrow(_links_of(radius), "a bigint, b bigint").distinct()
 
@@ -227,6 +229,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = h.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash_batch(b.column(1))), b.column(2)], names=["doc_id", "fp", "least"])
 
