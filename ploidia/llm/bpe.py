@@ -155,7 +155,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             own = pa.array(codes[starts[a] : starts[b]])
             flat = ids.take(own).flatten().cast(pa.int32())
             bounds = size[starts[a : b + 1]] - size[starts[a]]
-            text = pc.binary_join(pa.LargeListArray.from_arrays((starts[a : b + 1] - starts[a]).astype(np.int64), spoken.take(own)), pa.scalar(" ", pa.large_string()))
+            # a word of white space beyond ASCII has no ids, and no place in the text
+            said = n_ids[codes[starts[a] : starts[b]]] > 0
+            places = np.concatenate([[0], np.cumsum(said)])[starts[a : b + 1] - starts[a]].astype(np.int64)
+            text = pc.binary_join(pa.LargeListArray.from_arrays(places, spoken.take(own.filter(pa.array(said)))), pa.scalar(" ", pa.large_string()))
             doc = rows.column("doc_id")[a:b]
             out.append(pa.table({"doc_id": doc, "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat), "decoded": text.cast(pa.string())}))
         return pa.concat_tables(out)
