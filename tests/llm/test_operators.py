@@ -332,6 +332,20 @@ def test_drop_near_copies(spark):
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == [*range(12), 24]
 
 
+def _edited(words_, every, at=0):
+    return " ".join(f"new{at}x{i}" if i % every == every // 2 else w for i, w in enumerate(words_))
+
+
+def test_no_near_copy_of_the_stated_similarity_stays(spark):
+    base = [[f"b{b}w{i}" for i in range(360)] for b in range(12)]
+    texts = [" ".join(b) for b in base] + [_edited(b, 55, 1) for b in base] + [_edited(b, 30, 2) for b in base]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.8 < like(i, i + 12) < 0.85 and like(i, i + 24) < 0.8 and like(i + 12, i + 24) < 0.8 for i in range(12))
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r[0] for r in kept.collect()) == [*range(12), *range(24, 36)]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
