@@ -346,6 +346,15 @@ def test_no_near_copy_of_the_stated_similarity_stays(spark):
     assert sorted(r[0] for r in kept.collect()) == [*range(12), *range(24, 36)]
 
 
+def test_similar_texts_meet_past_a_dissimilar_first_one(spark):
+    # one shingle outweighs the rest, so all have one fingerprint; the first is like none of the others
+    same = " ".join(["again"] * 120)
+    tails = [" ".join(f"t{k}n{i}" for i in range(40)) for k in range(20)]
+    texts = [same + " " + tails[0]] + [same + " " + t + end for t in tails[1:] for end in ("", " one more")]
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r[0] for r in kept.collect()) == [0, *range(1, 39, 2)]
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
