@@ -355,6 +355,21 @@ def test_similar_texts_meet_past_a_dissimilar_first_one(spark):
     assert sorted(r[0] for r in kept.collect()) == [0, *range(1, 39, 2)]
 
 
+def test_similarity_is_that_of_all_shingles(spark):
+    # a dominant shingle for each pair gives both one fingerprint; a similarity a little above 0.8, or a little below
+    rows = []
+    for p in range(24):
+        n = 72 if p % 2 else 84
+        head = [f"top{p}"] * 1200
+        common = [f"c{p}w{i}" for i in range(600)]
+        rows += [(2 * p + side, " ".join(head + common + [f"s{side}p{p}w{i}" for i in range(n - 4)])) for side in (0, 1)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    like = [len(sets[2 * p] & sets[2 * p + 1]) / len(sets[2 * p] | sets[2 * p + 1]) for p in range(24)]
+    assert all((0.8 < x < 0.83) if p % 2 else (0.78 < x < 0.8) for p, x in enumerate(like)), like
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r[0] for r in kept.collect()) == sorted([*range(0, 48, 2), *range(1, 48, 4)])
+
+
 # 7 ---------------------------------------------------------------------------------------------------------------------
 
 
