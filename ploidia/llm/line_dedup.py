@@ -7,17 +7,21 @@ lines unique in both, in their longest common order, are anchors, the gaps
 between anchors are aligned the same way, and anchors grow into common blocks.
 Blocks of at least ``min_block`` characters go from the later document.
 
-Lines of more holders than ``rare`` don't make pairs; each is a block of its own
-in every holder but the first, found by joining on the line, so that nothing is
-left out and no group of holders is ever gathered. Nothing is lost: the first
-document that holds a line keeps it.
+A pair can miss a block: its lines may be too frequent for pairs (more holders
+than ``rare``), or have their first holders elsewhere. So blocks are also found by
+themselves: from each line on, and back from each line, the shortest run of lines
+that is a block is a key, and every holder of a key but the first loses the run, by
+a join. The shortest runs of a common block cover it, so none is left out at any
+number of holders, and no group of holders is ever gathered. Nothing is lost: the
+first document that holds a line keeps it.
 
 "Later" means a larger (doc_id, row); null ids come first. Lines are compared by
 a 64-bit hash and their length, without the white space around them.
 
 Defined results: null counts as empty; an empty text is one empty line and stays;
 lines shorter than ``min_line`` characters never point to a document and go only
-inside a block; a repeated row goes as a whole if it is long enough; an empty
+inside a block; a run is a block if it has ``min_block`` characters and a line of
+``min_line``; a repeated row goes as a whole if it is long enough; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -98,8 +102,42 @@ def common_blocks(a: list, b: list, weight: np.ndarray, least: int) -> list[int]
     return out
 
 
+#: Base of the hash of a run of lines, modulo 2^64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shortest_runs(h: np.ndarray, n: np.ndarray, at: np.ndarray, min_line: int, min_block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first line, end, key) of the shortest runs that are blocks, from each line on and back from each line.
+
+    Lines of documents lie in a row (hashes h, lengths n); document d has those from at[d] to at[d + 1].
+    """
+    total = len(h)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    line = np.arange(total)
+    chars = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    long = np.flatnonzero(n >= min_line)
+    # the first end with enough characters and a long line, and the last start
+    after = np.concatenate([long, [total]])[np.searchsorted(long, line)] + 1
+    end = np.maximum(np.searchsorted(chars, chars[:-1] + min_block), after)
+    before = np.concatenate([[-1], long])[np.searchsorted(long, line, "right")]
+    start = np.minimum(np.searchsorted(chars, chars[1:] - min_block, "right") - 1, before)
+    on, back = end <= at[1:][doc], start >= at[:-1][doc]
+    first, last = np.concatenate([line[on], start[back]]), np.concatenate([end[on], line[back] + 1])
+    first, last = np.unique(np.stack([first, last]), axis=1) if len(first) else (first, last)
+    # a run's key: its lines' hashes by powers of a base, taken line by line over all runs that are that long
+    key = np.zeros(len(first), np.uint64)
+    u, live = h.view(np.uint64), np.arange(len(first))
+    step = 0
+    with np.errstate(over="ignore"):
+        while len(live := live[first[live] + step < last[live]]):
+            key[live] = (key[live] ^ u[first[live] + step]) * BASE
+            key[live] ^= key[live] >> np.uint64(29)
+            step += 1
+    return doc[first], first - at[:-1][doc[first]], last - at[:-1][doc[first]], key.view(np.int64)
+
+
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
-    """One row per document: doc_id, text, h and n (hash and length of each line), gone (positions), common (hashes that go)."""
+    """One row per document: doc_id, text, h and n (hash and length of each line), gone (positions)."""
     small_batches(docs)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
@@ -129,10 +167,21 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
     aligned = two.mapInArrow(align, "rid bigint, gone array<int>").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    # a frequent line goes by itself; it is a block if it is long enough
-    common = found.where(F.col("df") > rare).join(shared.where(F.col("n") >= min_block).select("h").distinct(), "h", "left_semi").groupBy("rid").agg(F.collect_list("h").alias("common"))
-    marks = staged(aligned.join(common, "rid", "full_outer"), "lines-marks")
-    return rows.join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "h", "n", "gone", "common")
+
+    def runs(batches):
+        for b in batches:
+            (h, at), n = ((b.column(2).flatten().to_numpy(), b.column(2).offsets.to_numpy().astype(np.int64)), b.column(3).flatten().to_numpy())
+            own, start, end, key = shortest_runs(h, n, at - at[0], min_line, min_block)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), b.column(1).take(pa.array(own)), pa.array(key), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["rid", "doc_id", "k", "s", "e"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    keyed = rows.select("rid", "doc_id", "h", "n").mapInArrow(runs, f"rid bigint, doc_id {kind}, k bigint, s int, e int")
+    # the first holder by (doc_id, rid); a document's own repeats are no other holder
+    blocks = staged(keyed.groupBy("k").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.max(F.struct("doc_id", "rid")).alias("last")).where("first.rid <> last.rid").select("k", F.col("first.rid").alias("a")), "lines-blocks")
+    common = keyed.join(blocks, "k").where("rid <> a").groupBy("rid").agg(F.flatten(F.collect_list(F.sequence("s", F.col("e") - 1))).alias("more"))
+    both = aligned.join(common, "rid", "full_outer").select("rid", F.array_distinct(F.concat(F.coalesce("gone", F.array().cast("array<int>")), F.coalesce("more", F.array().cast("array<int>")))).alias("gone"))
+    marks = staged(both, "lines-marks")
+    return rows.join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "h", "n", "gone")
 
 
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
@@ -144,12 +193,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in (part for batch in batches for part in slices(batch, 1, 1 << 20)):
             n, removed, kept = [], [], []
             for i in range(b.num_rows):
-                text, hashes, size, gone, common = b.column(1)[i].as_py(), b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy(), b.column(4)[i], b.column(5)[i]
+                text, hashes, gone = b.column(1)[i].as_py(), b.column(2)[i].values, b.column(4)[i]
                 out = np.zeros(len(hashes), bool)
                 if gone.is_valid:
                     out[gone.values.to_numpy()] = True
-                if common.is_valid:
-                    out |= np.isin(hashes, common.values.to_numpy()) & (size >= min_block)
                 n.append(len(hashes))
                 removed.append(np.flatnonzero(out).astype(np.int32))
                 kept.append(text if not out.any() else "\n".join(x for x, o in zip(text.split("\n"), out, strict=True) if not o))

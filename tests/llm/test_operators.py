@@ -208,6 +208,14 @@ def test_lines_go_from_later_documents(spark, rare):
     assert got[(2, 3)].kept == "own line that nobody else has in this table"
 
 
+def test_frequent_passages_of_short_lines_go(spark):
+    passage = "a first line of thirty-eight characters\nand its second"
+    rows = [(i, f"an own line of document number {i}, held by nobody else here\n{passage}") for i in range(70)]
+    got = {r.doc_id: r for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0
+    assert all(list(got[i].removed) == [1, 2] for i in range(1, 70))
+
+
 def test_first_holder_keeps_every_line(docs):
     got = line_dedup.drop_common_lines(docs).collect()
     assert len(got) == len(rows_of())
