@@ -216,6 +216,27 @@ def test_frequent_passages_of_short_lines_go(spark):
     assert all(list(got[i].removed) == [1, 2] for i in range(1, 70))
 
 
+def test_blocks_whose_lines_stand_elsewhere_first_go(spark):
+    one, two = "a line of forty characters, more or less", "another line of some forty characters"
+    rows = [(1, "x\n" + one), (2, two + "\ny"), (3, f"own three\n{one}\n{two}"), (4, f"own four\n{one}\n{two}\nend"), (5, f"{two}\n{one}")]
+    got = {r.doc_id: list(r.removed) for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [1, 2], 5: []}
+
+
+def test_shortest_runs_cover_every_common_block(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 5, 12, 20, 24, 30, 40, 48, 60)]
+    texts = [[rng.choice(lines) for _ in range(rng.randint(1, 8))] for _ in range(60)]
+    got = {r.doc_id: set(r.removed) for r in line_dedup.drop_common_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        runs = {(s, e): tuple(t[s:e]) for s in range(len(t)) for e in range(s + 1, len(t) + 1)}
+        block = lambda r: sum(map(len, r)) >= 48 and max(map(len, r)) >= 24
+        want = {p for (s, e), r in runs.items() if block(r) and r in seen for p in range(s, e)}
+        assert want <= got[i]
+        seen |= set(runs.values())
+
+
 def test_first_holder_keeps_every_line(docs):
     got = line_dedup.drop_common_lines(docs).collect()
     assert len(got) == len(rows_of())
