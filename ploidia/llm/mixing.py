@@ -10,8 +10,10 @@ that a pseudorandom permutation of the source's block indices gives for k, a new
 permutation for each pass over the source; blocks and slots meet by index.
 
 A source of a third of all rows is spread over hashed lanes, whose lengths are
-summed first, so no window or task holds a whole source. Only one number per
-source reaches the driver.
+summed first, so no window or task holds a whole source. Lane and place in it go
+by the document's id and a hash of its text, never by how rows are dealt, so any
+file layout gives the same mix. One number per source reaches the driver and
+every drawing task; a corpus has few sources, its hosts don't count as such.
 
 Targets: a source weighs as its place in code point order tells (null last), and
 a target stops at ``cap`` times its source's size, the excess shared again by
@@ -38,7 +40,8 @@ BLOCK = 128
 SLOTS = 8192
 CAP = 3
 WEIGHTS = (1, 2, 3)
-LANES = 64
+#: Lanes of a source: a lane of 10^10 documents holds a few millions of them, and a lane is what one task sorts.
+LANES = 4096
 
 
 def word_count(text):
@@ -104,7 +107,7 @@ def permuted(k: np.ndarray, n: int, key: int) -> np.ndarray:
 class Mix:
     """What a mix is made of: ``documents``, ``spans`` and ``slots``, as written tables.
 
-    documents: rid, doc_id, source_ix, size, offset (in its source's stream)
+    documents: rid, doc_id, print (a hash of the text), source_ix, size, offset (in its source's stream)
     spans:     rid, source_ix, block, first (word of the document), words
     slots:     shard, slot, source_ix, block
     sources:   list of (source, size, weight, target, blocks, slots)
@@ -112,10 +115,11 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block=BLOCK, slots=SLOTS, cap=CAP, weights=WEIGHTS, lanes=LANES, seed=17):
         spark = docs.sparkSession
-        sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.monotonically_increasing_id().alias("rid"))
+        sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(f"`{text_col}`").alias("print"), F.monotonically_increasing_id().alias("rid"))
         sized = staged(sized, "mix-sizes")
-        by_lane = Window.partitionBy("source", "lane").orderBy("doc_id", "rid")
-        lanes_of = sized.withColumn("lane", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(lanes)).cast("int")).withColumn("within", F.coalesce(F.sum("size").over(by_lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        # rid only tells rows apart that agree in all else, and so may change places
+        by_lane = Window.partitionBy("source", "lane").orderBy("doc_id", "print", "size", "rid")
+        lanes_of = sized.withColumn("lane", F.pmod(F.xxhash64("doc_id", "print"), F.lit(lanes)).cast("int")).withColumn("within", F.coalesce(F.sum("size").over(by_lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         totals = lanes_of.groupBy("source", "lane").agg(F.sum("size").alias("n"))
         bases = totals.select("source", "lane", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
@@ -130,7 +134,7 @@ class Mix:
         self.sources = [(s, n, w, t, b, k) for (s, n), w, t, b, k in zip(found, weigh, target, blocks, take, strict=True)]
         frame = spark.createDataFrame([(i, s, n, float(w), float(t), b, k) for i, (s, n, w, t, b, k) in enumerate(self.sources)], "source_ix int, source string, source_size bigint, weight double, target double, blocks bigint, slots bigint")
         self.source_table = frame
-        placed = lanes_of.alias("d").join(bases.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.lane") == F.col("b.lane"))).select("d.rid", "d.doc_id", "d.source", "d.size", (F.col("within") + F.col("base")).cast("bigint").alias("offset"))
+        placed = lanes_of.alias("d").join(bases.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.lane") == F.col("b.lane"))).select("d.rid", "d.doc_id", "d.print", "d.source", "d.size", (F.col("within") + F.col("base")).cast("bigint").alias("offset"))
         self.documents = placed.alias("d").join(frame.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_ix", "s.source_size", "s.target")
         self.spans = self.documents.where("size > 0").select(
             "rid", "source_ix", "size", "offset", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))).alias("block")
@@ -161,7 +165,7 @@ class Mix:
         """doc_id, rid, size, source, source_size, target, taken: words that the mix takes, repeats counted."""
         times = self.slots.groupBy("source_ix", "block").agg(F.count("*").alias("times"))
         words = self.spans.join(times, ["source_ix", "block"]).groupBy("rid").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.documents.join(words, "rid", "left").select("doc_id", "rid", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+        return self.documents.join(words, "rid", "left").select("doc_id", "print", "rid", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
     def pieces(self) -> DataFrame:
         """The mixed output: shard, slot, rid, first, words; the documents' words that fill each slot."""
