@@ -1,10 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Documents gather in blocks by hash of their id. A block's texts are split at
-ASCII white space, and only its distinct words leave it, dealt by hash of the
-word; where they meet, each distinct word of the corpus is encoded once. The ids
-come back per block and are joined to the words by position. Decoding looks the
-pieces up by id, a join against the vocabulary, whose size the tokenizer fixes.
+Documents gather in blocks by hash. A block's texts are split at ASCII white
+space, and only its distinct words leave it; where they meet (see ``exchange``),
+each distinct word is encoded once. The ids come back per block and are joined to
+the words by position. Decoding joins each id to its piece: the vocabulary, whose
+size the tokenizer fixes, stands in the plan in the order of its ids, so the join
+is by index, row by row in the JVM, without a shuffle.
 
 The tokenizer must drop white space and treat every word by itself (NFC, lower
 case, split into letters, digits and the rest, as word-level vocabularies do);
@@ -25,10 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, from_payload, packed_blocks, tidy, to_payload, unpacked
+from .exchange import ASKED, RADIX, Meeting, flat_column, word_key
+from .shared import blocks_for, packed_blocks, unpacked
 
 #: Input bytes (as stored) that make one block; a block is handled in memory.
 BLOCK_BYTES = 7 << 20
@@ -77,23 +79,15 @@ def _distinct(lists) -> tuple[np.ndarray, pa.Array]:
     return rank[codes] if len(codes) else np.zeros(0, np.int64), words.take(pa.array(order))
 
 
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
-
-
-def _parts(words: pa.Array, n: int) -> np.ndarray:
-    """Part of each (non-empty) word, by a hash of its bytes."""
-    if not len(words):
-        return np.zeros(0, np.int64)
-    words = words.cast(pa.large_string())
-    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
-    start = at[:-1] - at[0]
-    place = np.arange(len(data)) - np.repeat(start, np.diff(at))
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63], start)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h ^ (h >> np.uint64(29))) % np.uint64(n)).astype(np.int64)
+def merged_words(tables: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
+    """Distinct words (column w) of tables, in byte order, and the place of each table's words."""
+    coded = pa.concat_arrays([c for t in tables for c in t.column("w").chunks]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum([0] + [t.num_rows for t in tables])
+    return pa.table({"w": coded.dictionary.take(pa.array(order))}), [codes[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _encode_words(words: pa.Array, path: str) -> pa.ListArray:
@@ -106,45 +100,24 @@ def _encode_words(words: pa.Array, path: str) -> pa.ListArray:
     return pa.LargeListArray.from_arrays(np.cumsum(np.concatenate(offsets)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>), decoded (the text that the ids decode to)."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, radix: int = RADIX) -> DataFrame:
+    """doc_id, n_tokens, ids (array<int>)."""
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     n = blocks_for(docs, block_bytes)
-    blocks = packed_blocks(base, n, "doc_id")
+    blocks = packed_blocks(base, n, "doc_id", "text")
+    meeting = Meeting(n, word_key(), merged_words, lambda items: pa.table({"ids": _encode_words(flat_column(items, "w"), path)}), radix=radix)
 
     def words_of_block(group: pa.Table) -> pa.Table:
-        words = _distinct(_split(unpacked(group).column("text")))[1]
-        part = _parts(words, n)
-        block = group.column("block")[0].as_py()
-        rows = [(p, block, to_payload(pa.table({"w": words.filter(pa.array(part == p))}))) for p in np.unique(part).tolist()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "block", "words"])
-
-    def ids_of_part(group: pa.Table) -> pa.Table:
-        tidy()
-        asked = [from_payload(x.as_buffer()).column("w").combine_chunks() for x in group.column("words")]
-        coded = pa.concat_arrays([pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a for a in asked]).dictionary_encode()
-        ids = _encode_words(coded.dictionary, path)
-        at, out = 0, []
-        for a in asked:
-            out.append(to_payload(pa.table({"ids": ids.take(coded.indices[at : at + len(a)])})))
-            at += len(a)
-        return pa.table({"block": group.column("block"), "part": group.column("part"), "ids": pa.array(out, pa.binary())})
+        return meeting.ask(pa.table({"w": _distinct(_split(unpacked(group).column("text")))[1]}), group.column("block")[0].as_py())
 
     def join_by_position(group: pa.Table, answers: pa.Table) -> pa.Table:
         rows = unpacked(group)
         lists = _split(rows.column("text"))
         codes, words = _distinct(lists)
-        part = _parts(words, n)
-        order = np.argsort(part, kind="stable")  # words as the parts had them
-        answers = answers.sort_by("part")
-        got = [from_payload(x.as_buffer()).column("ids").combine_chunks() for x in answers.column("ids")]
-        got = [pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a for a in got]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        ids = pa.concat_arrays(got).take(pa.array(back)) if got else pa.LargeListArray.from_arrays(np.zeros(1, np.int64), pa.array([], pa.int32()))
+        told = meeting.told(pa.table({"w": words}), answers)
+        ids = pa.LargeListArray.from_arrays(np.zeros(1, np.int64), pa.array([], pa.int32())) if told is None else flat_column(told, "ids")
         n_ids = pc.list_value_length(ids).to_numpy() if len(ids) else np.zeros(0, np.int64)
-        spoken = decode_ids(ids, path)
         starts = lists.offsets.to_numpy()
         out = []
         # a few documents at a time, so that the expanded ids stay small
@@ -152,39 +125,28 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         step = max(1, len(starts) // max(1, int(size[-1] // 500_000)))
         for a in range(0, len(starts) - 1, step):
             b = min(a + step, len(starts) - 1)
-            own = pa.array(codes[starts[a] : starts[b]])
-            flat = ids.take(own).flatten().cast(pa.int32())
+            flat = ids.take(pa.array(codes[starts[a] : starts[b]])).flatten().cast(pa.int32())
             bounds = size[starts[a : b + 1]] - size[starts[a]]
-            # a word of white space beyond ASCII has no ids, and no place in the text
-            said = n_ids[codes[starts[a] : starts[b]]] > 0
-            places = np.concatenate([[0], np.cumsum(said)])[starts[a : b + 1] - starts[a]].astype(np.int64)
-            text = pc.binary_join(pa.LargeListArray.from_arrays(places, spoken.take(own.filter(pa.array(said)))), pa.scalar(" ", pa.large_string()))
-            doc = rows.column("doc_id")[a:b]
-            out.append(pa.table({"doc_id": doc, "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat), "decoded": text.cast(pa.string())}))
+            out.append(pa.table({"doc_id": rows.column("doc_id")[a:b], "n_tokens": pa.array(np.diff(bounds).astype(np.int64)), "ids": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat)}))
         return pa.concat_tables(out)
 
-    asked = blocks.groupBy("block").applyInArrow(words_of_block, "part int, block int, words binary")
-    answered = asked.groupBy("part").applyInArrow(ids_of_part, "block int, part int, ids binary")
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join_by_position, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
-
-
-def decode_ids(ids, path: str) -> pa.Array:
-    """Text of each list of ids: its pieces with one blank between, as the library decodes without a decoder."""
-    pieces = _pieces(path).take(ids.values if hasattr(ids, "values") else ids.flatten())
-    return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), pieces), pa.scalar(" ", pa.large_string()))
+    answered = meeting.meet(blocks.groupBy("block").applyInArrow(words_of_block, ASKED))
+    return blocks.groupBy("block").cogroup(answered.groupBy("to_grp")).applyInArrow(join_by_position, f"doc_id {kind}, n_tokens bigint, ids array<int>")
 
 
-def pieces_table(spark: SparkSession, path: str) -> DataFrame:
-    """(id, piece): the vocabulary; as many rows as the tokenizer has ids."""
-    return spark.createDataFrame([(i, p) for i, p in enumerate(_pieces(path).to_pylist()) if p is not None], "id int, piece string")
+def pieces_by_id(path: str) -> Column:
+    """The vocabulary as one constant: the piece of id i at place i + 1. Its size is that of the tokenizer's file."""
+    pieces = _pieces(path).to_pylist()
+    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in p for p in pieces if p))
+    return F.split(F.lit(mark.join(p or "" for p in pieces)), mark)
 
 
-def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, decoded, for tables of ids from elsewhere: Arrow batches joined to the vocabulary by id."""
-    base = encoded.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+def decoded(ids: Column, path: str) -> Column:
+    """Text of a list of ids: its pieces with one blank between, as the library decodes without a decoder."""
+    pieces = pieces_by_id(path)
+    return F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), " ")
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), decode_ids(b.column(1), path).cast(pa.string())], names=["doc_id", "decoded"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, decoded string")
+def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with a column ``decoded``; null ids decode to the empty text."""
+    return encoded.withColumn("decoded", F.coalesce(decoded(F.col(f"`{ids_col}`"), path), F.lit("")))

@@ -68,7 +68,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe.encode_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.decode_documents(bpe.encode_documents(_documents(spark, sf_dir), path), path)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

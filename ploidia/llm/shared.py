@@ -88,10 +88,11 @@ def from_payload(payload) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload) if isinstance(payload, bytes) else payload).read_all()
 
 
-def packed_blocks(df: DataFrame, n_blocks: int, key: str, flush_bytes: int = 32 << 20) -> DataFrame:
+def packed_blocks(df: DataFrame, n_blocks: int, *key: str, flush_bytes: int = 32 << 20) -> DataFrame:
     """(block, payload): the rows of ``df`` by hash of ``key``, as zstd Arrow streams that shuffle small.
 
-    A row's block depends on its key alone, so a lost task yields the same blocks again.
+    A row's block depends on its key alone, so a lost task yields the same blocks
+    again; with the text in the key, many rows of one id lie in many blocks.
     """
 
     def emit(held):
@@ -102,7 +103,7 @@ def packed_blocks(df: DataFrame, n_blocks: int, key: str, flush_bytes: int = 32
         starts = np.flatnonzero(np.diff(at[order], prepend=-1))
         for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
             payload = to_payload(table.take(pa.array(order[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array([at[order[s]]], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([at[order[s]]], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     def pack(batches):
         held: list[pa.RecordBatch] = []
@@ -118,8 +119,8 @@ def packed_blocks(df: DataFrame, n_blocks: int, key: str, flush_bytes: int = 32
             yield from emit(held)
 
     small_batches(df)
-    keyed = df.withColumn("__block", F.pmod(F.xxhash64(F.col(key)), F.lit(n_blocks)).cast("int"))
-    return keyed.mapInArrow(pack, "block int, payload binary")
+    keyed = df.withColumn("__block", F.pmod(F.xxhash64(*key), F.lit(n_blocks)))
+    return keyed.mapInArrow(pack, "block bigint, payload binary")
 
 
 def tidy() -> None:
