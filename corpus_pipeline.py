@@ -37,7 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # smaller blocks than the operator takes by itself: here the executors have four stages behind them
-    out = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), block_bytes=3 << 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = bpe.decode_documents(bpe.encode_documents(docs, path, block_bytes=3 << 20), path)
     return out.select("doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
