@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ploidia.llm import bpe, exact_dedup, fingerprints, line_dedup, lm_scoring, mixing, quality, simhash, suffix_dedup, token_store
+from ploidia.llm import bpe, exact_dedup, exchange, fingerprints, line_dedup, lm_scoring, mixing, quality, simhash, suffix_dedup, token_store
 
 SCHEMA = "doc_id long, text string, source string, rid string, name string, h long, `a.b` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,6 +103,16 @@ def test_lm_scoring(docs):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
         assert r.base_score == pytest.approx(want[r.doc_id][4], abs=1e-6)
         assert np.isfinite(r.score) and r.score < 0
+    # the same words and counts by way of several levels, however rows are dealt
+    other, stats = lm_scoring.tokenised(docs.repartition(5), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 50256, "doc_id", "text", block_bytes=512, radix=3)
+    one, stats_one = lm_scoring.tokenised(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 50256, "doc_id", "text")
+    key = lambda r: (r.doc_id, r.held_out, r.n_words, r.n_known, round(r.known_sum, 6), bytes(r.ids))
+    assert sorted(map(key, other.collect())) == sorted(map(key, one.collect()))
+    assert sorted(stats.collect()) == sorted(stats_one.collect())
+    encode = lm_scoring._encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode_ordinary
+    text = dict(rows)
+    for r in one.collect():
+        assert np.frombuffer(r.ids, "<u2").tolist() == [i for w in text[r.doc_id] for i in encode(" " + w)] + [50256]
 
 
 def test_windows_score_each_id_once():
@@ -503,6 +513,34 @@ def test_mixing(docs):
     assert mix.pieces().agg(F.sum("words")).first()[0] == sum(r.taken for r in got)
 
 
+def test_mix_does_not_depend_on_layout(docs):
+    mixes = [sorted((r.doc_id, r.taken) for r in mixing.Mix(d, block=8, slots=32, lanes=4).taken().collect()) for d in (docs, docs.repartition(7), docs.coalesce(1).orderBy("text"))]
+    assert mixes[0] == mixes[1] == mixes[2]
+
+
+def test_taken_words_by_hand(docs):
+    mix = mixing.Mix(docs, block=8, slots=32, lanes=4)
+    stream = {}
+    for r in mix.documents.collect():
+        stream.setdefault(r.source_ix, []).append((r.offset, r.size, r.rid))
+    words_at = {}
+    for ix, own in stream.items():
+        own.sort()
+        flat = [rid for _, size, rid in own for _ in range(size)]
+        # documents lie one after another, without gaps
+        assert all(flat[o : o + n] == [rid] * n for o, n, rid in own)
+        words_at[ix] = flat
+    taken, passes = {}, {}
+    for r in mix.slots.collect():
+        for rid in words_at[r.source_ix][8 * r.block : 8 * r.block + 8]:
+            taken[rid] = taken.get(rid, 0) + 1
+        passes.setdefault(r.source_ix, []).append(r.block)
+    assert {r.rid: r.taken for r in mix.taken().collect() if r.taken} == taken
+    for ix, blocks in passes.items():  # passes over a source's blocks: none comes a time more than another but in the last pass
+        times = [blocks.count(b) for b in range(-(-len(words_at[ix]) // 8))]
+        assert max(times) - min(times) <= 1
+
+
 def test_mixed_documents(docs, empty):
     out = mixing.mixed_documents(docs, block=8)
     assert out.columns == docs.columns
@@ -513,9 +551,11 @@ def test_mixed_documents(docs, empty):
 # 10 --------------------------------------------------------------------------------------------------------------------
 
 
-def test_bpe(docs):
+@pytest.mark.parametrize("radix", [2, 5, 256])
+def test_bpe(docs, radix):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    got = bpe.encode_documents(docs, P.path("word_bpe_49k.json"), block_bytes=256).collect()
+    path = P.path("word_bpe_49k.json")
+    got = bpe.decode_documents(bpe.encode_documents(docs, path, block_bytes=256, radix=radix), path).collect()
     assert len(got) == len(rows_of())
     text = {r[0]: r[1] or "" for r in rows_of()}
     for r in got:
@@ -524,10 +564,52 @@ def test_bpe(docs):
 
 
 def test_decode_table(spark):
-    d = spark.createDataFrame([(1, [320, 1929]), (2, []), (3, None)], "doc_id long, ids array<int>")
+    d = spark.createDataFrame([(1, [320, 1929], "x"), (2, [], None), (3, None, "y")], "doc_id long, ids array<int>, `a.b` string")
     got = {r.doc_id: r.decoded for r in bpe.decode_documents(d, P.path("word_bpe_49k.json")).collect()}
     assert got == {1: Tokenizer.from_file(P.path("word_bpe_49k.json")).decode([320, 1929], skip_special_tokens=False), 2: "", 3: ""}
-    assert bpe.pieces_table(spark, P.path("word_bpe_49k.json")).count() == 49408
+    every = spark.range(49408).select(F.array(F.col("id").cast("int")).alias("ids"))
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert all(r.decoded == t.id_to_token(r.ids[0]) for r in bpe.decode_documents(every, P.path("word_bpe_49k.json")).collect())
+
+
+# the exchange ----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "radix"), [(1, 256), (7, 2), (30, 3), (300, 256)])
+def test_items_of_all_blocks_meet_once(spark, n, radix):
+    import pyarrow as pa
+
+    answered = spark.sparkContext.accumulator(0)
+
+    def answer(items):
+        answered.add(items.num_rows)
+        return pa.table({"said": pa.array([w + "!" for w in items.column("w").to_pylist()])}), str(items.num_rows).encode()
+
+    meeting = exchange.Meeting(n, exchange.word_key(), bpe.merged_words, answer, radix=radix)
+    assert meeting.radix <= radix and meeting.radix**meeting.levels >= n
+    own = lambda block: pa.table({"w": pa.array([f"w{(block * 7 + i) % 50}" for i in range(block % 9)] + ["all"] * (block % 3 > 0), pa.large_string())})
+
+    def ask(group):
+        block = group.column("block")[0].as_py()
+        return meeting.ask(own(block), block)
+
+    def check(group, found):
+        block = group.column("block")[0].as_py()
+        items = own(block)
+        told = meeting.told(items, found)
+        right = told is None if not items.num_rows else told.column("said").to_pylist() == [w + "!" for w in items.column("w").to_pylist()]
+        return pa.table({"block": [block], "right": [right]})
+
+    blocks = spark.range(n).select(F.col("id").alias("block"))
+    asked = blocks.groupBy("block").applyInArrow(ask, exchange.ASKED)
+    assert asked.count() <= n * meeting.radix
+    found = meeting.meet(asked).persist()
+    distinct = {w for k in range(n) for w in own(k).column("w").to_pylist()}
+    assert sum(int(r.found) for r in found.where(F.col("to_path") == exchange.REMARKS).collect()) == len(distinct)
+    assert answered.value == len(distinct)
+    got = blocks.groupBy("block").cogroup(found.where("to_path >= 0").groupBy("to_grp")).applyInArrow(check, "block bigint, right boolean").collect()
+    found.unpersist()
+    assert len(got) == n and all(r.right for r in got)
 
 
 # empty tables ----------------------------------------------------------------------------------------------------------
