@@ -1,19 +1,23 @@
 """Line deduplication by pairwise alignment.
 
-Lines that few documents hold point to overlapping documents: every holder of a
-rare line is paired with the line's first holder, so a line of n holders makes
-n - 1 pairs, not n squared. A pair is aligned by patience diff over line hashes:
-lines unique in both, in their longest common order, are anchors, the gaps
-between anchors are aligned the same way, and anchors grow into common blocks.
-Blocks of at least ``min_block`` characters go from the later document.
-
-A pair can miss a block: its lines may be too frequent for pairs (more holders
-than ``rare``), or have their first holders elsewhere. So blocks are also found by
-themselves: from each line on, and back from each line, the shortest run of lines
-that is a block is a key, and every holder of a key but the first loses the run, by
-a join. The shortest runs of a common block cover it, so none is left out at any
-number of holders, and no group of holders is ever gathered. Nothing is lost: the
-first document that holds a line keeps it.
+Lines that several documents hold point to overlapping documents. Every holder of
+such a line is paired with the line's first holder, so a line of n holders makes
+n - 1 pairs, whatever n, and not n squared: a rare line finds the few that share
+it, a frequent one ties all its holders to one document, and no count decides
+which lines may make pairs. A pair is aligned by patience diff over line hashes:
+lines unique in both, in their longest common order, are anchors, the gaps between
+anchors are aligned the same way, and anchors grow into common blocks. Blocks of
+at least ``min_block`` characters go from the later document. Pairs are dealt by
+their first document, in parts of at most about ``PART`` where it has very many,
+and its lines go to each part once, not to each pair.
+
+A pair can miss a block: its lines may have their first holders elsewhere, or
+stand in another order. So the rest is found by the shortest runs of lines that
+are blocks: from each line on, and back from each line, such a run is a key, and
+every holder of a key but the first loses the run, by a join. The shortest runs of
+a common block cover it, so none is left out at any number of holders, and no
+group of holders is ever gathered. Nothing is lost: the first document that holds
+a line keeps it.
 
 "Later" means a larger (doc_id, row); null ids come first. Lines are compared by
 a 64-bit hash and their length, without the white space around them.
@@ -36,7 +40,9 @@ from pyspark.sql import functions as F
 
 from .shared import slices, small_batches, staged
 
-RARE, MIN_LINE, MIN_BLOCK = 64, 24, 48
+MIN_LINE, MIN_BLOCK = 24, 48
+#: Pairs of one first document that one group of an aligning task holds.
+PART = 1000
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -136,7 +142,7 @@ def shortest_runs(h: np.ndarray, n: np.ndarray, at: np.ndarray, min_line: int, m
     return doc[first], first - at[:-1][doc[first]], last - at[:-1][doc[first]], key.view(np.int64)
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, part: int = PART) -> DataFrame:
     """One row per document: doc_id, text, h and n (hash and length of each line), gone (positions)."""
     small_batches(docs)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -145,28 +151,35 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.select("rid", "doc_id", "text", F.transform("l", lambda x: F.xxhash64(x, F.char_length(x))).alias("h"), F.transform("l", lambda x: F.char_length(x)).alias("n"))
     rows = staged(rows, "lines-documents")
     held = rows.select("rid", "doc_id", F.explode(F.array_distinct(F.arrays_zip("h", "n"))).alias("x")).select("rid", "doc_id", "x.h", "x.n").where(F.col("n") >= min_line)
-    shared = staged(held.groupBy("h", "n").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "rid")).alias("first")).where("df > 1"), "lines-shared")
-    later = held.join(shared, ["h", "n"]).where("rid <> first.rid")
-    found = staged(later.select("rid", "h", "df", F.col("first.rid").alias("a")), "lines-found")
-    pairs = found.where(F.col("df") <= rare).select("a", F.col("rid").alias("b")).distinct()
+    shared = staged(held.groupBy("h", "n").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "rid")).alias("first")).where("df > 1").select("h", "n", F.col("first.rid").alias("a")), "lines-shared")
+    pairs = staged(held.join(shared, ["h", "n"]).where("rid <> a").select("a", F.col("rid").alias("b")).distinct(), "lines-pairs")
+    parts = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "lines-parts")
     # merge joins at every size: these sides hold whole documents' lines and texts, and grow with the input
     of = rows.select("rid", "h", "n")
-    two = pairs.join(of.select(F.col("rid").alias("a"), F.col("h").alias("ha")).hint("merge"), "a").join(of.select(F.col("rid").alias("b"), F.col("h").alias("hb"), F.col("n").alias("nb")).hint("merge"), "b").select("b", "ha", "hb", "nb")
+    later = pairs.join(of.hint("merge"), pairs["b"] == of["rid"]).join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), "b", "h", "n")
+    first = of.join(parts.hint("merge"), of["rid"] == parts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).cast("long").alias("b"), "h", "n")
+    dealt = later.unionByName(first).repartition("a", "part").sortWithinPartitions("a", "part", "b")
 
     def align(batches):
+        lines, own = [], None  # of the first document, which comes ahead of its partners
         for batch in batches:
             rid, gone = [], []
-            key = batch.column(0).to_numpy()
+            a, parts_, b = (batch.column(i).to_numpy() for i in range(3))
             # row by row: only one pair's lines become Python objects at a time
-            (fa, oa), (fb, ob), (fn, on) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[1:4])
+            (fh, oh), (fn, on) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[3:5])
             for i in range(batch.num_rows):
-                got = common_blocks(fa[oa[i] : oa[i + 1]].tolist(), fb[ob[i] : ob[i + 1]].tolist(), fn[on[i] : on[i + 1]], min_block)
+                h = fh[oh[i] : oh[i + 1]].tolist()
+                if b[i] < 0:
+                    lines, own = h, (a[i], parts_[i])
+                    continue
+                assert own == (a[i], parts_[i])
+                got = common_blocks(lines, h, fn[on[i] : on[i + 1]], min_block)
                 if got:
-                    rid.append(key[i])
+                    rid.append(b[i])
                     gone.append(np.array(got, np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
-    aligned = two.mapInArrow(align, "rid bigint, gone array<int>").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    aligned = dealt.mapInArrow(align, "rid bigint, gone array<int>").groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
     def runs(batches):
         for b in batches:
@@ -184,9 +197,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(marks.hint("merge"), "rid", "left").select("doc_id", "text", "h", "n", "gone")
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, part: int = PART) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (positions), kept (the text without its removed lines)."""
-    marked = removed_lines(docs, id_col, text_col, rare, min_line, min_block)
+    marked = removed_lines(docs, id_col, text_col, min_line, min_block, part)
     kind = marked.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
