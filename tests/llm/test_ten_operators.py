@@ -209,11 +209,10 @@ def test_patience():
     assert line_dedup.patience([], b) == [] and line_dedup.patience(list("aaa"), list("aa")) == [(0, 0), (1, 1)]
 
 
-@pytest.mark.parametrize("rare", [2, 64])
-def test_lines_go_from_later_documents(spark, rare):
+def test_lines_go_from_later_documents(spark):
     line = lambda i: f"this is a line of text number {i} and it is long enough to count"
     rows = [(1, "\n".join(map(line, range(6)))), (2, "own line that nobody else has in this table\n" + line(2) + "\n" + line(3)), (3, line(4)), (4, line(4)), (5, "short\nshort"), (6, None), (7, ""), (7, line(4))]
-    got = {(r.doc_id, r.n_lines): r for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare=rare).collect()}
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k].n_removed for k in ((1, 6), (2, 3), (3, 1), (4, 1), (5, 2), (6, 1))] == [0, 2, 1, 1, 0, 0]
     assert got[(2, 3)].kept == "own line that nobody else has in this table"
 
@@ -247,6 +246,91 @@ def test_shortest_runs_cover_every_common_block(spark):
         seen |= set(runs.values())
 
 
+def _patience(a, b):
+    """Matched positions by recursion: equal ends, then lines unique in both in a longest common order, then the gaps."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0)] + [(i + 1, j + 1) for i, j in _patience(a[1:], b[1:])]
+    if a[-1] == b[-1]:
+        return _patience(a[:-1], b[:-1]) + [(len(a) - 1, len(b) - 1)]
+    once = [(a.index(x), b.index(x)) for x in a if a.count(x) == 1 and b.count(x) == 1]
+    best = []  # best[k]: a longest rising chain that ends in once[k], the first of its length
+    for k, (_, j) in enumerate(once):
+        fits = [best[m] for m in range(k) if once[m][1] < j]
+        best.append(max(fits, key=len, default=[]) + [once[k]])
+    if not best:
+        return []
+    longest = max(map(len, best))
+    chain = min((c for c in best if len(c) == longest), key=lambda c: [j for _, j in reversed(c)])
+    out, s, t = [], 0, 0
+    for i, j in [*chain, (len(a), len(b))]:
+        out += [(s + x, t + y) for x, y in _patience(a[s:i], b[t:j])] + [(i, j)]
+        s, t = i + 1, j + 1
+    return out[:-1]
+
+
+def _lines_gone(texts, min_line=24, min_block=48):
+    """By documents in order: what patience alignment with the first holder of each long line removes, and every run that is a block and stood before."""
+    first, runs, out = {}, set(), []
+    for i, text in enumerate(texts):
+        t = [x.strip(" ") for x in (text or "").split("\n")]
+        gone = set()
+        for a in {first[x] for x in t if len(x) >= min_line and x in first}:
+            other = [x.strip(" ") for x in (texts[a] or "").split("\n")]
+            pairs = _patience(other, t)
+            for _, g in itertools.groupby(enumerate(pairs), key=lambda x: (x[1][0] - x[0], x[1][1] - x[0])):
+                block = [j for _, (_, j) in g]
+                if sum(len(t[j]) for j in block) >= min_block:
+                    gone |= set(block)
+        own = {}
+        for s in range(len(t)):
+            for e in range(s + 1, min(len(t), s + 8) + 1):
+                own[s, e] = tuple(t[s:e])
+        for (s, e), r in own.items():
+            if r in runs:
+                gone |= set(range(s, e))
+        runs |= {r for r in own.values() if sum(map(len, r)) >= min_block and max(map(len, r)) >= min_line}
+        for x in t:
+            first.setdefault(x, i)
+        out.append(sorted(gone))
+    return out
+
+
+@pytest.mark.parametrize("part", [3, 1000])
+def test_lines_against_brute_force(spark, part):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 6, 7, 12, 13, 20, 24, 25, 30, 33, 40, 47, 48, 60)]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(1, 7))) for _ in range(150)] + [None, ""]
+    # long documents, one of 20,000 words, and one that repeats it with a change
+    long = ["\n".join(f"line {i} of a long document has its eight own words{' here' * 2}" for i in range(2000))]
+    long.append(long[0].replace("line 700 of", "line 7oo of"))
+    texts += long
+    table = [(i, t, i, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: list(r.removed) for r in line_dedup.drop_common_lines(spark.createDataFrame(table, "doc_id long, text string, rid long, h string").repartition(5), part=part).collect()}
+    want = _lines_gone(texts[:-2])
+    assert [got[i] for i in range(len(want))] == want
+    assert got[len(texts) - 2] == [] and got[len(texts) - 1] == [i for i in range(2000) if i != 700]
+
+
+@pytest.mark.parametrize("holders", [2, 64, 65, 500])
+def test_number_of_holders_changes_nothing(spark, holders):
+    shapes = (["a line of thirty characters, ok"] * 1 + ["and one more of twenty-seven"], ["another single line of more than forty-eight characters"], ["nine chars"] * 0 + ["twelve chars", "thirteen char", "fourteen chars", "fifteen charss"], ["no block, but a long line of 38 chars."])
+    texts = []
+    for i in range(holders):
+        texts.append("\n".join(x for k, shape in enumerate(shapes) for x in [f"own {k} of {i}, which no other holds", *shape]))
+    got = {r.doc_id: list(r.removed) for r in line_dedup.drop_common_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == []
+    assert all(got[i] == [1, 2, 4, 6, 7, 8, 9] for i in range(1, holders))
+
+
+def test_lines_of_null_and_equal_ids(spark):
+    t = "a line that is long enough to be a block by itself, surely"
+    rows = [(None, t), (None, t), (4, t), (4, t), (3, "x\n" + t)]
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed) for r in line_dedup.drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == [(3, 2, 1), (4, 1, 1), (4, 1, 1), (None, 1, 0), (None, 1, 1)]
+
+
 def test_first_holder_keeps_every_line(docs):
     got = line_dedup.drop_common_lines(docs).collect()
     assert len(got) == len(rows_of())
