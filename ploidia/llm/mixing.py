@@ -187,5 +187,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pooled = mix.taken().where("size > 0").groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken")).select("doc_id", "source", "size", F.floor(share + u).cast("int").alias("copies")).where("copies > 0")
     pooled = staged(pooled, "mix-copies")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias(source), word_count(F.col(f"`{text_col}`")).alias(size))
-    joined = own.alias("d").join(pooled.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("m.source")) & (F.col(f"d.{size}") == F.col("m.size")))
+    # a merge join at every size: the copies' table grows with the documents
+    joined = own.alias("d").join(pooled.hint("merge").alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col(f"d.{source}").eqNullSafe(F.col("m.source")) & (F.col(f"d.{size}") == F.col("m.size")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -26,13 +26,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, small_batches, staged, tidy, words_of
 
 #: Rows of one key compared at once: BLOCK x BLOCK popcounts.
 BLOCK = 1024
+#: Keys of at most so many rows give all their links, others a spanning set: either connects the same rows.
+FEW = 8
 
 
 def shingle_hashes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -129,16 +131,16 @@ def _links_of(radius: int):
             starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(t)]])
             size = ends - starts
             # keys with few rows: compare at each distance along the run, all runs at once
-            small = np.repeat(size <= 32, size)
+            small = np.repeat(size <= FEW, size)
             group = np.repeat(np.arange(len(size)), size)
-            for lag in range(1, min(32, len(f))):
+            for lag in range(1, min(FEW, len(f))):
                 same = small[lag:] & (group[lag:] == group[:-lag])
                 if not same.any():
                     break
                 i = np.flatnonzero(same)
                 i = i[distance(f[i], f[i + lag]) <= radius]
                 out.append((f[i], f[i + lag]))
-            for s, e in zip(starts[size > 32], ends[size > 32], strict=True):
+            for s, e in zip(starts[size > FEW], ends[size > FEW], strict=True):
                 out += _spanning_links(f[s:e], radius)
             a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
             b = np.concatenate([y for _, y in out]) if out else np.zeros(0, np.int64)
@@ -204,169 +206,3 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = member.groupBy("label").agg(F.min("least").alias("component_id"))
     named = member.join(least, "label").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Counters of how often shingles stand; they only set the order in which a text's shingles are taken.
-COUNTERS = 1 << 20
-
-
-def _counts(sets: DataFrame) -> np.ndarray:
-    """How many texts hold a shingle of each counter, over all of ``sets`` (column h): a table of fixed size."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
-            np.add(total, np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS), out=total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32 if total.max() < 1 << 31 else np.int64).tobytes()], pa.binary())], names=["c"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total += np.frombuffer(x.as_buffer(), np.int32 if len(x.as_buffer()) == 4 * COUNTERS else np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["c"])
-
-    one = sets.mapInArrow(count, "c binary").repartition(8).mapInArrow(add, "c binary").repartition(1).mapInArrow(add, "c binary").collect()  # one row
-    return sum((np.frombuffer(r["c"], np.int64) for r in one), np.zeros(COUNTERS, np.int64))
-
-
-def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
-    """So many of n shingles, first in any common order, that two sets of at least that similarity share one of theirs."""
-    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-
-
-def _prefixes(counts, similarity: float):
-    """(token, node, n): the rarest shingles of each set, or token 0 for a set without any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        table = counts.value
-        for b in batches:
-            lists, node = b.column(1), b.column(0).to_numpy()
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64)
-            n = np.diff(at)
-            group = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((flat, table[flat & (COUNTERS - 1)], group))
-            place = np.arange(len(flat)) - np.repeat(at[:-1] - at[0], n)
-            taken = order[place < np.repeat(prefix_length(n, similarity), n)]
-            bare = np.flatnonzero(n == 0)
-            own = np.concatenate([group[taken], bare])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([flat[taken], np.zeros(len(bare), np.int64)])), pa.array(node[own]), pa.array(n[own].astype(np.int32))], names=["token", "node", "n"])
-
-    return run
-
-
-def _pairs_across(similarity: float):
-    """All pairs (x, y) of one token whose groups (label) differ and whose sizes allow the similarity; rows come by token, label."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-
-        def pairs(node, n, label):
-            # a row is compared with the rows of later labels only
-            ends = np.searchsorted(label, label, "right")
-            for a in range(0, len(node), BLOCK):
-                for c in range(int(ends[a]) // BLOCK * BLOCK, len(node), BLOCK):
-                    s, t = slice(a, a + BLOCK), slice(c, c + BLOCK)
-                    low, high = np.minimum(n[s, None], n[None, t]), np.maximum(n[s, None], n[None, t])
-                    i, j = np.nonzero((label[s, None] < label[None, t]) & (low >= similarity * high - 1e-9))
-                    if len(i):
-                        u, v = node[s][i], node[t][j]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["x", "y"])
-
-        def groups(cols):
-            token = cols[0]
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            for s, e in zip(starts, [*starts[1:], len(token)], strict=True):
-                if cols[3][s] != cols[3][e - 1]:
-                    yield from pairs(*(c[s:e] for c in cols[1:]))
-
-        kept = None
-        for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
-            if len(cols[0]) == 0:
-                continue
-            if kept is not None:
-                cols = [np.concatenate(x) for x in zip(kept, cols, strict=True)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield from groups([c[:cut] for c in cols])
-            kept = [c[cut:] for c in cols]
-        if kept is not None:
-            yield from groups(kept)
-
-    return run
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (x, y) whose shingle sets have that Jaccard similarity, on all shingles; two empty sets are alike."""
-    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("h").alias("hx")), "x").join(sets.select(F.col("node").alias("y"), F.col("h").alias("hy")), "y")
-    common = F.size(F.array_intersect("hx", "hy"))
-    sized = both.select("x", "y", common.alias("c"), (F.size("hx") + F.size("hy")).alias("n"))
-    return sized.where((F.col("n") == 0) | (F.col("c") >= F.lit(similarity) * (F.col("n") - F.col("c")) - 1e-9)).select("x", "y")
-
-
-def near_pairs(nodes: DataFrame, links_of_nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) of nodes (node, h) that connect every pair of at least that similarity.
-
-    First come ``links_of_nodes``. Then each text's rarest shingles are its keys:
-    two sets of that similarity share one of them, so no pair is missed. A key's
-    holders are judged against its first one; what that leaves in different
-    groups is judged pair by pair. Pairs of one group need no judging.
-    """
-    spark = nodes.sparkSession
-    held = spark.sparkContext.broadcast(_counts(nodes.select("h")))
-    tokens = nodes.select("node", "h").mapInArrow(_prefixes(held, similarity), "token bigint, node bigint, n int")
-    # keys of one holder go at once
-    same = Window.partitionBy("token")
-    keys = staged(tokens.withColumn("k", F.count("*").over(same)).where("k > 1").select("token", "node", "n"), "near-keys")
-    first = keys.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"))
-    fits = F.least("n", "first.n") >= F.lit(similarity) * F.greatest("n", "first.n") - 1e-9
-    led = keys.join(first, "token").where(F.col("node") > F.col("first.node")).where(fits).select(F.col("node").alias("x"), F.col("first.node").alias("y"))
-    judged = staged(links_of_nodes.select("x", "y").union(led).distinct(), "near-pairs")
-    edges = staged(similar(judged, nodes, similarity), "near-edges")
-    labels = components(keys.select("node").distinct(), edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    named = staged(keys.join(labels, "node").select("token", "node", "n", "label"), "near-named")
-    split = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    dealt = named.join(split, "token", "left_semi").repartition("token").sortWithinPartitions("token", "label")
-    rest = dealt.mapInArrow(_pairs_across(similarity), "x bigint, y bigint").distinct().join(judged, ["x", "y"], "left_anti")
-    return edges.union(staged(similar(staged(rest, "near-rest"), nodes, similarity), "near-more"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near copies one, that with the smallest id.
-
-    Two texts are linked if their sets of ``k``-word shingles (by 64-bit hash) have
-    a Jaccard similarity of at least ``similarity``; groups are components of all
-    such links. Fingerprints within the radius give the first candidates, shared
-    rare shingles all the rest; each candidate is judged on all its shingles.
-    """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("sha")).alias("key"), text.alias("text"))
-    # fingerprint and set in one pass over the shingles
-    h = shingle_hashes(rows.select("key", "text"), "key", "text", k).select("doc_id", "h", F.array_sort(F.array_distinct("h")).alias("own"))
-    kind = h.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(simhash_batch(b.column(1))), b.column(2)], names=["doc_id", "fp", "h"])
-
-    nodes = staged(h.mapInArrow(run, f"doc_id {kind}, fp bigint, h array<bigint>").select(F.monotonically_increasing_id().alias("node"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.sha").alias("sha"), "fp", "h"), "near-nodes")
-    classes = staged(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "near-classes")
-    # one link a fingerprint: whatever else its neighbours connect is found by shingles
-    found = staged(links(classes.select("fp"), radius).groupBy("a").agg(F.min("b").alias("b")), "near-links")
-    head = classes.select("fp", "head")
-    across = found.join(head.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(head.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b").select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
-    within = nodes.select("fp", "node").join(classes.where("n > 1").select("fp", "head"), "fp").where("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y"))
-    edges = staged(near_pairs(nodes.select("node", "h"), across.unionByName(within), similarity).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-joined")
-    labels = components(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct(), edges)
-    member = staged(nodes.select("node", "doc_id", "sha").join(labels, "node"), "near-members")
-    first = staged(member.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("best")), "near-first")
-    gone = staged(member.join(first, "label").where("node <> best.node").select("doc_id", "sha").distinct(), "near-gone")
-    stays = staged(member.join(first, "label").where("node = best.node").select("doc_id", "sha").distinct(), "near-stays")
-    # repeated rows of one id and text are one document here: they go together, and stay together if one of them is the first
-    same = lambda b: F.col("d.key.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col("d.key.sha") == F.col(f"{b}.sha"))
-    out = gone.join(stays, gone["doc_id"].eqNullSafe(stays["doc_id"]) & (gone["sha"] == stays["sha"]), "left_anti")
-    return rows.alias("d").join(out.alias("g"), same("g"), "left_anti").select("row.*")
