@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ploidia.llm import bpe, exact_dedup, exchange, fingerprints, line_dedup, lm_scoring, mixing, quality, simhash, suffix_dedup, token_store
+from ploidia.llm import bpe, exact_dedup, exchange, fingerprints, line_dedup, lm_scoring, mixing, near_copies, quality, simhash, suffix_dedup, token_store
 
 SCHEMA = "doc_id long, text string, source string, rid string, name string, h long, `a.b` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -450,7 +450,7 @@ def test_drop_near_copies(spark):
     base = [" ".join(f"w{rng.randint(0, 5000)}" for _ in range(400)) for _ in range(12)]
     near = [b.replace(b.split()[100], "changed", 1) for b in base]
     d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(base + near + [None, "", None])], "doc_id long, text string, label string")
-    kept = simhash.drop_near_copies(d)
+    kept = near_copies.drop_near_copies(d)
     assert kept.columns == d.columns
     assert sorted(r[0] for r in kept.select("doc_id").collect()) == [*range(12), 24]
 
@@ -465,7 +465,7 @@ def test_no_near_copy_of_the_stated_similarity_stays(spark):
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
     assert all(0.8 < like(i, i + 12) < 0.85 and like(i, i + 24) < 0.8 and like(i + 12, i + 24) < 0.8 for i in range(12))
-    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r[0] for r in kept.collect()) == [*range(12), *range(24, 36)]
 
 
@@ -474,7 +474,7 @@ def test_similar_texts_meet_past_a_dissimilar_first_one(spark):
     same = " ".join(["again"] * 120)
     tails = [" ".join(f"t{k}n{i}" for i in range(40)) for k in range(20)]
     texts = [same + " " + tails[0]] + [same + " " + t + end for t in tails[1:] for end in ("", " one more")]
-    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    kept = near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r[0] for r in kept.collect()) == [0, *range(1, 39, 2)]
 
 
@@ -489,7 +489,7 @@ def test_similarity_is_that_of_all_shingles(spark):
     sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
     like = [len(sets[2 * p] & sets[2 * p + 1]) / len(sets[2 * p] | sets[2 * p + 1]) for p in range(24)]
     assert all((0.8 < x < 0.83) if p % 2 else (0.78 < x < 0.8) for p, x in enumerate(like)), like
-    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r[0] for r in kept.collect()) == sorted([*range(0, 48, 2), *range(1, 48, 4)])
 
 
@@ -705,7 +705,7 @@ def test_empty_tables(empty):
     assert suffix_dedup.repeated_spans(empty).count() == 0
     assert line_dedup.drop_common_lines(empty).count() == 0
     assert fingerprints.edited_and_next(empty).count() == 0
-    assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(empty).count() == 0
+    assert simhash.near_groups(empty).count() == 0 and near_copies.drop_near_copies(empty).count() == 0
     assert token_store.read_documents(token_store.write_store(empty, path, 2)).count() == 0
     assert mixing.Mix(empty).taken().count() == 0
     assert bpe.encode_documents(empty, P.path("word_bpe_49k.json")).count() == 0
