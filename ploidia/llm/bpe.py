@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ASKED, RADIX, Meeting, flat_column, word_key
+from .exchange import ASKED, RADIX, Meeting, flat_column, in_hash_order, word_key
 from .shared import blocks_for, packed_blocks, unpacked
 
 #: Input bytes (as stored) that make one block; a block is handled in memory.
@@ -70,19 +70,19 @@ def _split(texts) -> pa.ListArray:
 
 
 def _distinct(lists) -> tuple[np.ndarray, pa.Array]:
-    """Code of each word, and the distinct words in byte order."""
+    """Code of each word, and the distinct words in hash order."""
     coded = lists.values.dictionary_encode()
     words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-    order = pc.sort_indices(words).to_numpy()
+    order = in_hash_order(words)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return rank[codes] if len(codes) else np.zeros(0, np.int64), words.take(pa.array(order))
 
 
 def merged_words(tables: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
-    """Distinct words (column w) of tables, in byte order, and the place of each table's words."""
+    """Distinct words (column w) of tables, in hash order, and the place of each table's words."""
     coded = pa.concat_arrays([c for t in tables for c in t.column("w").chunks]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+    order = in_hash_order(coded.dictionary)
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     codes = rank[coded.indices.to_numpy(zero_copy_only=False)]
