@@ -139,7 +139,7 @@ def _classes(n=60):
 
 def test_scores_are_probabilities_and_causal():
     c = _classes()
-    w = lm_scoring.new_weights(c.start)
+    w = lm_scoring.Scorer(lm_scoring.new_weights(c.start))
     logs = [lm_scoring.score_ids(np.array([7, 3, x], np.uint16), np.array([0, 3]), w, c, 0)[0] for x in range(60)]
     two = lm_scoring.score_ids(np.array([7, 3], np.uint16), np.array([0, 2]), w, c, 0)[0]
     used = len(set(c.of.tolist()))
@@ -151,13 +151,43 @@ def test_scores_are_probabilities_and_causal():
     assert lm_scoring.score_ids(flat, at, w, c, 0)[1] == pytest.approx(lm_scoring.score_ids(one[:5], np.array([0, 5]), w, c, 0)[0], abs=1e-4)
 
 
+def _plain_logs(w, c, ids, end_id):
+    """log P(class) at each place of a window, place by place, by the formula."""
+    x = [c.slot[i] for i in [end_id, *ids[:-1]]]
+    e = [w["emb"][r] + w["pos"][t] for t, r in enumerate(x)]
+    q, k, v = (np.stack([r @ w["qkv"][:, i * lm_scoring.WIDTH : (i + 1) * lm_scoring.WIDTH] for r in e]) for i in range(3))
+    out = []
+    for t in range(len(ids)):
+        s = np.exp(k[: t + 1] @ q[t])
+        z = (e[t] + (s / s.sum()) @ v[: t + 1] @ w["out"]) @ w["cls"] + w["bias"][x[t]]
+        out.append(z - np.log(np.exp(z).sum()))
+    return out
+
+
+def test_scores_by_the_formula():
+    c = _classes()
+    w = lm_scoring.new_weights(c.start)
+    ids = np.random.default_rng(4).integers(0, 60, 40).astype(np.uint16)
+    step = lm_scoring.WINDOW - lm_scoring.OVERLAP
+    want = 0.0
+    for p in range(40):
+        start = 0 if p < lm_scoring.WINDOW else lm_scoring.WINDOW + (p - lm_scoring.WINDOW) // step * step - lm_scoring.OVERLAP
+        part = ids[start : start + lm_scoring.WINDOW]
+        log = _plain_logs(w, c, part.tolist(), 0 if start == 0 else int(ids[start - 1]))[p - start][c.of[ids[p]]]
+        before = lm_scoring.CLASSES if c.of[ids[p]] < lm_scoring.BEGIN else c.of[ids[p - 1] if p else 0]
+        want += log + c.within[before, ids[p]]
+    got = lm_scoring.score_ids(ids, np.array([0, 40]), lm_scoring.Scorer(w), c, 0)[0]
+    assert got == pytest.approx(want / np.log(10), abs=1e-3)
+
+
 def test_gradients():
     c = _classes()
     w = {k: v.astype(np.float64) for k, v in lm_scoring.new_weights(c.start).items()}
     rng = np.random.default_rng(2)
     x, y, live = rng.integers(lm_scoring.OWN, lm_scoring.OWN + 20, (2, 9)), rng.integers(0, 60, (2, 9)), np.ones((2, 9))
     _, g = lm_scoring.backward(w, x, y, live)
-    for k in w:
+    assert set(g) == set(w) - {"bias"}
+    for k in g:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         up, down = ({**w, k: w[k].copy()} for _ in range(2))
         up[k][at] += 1e-4
@@ -166,6 +196,20 @@ def test_gradients():
         assert g[k][at] == pytest.approx(slope, rel=2e-2, abs=1e-4), k
 
 
+def test_training_takes_every_window(spark):
+    c = _classes()
+    rng = np.random.default_rng(6)
+    # ids that repeat what came before them: attention must learn to look back
+    texts = [np.tile(rng.integers(0, 60, 5), 30)[: int(n)].astype("<u2") for n in rng.integers(0, 150, 300)]
+    d = spark.createDataFrame([(i % 10 == 0, t.tobytes()) for i, t in enumerate(texts)], "held_out boolean, ids binary").repartition(3)
+    w, windows = lm_scoring.train(d, c, 0)
+    assert windows == sum(len(lm_scoring.windows_of(np.array([len(t)]))[0]) for i, t in enumerate(texts) if i % 10)
+    held = [t for i, t in enumerate(texts) if i % 10 == 0]
+    flat, at = np.concatenate(held), np.concatenate([[0], np.cumsum([len(t) for t in held])])
+    score = lambda w: lm_scoring.score_ids(flat, at, lm_scoring.Scorer(w), c, 0).sum()
+    assert score(w) > score(lm_scoring.new_weights(c.start))
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
