@@ -39,7 +39,7 @@ ROWS, BANDS = 4, 16
 #: Holders of a band that meet in one group, with as many of another block.
 TOGETHER = 1000
 #: Places of the table that tells which texts are wanted as sets; it only saves shuffling the others.
-PLACES = 1 << 24
+PLACES = 1 << 22
 
 with np.errstate(over="ignore"):
     _MULTIPLIERS = np.random.default_rng(29).integers(1, 1 << 63, ROWS * BANDS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,7 +90,7 @@ def _wanted(keys: DataFrame) -> np.ndarray:
                 bits |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
 
-    few = keys.mapInArrow(mark, "bits binary").repartition(8).mapInArrow(either, "bits binary").collect()  # eight rows of 2 MB
+    few = keys.mapInArrow(mark, "bits binary").repartition(8).mapInArrow(either, "bits binary").collect()  # eight rows of 0.5 MB
     out = np.zeros(PLACES // 8, np.uint8)
     for r in few:
         out |= np.frombuffer(r["bits"], np.uint8)
