@@ -196,6 +196,14 @@ def test_gradients():
         assert g[k][at] == pytest.approx(slope, rel=2e-2, abs=1e-4), k
 
 
+def test_tiles_hold_every_id_once():
+    flat, at = np.arange(1, 60).astype("<u2"), np.array([4, 4, 5, 21, 54])
+    before, target, live = lm_scoring.tiles(flat, at, 99)
+    assert target[live].tolist() == flat[4:54].tolist() and before.shape[1] == lm_scoring.WINDOW
+    assert before[live].tolist() == [99, 99, *flat[5:20].tolist(), 99, *flat[21:53].tolist()]
+    assert not target[~live].any() and all((np.diff(row.astype(int)) <= 0).all() for row in live)
+
+
 def test_training_takes_every_window(spark):
     c = _classes()
     rng = np.random.default_rng(6)
@@ -203,7 +211,7 @@ def test_training_takes_every_window(spark):
     texts = [np.tile(rng.integers(0, 60, 5), 30)[: int(n)].astype("<u2") for n in rng.integers(0, 150, 300)]
     d = spark.createDataFrame([(i % 10 == 0, t.tobytes()) for i, t in enumerate(texts)], "held_out boolean, ids binary").repartition(3)
     w, windows = lm_scoring.train(d, c, 0)
-    assert windows == sum(len(lm_scoring.windows_of(np.array([len(t)]))[0]) for i, t in enumerate(texts) if i % 10)
+    assert windows == sum(-(-len(t) // lm_scoring.WINDOW) for i, t in enumerate(texts) if i % 10)
     held = [t for i, t in enumerate(texts) if i % 10 == 0]
     flat, at = np.concatenate(held), np.concatenate([[0], np.cumsum([len(t) for t in held])])
     score = lambda w: lm_scoring.score_ids(flat, at, lm_scoring.Scorer(w), c, 0).sum()
