@@ -18,7 +18,6 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import from_payload, tidy, to_payload
@@ -155,13 +154,6 @@ def word_hashes(words) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def in_hash_order(words: pa.Array) -> np.ndarray:
-    """Places of distinct words in an order that depends on the words alone: by hash, or by their bytes if two hashes are equal."""
-    h = word_hashes(words)
-    order = np.argsort(h)
-    return order if (h[order][1:] != h[order][:-1]).all() else pc.sort_indices(words).to_numpy().astype(np.int64)
-
-
 def flat_column(table: pa.Table, name: str) -> pa.Array:
     """A column as one array."""
     c = table.column(name).combine_chunks()

@@ -37,11 +37,11 @@ def first_names(genes: DataFrame, order: str = "orig_ix") -> DataFrame:
 
 def normalize_log1p(counts: DataFrame, target_sum: float = Params.target_sum) -> DataFrame:
     """log1p(value * target / total of the cell); a table with any negative value passes unchanged."""
-    by_cell = Window.partitionBy("cell_id")
-    total = F.sum("value").over(by_cell)
-    scaled = F.log1p(F.col("value") * target_sum / F.when(total == 0, 1.0).otherwise(total))
-    any_negative = counts.agg(F.coalesce(F.min("value"), F.lit(0.0)).alias("lowest"))
-    return counts.withColumn("scaled", scaled).crossJoin(F.broadcast(any_negative)).select("cell_id", "gene", F.when(F.col("lowest") < 0, F.col("value")).otherwise(F.col("scaled")).alias("value"))  # one row
+    totals = counts.groupBy("cell_id").agg(F.sum("value").alias("total"), F.min("value").alias("least"))
+    lowest = totals.agg(F.coalesce(F.min("least"), F.lit(0.0)).alias("lowest"))
+    scaled = F.log1p(F.col("value") * target_sum / F.when(F.col("total") == 0, 1.0).otherwise(F.col("total")))
+    placed = counts.join(totals.select("cell_id", "total"), "cell_id").crossJoin(F.broadcast(lowest))  # one row
+    return placed.select("cell_id", "gene", F.when(F.col("lowest") < 0, F.col("value")).otherwise(scaled).alias("value"))
 
 
 def gene_mask(genes: DataFrame, gene_order: DataFrame, cycle: DataFrame | None = None, **rules) -> DataFrame:

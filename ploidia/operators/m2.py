@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import communities, neighbour_graph, principal_components, two_gaussians
+from ..functions.ranks import percentiles
 from ..params import Params
 from ..session import written
 from ..sources.text import checked_signatures, signature_table
@@ -130,23 +131,60 @@ def variance_pool(values: DataFrame, cells: DataFrame, n_genes: int, params: Par
 def finite_or_median(df: DataFrame, col: str) -> DataFrame:
     """Non-finite entries become the median of the others."""
     ok = ~F.isnan(col) & (F.abs(F.col(col)) != float("inf"))
-    med = df.where(ok).agg(F.coalesce(F.median(col), F.lit(0.0)).alias("__med"))
+    med = percentiles(df.where(ok), col, {"__med": 0.5}).select(F.coalesce("__med", F.lit(0.0)).alias("__med"))
     return df.crossJoin(F.broadcast(med)).withColumn(col, F.when(ok, F.col(col)).otherwise(F.col("__med"))).drop("__med")  # one row
 
 
-def collected_scores(df: DataFrame, col: str, most: int = 2_000_000) -> np.ndarray:
-    """One number a cell, for a one-dimensional fit; beyond ``most`` cells, that many quantiles of all of them."""
-    n = df.count()
-    if n <= most:
-        return np.array([r[0] for r in df.select(col).collect()], float)
-    probs = [(i + 0.5) / 10_000 for i in range(10_000)]
-    return np.array(df.agg(F.percentile_approx(col, probs, 100_000)).first()[0], float)
+def fitted_mixture(df: DataFrame, col: str, most: int = 2_000_000) -> tuple[list[float], list[float], list[float]]:
+    """(weights, means, variances) of two Gaussians, the first with the smaller mean.
+
+    Up to ``most`` rows the numbers are collected and fitted on the driver; beyond,
+    every step is an aggregation over all of them. Both are the same fit.
+    """
+    if df.count() <= most:
+        return tuple(x.tolist() for x in two_gaussians(np.array([r[0] for r in df.select(col).collect()], float)))
+    return mixture_by_aggregates(written(df.select(F.col(col).cast("double").alias("x")), "mixture"))
+
+
+def mixture_by_aggregates(df: DataFrame, steps: int = 100, tol: float = 1e-3, floor: float = 1e-6) -> tuple[list[float], list[float], list[float]]:
+    """The fit of ``two_gaussians`` on column x, by sums over all rows; only a row of sums reaches the driver at each step."""
+    x = F.col("x")
+    a, b = percentiles(df, "x", {"a": 0.1, "b": 0.9}).first()
+    centre, total = df.agg(F.avg("x"), F.count("*")).first()
+    for _ in range(100):
+        cut = (a + b) / 2
+        r = df.agg(F.avg(F.when(x <= cut, x)), F.avg(F.when(x > cut, x))).first()
+        if r[0] is None or r[1] is None:  # one value only
+            cut = r[0] if r[1] is None else r[1]
+            break
+        if (r[0], r[1]) == (a, b):
+            break
+        a, b = r
+    high = F.when(x <= cut, 0.0).otherwise(1.0)
+    before, y = -np.inf, x - F.lit(centre)
+    for step in range(steps + 1):
+        sums = [F.sum(high), F.sum(high * y), F.sum(high * y * y), F.sum(y), F.sum(y * y)]
+        told = df.agg(*sums, F.avg(like) if step else F.lit(0.0)).first()
+        if step and (step == steps or abs(told[5] - before) < tol):
+            break
+        if step:
+            before = told[5]
+        n = np.array([total - told[0], told[0]]) + 10 * np.finfo(float).eps
+        s, q = np.array([told[3] - told[1], told[1]]), np.array([told[4] - told[2], told[2]])
+        w, m = n / total, s / n
+        v = np.maximum(q / n - m * m, 0.0) + floor
+        logs = [F.lit(float(np.log(w[i]) - 0.5 * np.log(2 * np.pi * v[i]))) - F.pow(y - float(m[i]), 2) / (2 * float(v[i])) for i in (0, 1)]
+        top = F.greatest(*logs)
+        like = top + F.log(F.exp(logs[0] - top) + F.exp(logs[1] - top))
+        high = F.exp(logs[1] - like)
+    o = np.argsort(m, kind="stable")
+    return w[o].tolist(), (m[o] + centre).tolist(), v[o].tolist()
 
 
 def mixture_pool(values: DataFrame, cells: DataFrame, n_genes: int) -> tuple[DataFrame, dict]:
     v = finite_or_median(cell_variance(values, cells, n_genes), "variance")
-    mix = two_gaussians(collected_scores(v, "variance"))
-    w, m, s = (x.tolist() for x in mix)
+    v = written(v, "variance")
+    w, m, s = fitted_mixture(v, "variance")
     high = F.log(F.lit(w[1])) - 0.5 * (F.log(F.lit(s[1])) + F.pow(F.col("variance") - m[1], 2) / s[1])
     low = F.log(F.lit(w[0])) - 0.5 * (F.log(F.lit(s[0])) + F.pow(F.col("variance") - m[0], 2) / s[0])
     return v.select("cell_id", (low >= high).alias("is_ref")), {"component_means": m, "low_component": 0}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import segment_chromosome, smoothing_matrix, smoothing_width
+from ..functions.ranks import percentiles
 from ..params import Params
 from ..schemas import SEGMENTS
 
@@ -24,16 +25,23 @@ def reference_cells(cells: DataFrame) -> DataFrame:
 
 
 def gene_medians(values: DataFrame, cells: DataFrame, axis: DataFrame) -> DataFrame:
-    """gene_ix, med: exact median over the reference pool, implicit zeros included."""
+    """gene_ix, med: exact median over the reference pool, implicit zeros included.
+
+    Equal values are counted where they are, and ranks run along each gene's
+    distinct values in order, so no gene's values are held at once. Zeros, stored
+    or not, lie between the negative and the positive values.
+    """
     ref = reference_cells(cells)
-    n = ref.agg(F.count("*").cast("int").alias("n_ref"))
-    per = values.join(ref, "cell_id", "left_semi").where("value <> 0").groupBy("gene_ix").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    full = axis.select("gene_ix").join(per, "gene_ix", "left").withColumn("v", F.coalesce("v", F.array().cast("array<double>"))).crossJoin(F.broadcast(n))  # one row
-    negatives = F.size(F.filter("v", lambda x: x < 0))
-    zeros = F.col("n_ref") - F.size("v")
-    at = lambda k: F.when(k < F.col("neg"), F.get("v", k)).when(k < F.col("neg") + F.col("zeros"), F.lit(0.0)).otherwise(F.get("v", k - F.col("zeros")))
-    full = full.withColumns({"neg": negatives, "zeros": zeros, "lo": F.expr("(n_ref - 1) div 2").cast("int"), "hi": F.expr("n_ref div 2").cast("int")})
-    return full.select("gene_ix", F.when(F.col("n_ref") == 0, 0.0).otherwise((at(F.col("lo")) + at(F.col("hi"))) / 2).alias("med"))
+    n = ref.agg(F.count("*").alias("n_ref"))
+    by = values.join(ref, "cell_id", "left_semi").where("value <> 0").groupBy("gene_ix", "value").agg(F.count("*").alias("c"))
+    line = Window.partitionBy("gene_ix").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = by.withColumn("before", F.coalesce(F.sum("c").over(line), F.lit(0)))
+    nnz = by.groupBy("gene_ix").agg(F.sum("c").alias("nnz"))
+    placed = ranked.join(F.broadcast(nnz), "gene_ix").crossJoin(F.broadcast(n))  # a row a gene; one row
+    start = F.col("before") + F.when(F.col("value") > 0, F.col("n_ref") - F.col("nnz")).otherwise(F.lit(0))
+    at = lambda rank: F.max(F.when((start <= F.expr(rank)) & (F.expr(rank) < start + F.col("c")), F.col("value")))
+    found = placed.groupBy("gene_ix").agg(at("(n_ref - 1) div 2").alias("lo"), at("n_ref div 2").alias("hi"))
+    return axis.select("gene_ix").join(found, "gene_ix", "left").select("gene_ix", ((F.coalesce("lo", F.lit(0.0)) + F.coalesce("hi", F.lit(0.0))) / 2).alias("med"))
 
 
 def centered(values: DataFrame, cells: DataFrame, axis: DataFrame, medians: DataFrame) -> DataFrame:
@@ -127,7 +135,7 @@ def segment_means(signal: DataFrame, segments: DataFrame, axis: DataFrame) -> Da
 
 def reference_baseline(cn: DataFrame, cells: DataFrame) -> DataFrame:
     """segment_id, baseline: median over the reference pool."""
-    return cn.join(reference_cells(cells), "cell_id", "left_semi").groupBy("segment_id").agg(F.median("value").alias("baseline"))
+    return percentiles(cn.join(reference_cells(cells), "cell_id", "left_semi"), "value", {"baseline": 0.5}, ("segment_id",))
 
 
 def center_tumor_mean(segments: DataFrame, baseline: DataFrame) -> DataFrame:

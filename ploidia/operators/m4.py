@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import two_gaussians
+from ..functions.ranks import percentiles
 from ..params import Params
 from ..session import written
-from .m2 import collected_scores, graph_clusters
+from .m2 import fitted_mixture, graph_clusters
 from .m3 import reference_baseline
 
 
@@ -41,7 +41,7 @@ def template_of(dev: DataFrame, burdens: DataFrame, excluded: DataFrame | None =
     flagged = burdens.withColumn("out", F.lit(False)) if excluded is None else burdens.join(excluded.select("cell_id", F.col("low_complexity").alias("out")), "cell_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     counts = flagged.agg(F.count_if(~F.col("out")).alias("n_in"))
     eligible = flagged.crossJoin(F.broadcast(counts)).where((F.col("n_in") == 0) | ~F.col("out"))  # one row
-    cut = eligible.agg(F.percentile("burden", F.lit(quantile)).alias("thr"))
+    cut = percentiles(eligible, "burden", {"thr": quantile})
     seeds = eligible.crossJoin(F.broadcast(cut)).where((F.col("burden") >= F.col("thr")) & (F.col("burden") > 0)).select("cell_id", "burden")
     found = dev.join(seeds, "cell_id").groupBy("segment_id").agg(F.avg(F.col("value") / F.col("burden")).alias("t"))
     return dev.select("segment_id").distinct().join(found, "segment_id", "left").select("segment_id", F.coalesce("t", F.lit(0.0)).alias("t"))
@@ -56,7 +56,7 @@ def projection(dev: DataFrame, template: DataFrame, weights: DataFrame | None) -
 
 def low_complexity(detected: DataFrame, frac: float = Params.low_complexity_frac) -> DataFrame:
     """cell_id, low_complexity: fewer genes than ``frac`` of the median cell."""
-    med = detected.agg(F.median("detected").alias("m"))
+    med = percentiles(detected, "detected", {"m": 0.5})
     return detected.crossJoin(F.broadcast(med)).select("cell_id", ((F.col("m") > 0) & (F.col("detected") < frac * F.col("m"))).alias("low_complexity"))  # one row
 
 
@@ -87,10 +87,9 @@ def winsor_and_fences(scores: DataFrame, mult: float = Params.outlier_fence_mult
     the reference leaves the fit, and above it, where a cell is not of the
     reference and not coherent.
     """
-    p = scores.agg(
-        F.percentile("score", F.lit(0.01)).alias("lo"), F.percentile("score", F.lit(0.99)).alias("hi"),
-        F.count_if("is_ref").alias("n_ref"), F.percentile(F.when(F.col("is_ref"), F.col("score")), F.lit(0.25)).alias("q25"), F.percentile(F.when(F.col("is_ref"), F.col("score")), F.lit(0.75)).alias("q75"),
-    )
+    bounds = percentiles(scores, "score", {"lo": 0.01, "hi": 0.99})
+    of_ref = percentiles(scores.where("is_ref"), "score", {"q25": 0.25, "q75": 0.75})
+    p = bounds.crossJoin(of_ref).crossJoin(scores.agg(F.count_if("is_ref").alias("n_ref")))  # one row each
     clipped = scores.crossJoin(F.broadcast(p)).withColumn("clipped", F.least(F.greatest("score", "lo"), F.col("hi")))  # one row
     spread = clipped.agg(F.stddev_pop("clipped").alias("spread"))
     iqr = F.col("q75") - F.col("q25")
@@ -108,7 +107,7 @@ def mixture_calls(scores: DataFrame, params: Params = Params()) -> tuple[DataFra
     n_fenced = prepared.where("fenced").count()
     if spread < 1e-10:
         return prepared.select(*scores.columns, F.lit("normal").alias("class"), F.lit(1.0).alias("confidence")), n_fenced
-    w, m, v = (x.tolist() for x in two_gaussians(collected_scores(fit, "clipped")))
+    w, m, v = fitted_mixture(fit, "clipped")
     log = [F.lit(w[i]) * 0 + F.log(F.lit(w[i])) - 0.5 * (F.log(F.lit(v[i])) + F.pow(F.col("clipped") - m[i], 2) / v[i]) for i in (0, 1)]
     p = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), log[0] - log[1]))))
     sure = F.greatest("p", 1 - F.col("p"))
@@ -126,7 +125,8 @@ def gates(calls: DataFrame, params: Params = Params()) -> DataFrame:
     if params.coherence_gate and params.coherence_gate > 0:
         one = one.withColumn("class", F.when((F.col("class") == "tumor") & (F.col("coherent") < params.coherence_gate), "uncertain").otherwise(F.col("class")))
     tumor = F.col("class") == "tumor"
-    refs = one.agg(F.count_if(tumor).alias("n_tumor"), (params.anti_aligned_frac * F.median(F.when(tumor, F.col("score")))).alias("score_ref"), (params.anti_aligned_frac * F.median(F.when(tumor, F.col("burden")))).alias("burden_ref"))
+    scores, burdens = (percentiles(one.where(tumor), c, {c: 0.5}) for c in ("score", "burden"))
+    refs = one.agg(F.count_if(tumor).alias("n_tumor")).crossJoin(scores.select((params.anti_aligned_frac * F.col("score")).alias("score_ref"))).crossJoin(burdens.select((params.anti_aligned_frac * F.col("burden")).alias("burden_ref")))  # one row each
     anti = (
         (F.col("n_tumor") >= params.anti_aligned_min_tumor) & (F.col("score_ref") > 0) & (F.col("class") == "normal") & ~F.col("low_complexity") & ~F.col("is_ref")
         & (F.col("score") <= -F.col("score_ref")) & (F.col("burden") >= F.col("burden_ref")) & (F.col("coherent") >= params.coherence_support)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import AUTOSOMES
+from ..functions.ranks import percentiles
 from ..params import Params
 from ..session import written
 from .m4 import weighted_median_rows
@@ -57,7 +58,7 @@ def clone_segments(cn: DataFrame, segments: DataFrame, predictions: DataFrame, a
     named = tumor.crossJoin(F.broadcast(labelled)).where((F.col("n_labelled") == 0) | (F.col("subclone") != "")).select("cell_id", F.when(F.col("n_labelled") == 0, "all_tumor").otherwise(F.col("subclone")).alias("clone"), F.col(order).alias("o"))  # one row
     ranks = named.groupBy("clone").agg(F.min("o").alias("o")).select("clone", F.row_number().over(Window.orderBy("o")).alias("clone_ix"))
     rel = cn if baseline is None else cn.join(F.broadcast(baseline), "segment_id").select("cell_id", "segment_id", (F.col("value") - F.col("baseline")).alias("value"))
-    med = rel.join(named, "cell_id").groupBy("clone", "segment_id").agg(F.median("value").alias("m"))
+    med = percentiles(rel.join(named, "cell_id"), "value", {"m": 0.5}, ("clone", "segment_id"))
     a = axis.select(F.col("gene_ix").alias("start_idx"), F.col("chr").alias("c"), F.col("start").alias("s"))
     b = axis.select((F.col("gene_ix") + 1).alias("end_idx"), F.col("end").alias("e"))
     where = segments.select("segment_id", "start_idx", "end_idx").join(a, "start_idx").join(b, "end_idx")
@@ -79,7 +80,7 @@ def confident_diploid(predictions: DataFrame, quantile: float = Params.ref_score
     value = F.col(score) if score in predictions.columns else F.abs("tumor_score")
     low = F.coalesce("low_complexity", F.lit(False)) if "low_complexity" in predictions.columns else F.lit(False)
     pool = predictions.where((F.col("class") == "normal") & ~low).select("cell_id", value.alias("v"))
-    cut = pool.agg(F.percentile("v", F.lit(quantile)).alias("q"))
+    cut = percentiles(pool, "v", {"q": quantile})
     return pool.crossJoin(F.broadcast(cut)).where("v <= q").select("cell_id")  # one row
 
 
@@ -87,7 +88,7 @@ def recenter(cn: DataFrame, reference: DataFrame, weights: DataFrame) -> DataFra
     """Minus the segment's median over the reference (all cells if it is empty), minus the cell's weighted median."""
     size = reference.agg(F.count("*").alias("pool"))
     ref = cn.join(reference.select("cell_id", F.lit(True).alias("__in")), "cell_id", "left").crossJoin(F.broadcast(size)).where((F.col("pool") == 0) | F.col("__in"))  # one row
-    med = ref.groupBy("segment_id").agg(F.median("value").alias("m"))
+    med = percentiles(ref, "value", {"m": 0.5}, ("segment_id",))
     rel = cn.join(F.broadcast(med), "segment_id").select("cell_id", "segment_id", (F.col("value") - F.col("m")).alias("value"))
     return rel.join(weighted_median_rows(rel, weights), "cell_id").select("cell_id", "segment_id", (F.col("value") - F.col("med")).alias("value"))
 
@@ -101,11 +102,12 @@ def denoise(rc: DataFrame, reference: DataFrame, amplifier: float = Params.sd_am
     size = reference.agg(F.count("*").alias("pool"))
     inside = rc.join(reference.select("cell_id", F.lit(True).alias("__in")), "cell_id", "left").crossJoin(F.broadcast(size))  # one row
     total = inside.where("__in").groupBy("cell_id").agg(F.sum(F.abs("value")).alias("total"))
-    med_total = total.agg(F.median("total").alias("mid"))
+    med_total = percentiles(total, "total", {"mid": 0.5})
     clean = total.crossJoin(F.broadcast(med_total)).where("total <= mid").select("cell_id", F.lit(True).alias("__clean"))  # one row
     ref = inside.join(clean, "cell_id", "left").where((F.col("pool") == 0) | (F.col("__in") & ((F.col("pool") < 8) | F.col("__clean"))))
-    mid = ref.groupBy("segment_id").agg(F.median("value").alias("m"))
-    spread = ref.join(F.broadcast(mid), "segment_id").groupBy("segment_id").agg((1.4826 * F.median(F.abs(F.col("value") - F.col("m")))).alias("spread"))
+    mid = percentiles(ref, "value", {"m": 0.5}, ("segment_id",))
+    apart = ref.join(F.broadcast(mid), "segment_id").select("segment_id", F.abs(F.col("value") - F.col("m")).alias("apart"))
+    spread = percentiles(apart, "apart", {"mad": 0.5}, ("segment_id",)).select("segment_id", (1.4826 * F.col("mad")).alias("spread"))
     return rc.join(F.broadcast(spread), "segment_id").select("cell_id", "segment_id", (F.signum("value") * F.greatest(F.abs("value") - amplifier * F.col("spread"), F.lit(0.0))).alias("value"))
 
 

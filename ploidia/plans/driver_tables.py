@@ -47,16 +47,17 @@ def gene_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filtered(spark: SparkSession, d: str):
-    """(values, kept cells, gene axis)."""
-    return m1.filter_normalize_project(counts(spark, d), cells(spark, d), genes(spark, d).select("gene", "orig_ix"), gene_order(spark, d), params=PARAMS)
+    """(values, kept cells, gene axis), each written once, as a run writes them."""
+    found = m1.filter_normalize_project(written(counts(spark, d), "counts"), cells(spark, d), genes(spark, d).select("gene", "orig_ix"), gene_order(spark, d), params=PARAMS)
+    return tuple(written(df, name) for df, name in zip(found, ("values", "kept", "axis"), strict=True))
 
 
 def profiles(spark: SparkSession, d: str):
     """(values, cells, axis, medians, tiles, cn) with one segment a chromosome."""
     values, kept, axis = filtered(spark, d)
-    med = m3.gene_medians(values, kept, axis)
-    tiles = m3.chromosome_tiles(axis)
-    cn = m3.segment_cn(values, kept, tiles, m3.segment_kernel(axis, tiles), med)
+    med = written(m3.gene_medians(values, kept, axis), "medians")
+    tiles = written(m3.chromosome_tiles(axis), "tiles")
+    cn = written(m3.segment_cn(values, kept, tiles, m3.segment_kernel(axis, tiles), med), "cn")
     return values, kept, axis, med, tiles, cn
 
 

@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentiles
+
 ACTIONS = ("warn", "raise", "ignore")
 # Tolerance of integers; and what makes library sizes look normalised.
 INT_TOL = 1e-6
@@ -37,7 +39,8 @@ def value_facts(counts: DataFrame) -> DataFrame:
 def library_facts(counts: DataFrame) -> DataFrame:
     """One row over cells of positive total: n, cv (population), median."""
     totals = counts.groupBy("cell_id").agg(F.sum("value").alias("t")).where("t > 0")
-    return totals.agg(F.count("*").alias("n"), F.try_divide(F.stddev_pop("t"), F.avg("t")).alias("cv"), F.median("t").alias("median"))
+    facts = totals.agg(F.count("*").alias("n"), F.try_divide(F.stddev_pop("t"), F.avg("t")).alias("cv"))
+    return facts.crossJoin(percentiles(totals, "t", {"median": 0.5}))  # one row each
 
 
 def raw_count_reason_table(counts: DataFrame) -> DataFrame:

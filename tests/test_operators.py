@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ploidia.functions import kernels as k
+from ploidia.functions.ranks import percentiles
 from ploidia.operators import evaluate, m1, m2, m3, m4, outputs
 from ploidia.params import Params
 from ploidia.plans.pipeline import call_cnv, run_pipeline
@@ -192,3 +193,82 @@ def test_ucell(spark):
     got = {(r.cell_id, r.label): r.score for r in m2.ucell_scores(values, cells, sig, 10).collect()}
     assert got[("a", "top")] == pytest.approx(1 - (1 + 2.5 - 3) / (20 - 3))
     assert got[("b", "off")] == pytest.approx(1 - (11 - 1) / (10 - 1)) and got[("a", "off")] == got[("b", "off")]
+
+
+@pytest.mark.parametrize(("n", "accuracy"), [(0, 100), (1, 100), (2, 10), (5, 100), (997, 50), (3000, 10)])
+def test_exact_percentiles(spark, n, accuracy):
+    rng = np.random.default_rng(n)
+    v = rng.normal(0, 1, n) if n == 3000 else np.round(rng.normal(0, 1, n), 1)  # with ties, and without
+    rows = [(int(i % 3), float(x)) for i, x in enumerate(v)] + [(0, None), (2, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    wanted = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.99, "f": 1.0}
+    got = percentiles(df, "v", wanted, accuracy=accuracy).collect()
+    assert len(got) == 1
+    assert list(got[0]) == ([None] * 6 if n == 0 else pytest.approx([np.quantile(v, p) for p in wanted.values()]))
+    for r in percentiles(df, "v", wanted, ("g",), accuracy).collect():
+        own = v[np.arange(n) % 3 == r.g]
+        assert [r[k] for k in wanted] == pytest.approx([np.quantile(own, p) for p in wanted.values()])
+
+
+@pytest.mark.parametrize("shape", ["apart", "close", "one value"])
+def test_mixture_by_sums_is_the_collected_fit(spark, shape):
+    rng = np.random.default_rng(5)
+    x = {"apart": np.concatenate([rng.normal(0, 0.1, 900), rng.normal(1, 0.2, 300)]), "close": np.concatenate([rng.normal(0, 1, 600), rng.normal(1.5, 0.5, 600)]), "one value": np.full(50, 2.5)}[shape]
+    df = spark.createDataFrame([(float(v),) for v in x], "score double").repartition(3)
+    small, large = m2.fitted_mixture(df, "score", most=10), m2.fitted_mixture(df, "score")
+    if shape == "one value":
+        assert small[1] == pytest.approx([2.5, 2.5], abs=1e-6) and large[1] == pytest.approx([2.5, 2.5], abs=1e-6)
+    else:
+        for a, b in zip(small, large, strict=True):
+            assert a == pytest.approx(b, rel=1e-6, abs=1e-9)
+
+
+def test_neighbours_and_components_by_brute_force():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (40, 7)) * np.arange(1, 8)
+    r = k.principal_components(x, 3)
+    c = x - x.mean(0)
+    values, vectors = np.linalg.eigh(c.T @ c)
+    assert np.allclose(np.abs(r), np.abs(c @ vectors[:, ::-1][:, :3]))
+    graph = k.neighbour_graph(r, 5)
+    apart = ((r[:, None] - r[None]) ** 2).sum(2)
+    np.fill_diagonal(apart, np.inf)
+    near = [set(np.argsort(a, kind="stable")[:5].tolist()) for a in apart]
+    assert [set(g) for g in graph] == [near[i] | {j for j in range(40) if i in near[j]} for i in range(40)]
+
+
+def _modularity(graph, own, resolution):
+    total = sum(sum(d.values()) for d in graph)
+    degree = np.array([sum(d.values()) for d in graph])
+    inside = sum(w for i, d in enumerate(graph) for j, w in d.items() if own[i] == own[j])
+    return inside / total - resolution * sum((degree[own == c].sum() / total) ** 2 for c in set(own.tolist()))
+
+
+def test_communities_by_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    for _ in range(5):
+        n = 8
+        graph = [{} for _ in range(n)]
+        for i, j in itertools.combinations(range(n), 2):
+            if rng.random() < (0.9 if i // 4 == j // 4 else 0.1):
+                graph[i][j] = graph[j][i] = 1.0
+        if not any(graph):
+            continue
+        got = _modularity(graph, k.communities(graph, 1.0), 1.0)
+        best = max(_modularity(graph, np.array(p), 1.0) for p in itertools.product(range(3), repeat=n))
+        assert got >= 0.95 * best - 1e-9
+
+
+def test_variance_pool_by_numpy(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(1, 0.05, (40, 30)), rng.normal(3, 1.5, (30, 30))]).clip(0)
+    values = spark.createDataFrame([(f"c{i:02d}", j, float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if v], "cell_id string, gene_ix int, value double")
+    cells = spark.createDataFrame([(f"c{i:02d}",) for i in range(70)], "cell_id string")
+    pool, facts = m2.variance_pool(values, cells, 30)
+    own = k.communities(k.neighbour_graph(k.principal_components(x, 29), 15), 1.0)
+    variance = {str(c): x[own == c].var(0).mean() if (own == c).sum() > 1 else np.inf for c in set(own.tolist())}
+    assert facts["all_variances"] == pytest.approx(variance)
+    winner = min(sorted(variance), key=variance.get)
+    assert {r.cell_id for r in pool.where("is_ref").collect()} == {f"c{i:02d}" for i in np.flatnonzero(own == int(winner))}
