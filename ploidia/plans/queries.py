@@ -11,6 +11,7 @@ from ..params import Params
 from ..session import written
 from ..sources import text, validate
 from . import driver_tables as t
+from . import sql
 from .pipeline import run_pipeline
 
 QUERIES: dict = {}
@@ -244,7 +245,7 @@ def m2d(spark: SparkSession, d: str) -> DataFrame:
     return m2.cell_variance(values, kept, axis.count()).select("cell_id", r6("variance").alias("variance"))
 
 
-@query("m2d_mixture_pool")
+@query("m2d_mixture_pool", BASE + ", cv AS (SELECT cell_id, sum(value * value) / count(*) - (sum(value) / count(*)) ** 2 AS variance FROM dense GROUP BY 1)" + sql.mixture("SELECT variance AS x FROM cv") + f"SELECT cell_id, {sql.posterior('variance')} <= 0.5 AS is_ref FROM cv CROSS JOIN mix")
 def m2d_pool(spark: SparkSession, d: str) -> DataFrame:
     values, kept, axis = t.filtered(spark, d)
     return m2.mixture_pool(values, kept, axis.count())[0]
@@ -256,6 +257,21 @@ def m2e(spark: SparkSession, d: str) -> DataFrame:
     return m2.pick_pool(values, kept.drop("is_ref"), axis, params=t.PARAMS)[0].select("cell_id", "is_ref")
 
 
+@query("m2e_supervised_tier", BASE + "SELECT cell_id, is_ref FROM kept")
+def m2e_supervised(spark: SparkSession, d: str) -> DataFrame:
+    values, kept, axis = t.filtered(spark, d)
+    return m2.pick_pool(values, kept.drop("is_ref"), axis, names=kept.where("is_ref").select("cell_id"), params=t.PARAMS)[0].select("cell_id", "is_ref")
+
+
+@query("m2e_signature_tier", UCELL + "SELECT cell_id, score >= 0.01 AND label IN ('L0', 'L2') AS is_ref FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY score DESC, label_ix) AS rn FROM uc) WHERE rn = 1")
+def m2e_signature(spark: SparkSession, d: str) -> DataFrame:
+    values, kept, axis = t.filtered(spark, d)
+    genes = axis.where(F.col("start") % 70 == 0).select("gene", "chr_rank").collect()  # of the gene axis
+    library = {f"L{i}": sorted(g.gene for g in genes if g.chr_rank % 4 == i) for i in range(4)}
+    params = Params(ucell_max_rank=300, normal_score_threshold=0.01, min_normal_cells=1)
+    return m2.pick_pool(values, kept.drop("is_ref"), axis, signatures=library, labels=["L0", "L2"], params=params)[0].select("cell_id", "is_ref")
+
+
 # ---- centre, smooth, segment -----------------------------------------------------------------------------------------
 
 
@@ -293,10 +309,17 @@ def m3e(spark: SparkSession, d: str) -> DataFrame:
     return m3.pooled_signal(values, kept, axis, m3.gene_medians(values, kept, axis)).select("gene_ix", r6("value").alias("value"))
 
 
-@query("m3f_segments")
+POOLED = BASE + ", pooled AS (SELECT gene_ix, chr, avg(s.value) AS value FROM smooth s JOIN axis USING (gene_ix) WHERE NOT is_ref GROUP BY ALL)"
+NUMBERED = """, segs AS (SELECT (row_number() OVER (ORDER BY start_idx) - 1)::INT AS segment_id, chr, start_idx::INT AS start_idx, end_idx::INT AS end_idx, (end_idx - start_idx)::INT AS n_genes,
+  (SELECT avg(value) FROM pooled p WHERE p.gene_ix >= brk.start_idx AND p.gene_ix < brk.end_idx) AS tumor_mean, (SELECT min("start") FROM axis a WHERE a.gene_ix >= brk.start_idx AND a.gene_ix < brk.end_idx) AS start_bp, (SELECT max("end") FROM axis a WHERE a.gene_ix >= brk.start_idx AND a.gene_ix < brk.end_idx)::BIGINT AS end_bp FROM brk)
+"""
+
+
+@query("m3f_segments", POOLED + sql.segments(5) + NUMBERED + "SELECT segment_id, chr, start_idx, end_idx, n_genes, round(tumor_mean, 6) AS tumor_mean, start_bp, end_bp FROM segs")
 def m3f(spark: SparkSession, d: str) -> DataFrame:
     values, kept, axis = t.filtered(spark, d)
-    return m3.segments_from_pooled(m3.pooled_signal(values, kept, axis, m3.gene_medians(values, kept, axis)), axis, min_seg_genes=5)
+    found = m3.segments_from_pooled(m3.pooled_signal(values, kept, axis, m3.gene_medians(values, kept, axis)), axis, min_seg_genes=5)
+    return found.select("segment_id", "chr", "start_idx", "end_idx", "n_genes", r6("tumor_mean").alias("tumor_mean"), "start_bp", "end_bp")
 
 
 @query("m3g_tumor_mean", BASE + "SELECT t.segment_id, t.chr, round((SELECT avg(s.value) FROM smooth s WHERE NOT s.is_ref AND s.gene_ix >= t.start_idx AND s.gene_ix < t.end_idx) - b.baseline, 6) AS tumor_mean FROM tiles t JOIN base b USING (segment_id)")
@@ -393,7 +416,7 @@ def m4h(spark: SparkSession, d: str) -> DataFrame:
     return m4.winsor_and_fences(s, 0.6).select("cell_id", r6("clipped").alias("clipped"), "fenced")
 
 
-@query("m4h_mixture_calls")
+@query("m4h_mixture_calls", EMB + ", marks AS (SELECT * FROM scored)" + sql.mixture_calls() + "SELECT cell_id, class, round(confidence, 6) AS confidence FROM mcall")
 def m4h_calls(spark: SparkSession, d: str) -> DataFrame:
     return m4.mixture_calls(t.scored(spark, d)[2])[0].select("cell_id", "class", r6("confidence").alias("confidence"))
 
@@ -452,6 +475,19 @@ def m4n(spark: SparkSession, d: str) -> DataFrame:
     return m4.altered_segments(t.scored(spark, d)[0])
 
 
+CALLS = "SELECT cell_id, class, round(confidence, 6) AS confidence, round(score, 6) AS tumor_score, n_segments_altered, low_complexity, round(burden, 6) AS cn_burden FROM final JOIN alt USING (cell_id)"
+
+
+def _calls(p: DataFrame) -> DataFrame:
+    """All but the subclones, which come from a graph."""
+    return p.select("cell_id", "class", r6("confidence").alias("confidence"), r6("tumor_score").alias("tumor_score"), "n_segments_altered", "low_complexity", r6("cn_burden").alias("cn_burden"))
+
+
+@query("m4o_calls", EMB + ", who AS (SELECT cell_id, is_ref FROM own), low AS (SELECT cell_id, false AS low_complexity FROM own)" + sql.marks() + sql.mixture_calls() + sql.gated() + CALLS)
+def m4o_calls(spark: SparkSession, d: str) -> DataFrame:
+    return _calls(m4o(spark, d))
+
+
 @query("m4o_classify")
 def m4o(spark: SparkSession, d: str) -> DataFrame:
     cn, own, segs = t.matrix(spark, d)
@@ -611,6 +647,30 @@ def _run(spark: SparkSession, d: str):
     return run_pipeline(t.counts(spark, d), own.select("cell_id", "region"), t.genes(spark, d).select("gene", "orig_ix"), t.gene_order(spark, d), names=own.where("is_ref").select("cell_id"), params=params)
 
 
+RUN = (
+    POOLED + sql.segments(4) + NUMBERED
+    + """, cn2 AS (SELECT cell_id, segment_id, avg(value) AS value FROM smooth JOIN segs ON gene_ix >= start_idx AND gene_ix < end_idx GROUP BY ALL), who AS (SELECT cell_id, is_ref FROM kept),
+    det AS (SELECT k.cell_id, count(v.gene_ix) AS detected FROM kept k LEFT JOIN (SELECT * FROM vals WHERE value <> 0) v USING (cell_id) GROUP BY 1), low AS (SELECT cell_id, detected < 0.5 * (SELECT median(detected) FROM det) AS low_complexity FROM det)
+    """
+    + sql.marks("cn2") + sql.mixture_calls() + sql.gated()
+)
+
+
+@query("api2_calls", RUN + CALLS)
+def api2_calls(spark: SparkSession, d: str) -> DataFrame:
+    return _calls(_run(spark, d).predictions)
+
+
+@query("api2_segments", RUN + ", cb AS (SELECT segment_id, median(value) AS m FROM cn2 JOIN who USING (cell_id) WHERE is_ref GROUP BY 1) SELECT segment_id, chr, start_idx, end_idx, n_genes, round(tumor_mean - m, 6) AS tumor_mean, start_bp, end_bp FROM segs JOIN cb USING (segment_id)")
+def api2_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d).segments.select("segment_id", "chr", "start_idx", "end_idx", "n_genes", r6("tumor_mean").alias("tumor_mean"), "start_bp", "end_bp")
+
+
+@query("api1_annotated_cells", RUN + "SELECT cells.cell_id, region, class AS cnv_class, round(score, 6) AS cnv_score, round(burden, 6) AS cnv_cn_burden, low_complexity AS cnv_low_complexity FROM cells LEFT JOIN final USING (cell_id)")
+def api1_cells(spark: SparkSession, d: str) -> DataFrame:
+    return api1(spark, d).select("cell_id", "region", "cnv_class", r6("cnv_score").alias("cnv_score"), r6("cnv_cn_burden").alias("cnv_cn_burden"), "cnv_low_complexity")
+
+
 @query("api2_run_pipeline")
 def api2(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, d).predictions
