@@ -195,16 +195,16 @@ def test_ucell(spark):
     assert got[("b", "off")] == pytest.approx(1 - (11 - 1) / (10 - 1)) and got[("a", "off")] == got[("b", "off")]
 
 
-@pytest.mark.parametrize(("n", "accuracy"), [(0, 100), (1, 100), (2, 10), (5, 100), (997, 50), (3000, 10)])
+@pytest.mark.parametrize(("n", "accuracy"), [(0, 100), (1, 100), (2, 10), (5, 100), (10, 10_000), (19, 10), (20, 10), (21, 10), (997, 50), (3000, 10), (3000, 1500)])
 def test_exact_percentiles(spark, n, accuracy):
     rng = np.random.default_rng(n)
     v = rng.normal(0, 1, n) if n == 3000 else np.round(rng.normal(0, 1, n), 1)  # with ties, and without
     rows = [(int(i % 3), float(x)) for i, x in enumerate(v)] + [(0, None), (2, None)]
     df = spark.createDataFrame(rows, "g int, v double").repartition(3)
-    wanted = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.99, "f": 1.0}
+    wanted = {"a": 0.0, "b": 0.01, "c": 0.25, "d": 0.5, "e": 0.75, "f": 0.99, "g_": 1.0}
     got = percentiles(df, "v", wanted, accuracy=accuracy).collect()
     assert len(got) == 1
-    assert list(got[0]) == ([None] * 6 if n == 0 else pytest.approx([np.quantile(v, p) for p in wanted.values()]))
+    assert list(got[0]) == ([None] * 7 if n == 0 else pytest.approx([np.quantile(v, p) for p in wanted.values()]))
     for r in percentiles(df, "v", wanted, ("g",), accuracy).collect():
         own = v[np.arange(n) % 3 == r.g]
         assert [r[k] for k in wanted] == pytest.approx([np.quantile(own, p) for p in wanted.values()])
