@@ -9,14 +9,16 @@ by the number of parts. Minimizers that stand in one document only are left out
 first, by exchanging their hashes alone.
 
 A part holds each distinct stretch once, with its smallest document. It builds a
-run-length index of them: suffixes sorted, the Burrows-Wheeler
-transform in runs, suffix positions sampled at run ends, and the rows at which
-suffixes begin to differ within ``length`` bytes. All stretches are then streamed
-through it together, right to left, a step along the runs for each byte; where a
-match reaches ``length`` bytes, its group of rows tells the smallest document
-that holds the string. Copies of a passage are one stretch in the index, so a
-passage in thousands of documents costs as much as one in two, and one group
-never gathers in one task.
+run-length index of them: suffixes sorted, the Burrows-Wheeler transform in runs,
+suffix positions sampled at both ends of each run, and the rows at which suffixes
+begin to differ within ``length`` bytes, with the smallest document of each such
+group. All stretches are then streamed through it together, right to left, as any
+pattern would be: a byte that the row's run holds maps the row, another one moves
+to the nearest run of that byte above or below whose sampled suffix agrees longer,
+and the matched length follows. Where it reaches ``length`` bytes, the row's group
+tells the smallest document that holds the string. Copies of a passage are one
+stretch in the index, so a passage in thousands of documents costs as much as one
+in two, and one group never gathers in one task.
 
 Documents travel once, as compressed blocks by hash of their id, and take the
 answers back block by block. Hashes choose where strings meet, never whether they
@@ -39,13 +41,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks_for, from_payload, packed_blocks, tidy, to_payload, unpacked
+from .exchange import ASKED, RADIX, Meeting, flat_column
+from .shared import blocks_for, from_payload, packed_blocks, to_payload, unpacked
 
 LENGTH = 50
 #: Bytes of a k-gram: windows have length - K + 1 of them.
 K = 20
 #: Stored input bytes of a block.
 BLOCK_BYTES = 3 << 20
+#: Windows whose minimizers are worked out at once.
+PIECE = 1 << 15
 LATE = np.iinfo(np.int64).max
 
 
@@ -99,26 +104,30 @@ def stretches(texts: pa.Array, length: int) -> Stretches:
     z = np.zeros(0, np.int64)
     if len(data) < length:
         return Stretches(data, starts, z, z, z, z.astype(np.uint64))
-    m = window_minima(kgram_hashes(data), length - K + 1)
     n = np.maximum(0, np.diff(starts) - length + 1)  # windows of each document
-    new = np.empty(len(m), bool)
-    new[0] = True
-    np.not_equal(m[1:], m[:-1], out=new[1:])
-    inside = np.zeros(len(m) + 1, np.int32)
     full = n > 0
-    np.add.at(inside, starts[:-1][full], 1)
-    np.add.at(inside, (starts[:-1] + n)[full], -1)
-    inside = np.cumsum(inside[:-1]) > 0
-    new[starts[:-1][full]] = True
-    new &= inside
-    first = np.flatnonzero(new)
+    total = len(data) - length + 1
+    begins = starts[:-1][full]
+    firsts, values = [], []
+    last = np.uint64(0)
+    # a piece at a time, so that what it needs stays in the processor's cache
+    for at in range(0, total, PIECE):
+        end = min(at + PIECE, total)
+        m = window_minima(kgram_hashes(data[at : end + length - 1]), length - K + 1)
+        new = np.empty(len(m), bool)
+        new[0] = at == 0 or m[0] != last
+        np.not_equal(m[1:], m[:-1], out=new[1:])
+        last = m[-1]
+        new[begins[np.searchsorted(begins, at) : np.searchsorted(begins, end)] - at] = True
+        f = np.flatnonzero(new)
+        firsts.append(f + at)
+        values.append(m[f])
+    first, value = np.concatenate(firsts), np.concatenate(values)
     doc = np.searchsorted(starts, first, "right") - 1
-    end = np.minimum(np.append(first[1:], len(m)), starts[doc] + n[doc])
-    return Stretches(data, starts, first, end - first, doc, m[first])
-
-
-def by_part(value: np.ndarray, n: int) -> np.ndarray:
-    return (value % np.uint64(n)).astype(np.int64)
+    inside = first < starts[doc] + n[doc]  # not those windows that run into the next document
+    first, value, doc = first[inside], value[inside], doc[inside]
+    end = np.minimum(np.append(first[1:], total), starts[doc] + n[doc])
+    return Stretches(data, starts, first, end - first, doc, value)
 
 
 def pack_sorted(v: np.ndarray) -> bytes:
@@ -132,14 +141,19 @@ def unpack_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def values_of(s: Stretches, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct minimizers of a block, ascending, and whether two documents of it have them. order: rank of each document."""
+def values_of(s: Stretches, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct minimizers of a block, ascending; whether two documents of it have them; and each stretch's place among them. order: rank of each document."""
     at = np.argsort(s.value, kind="stable")
     v, d = s.value[at], order[s.doc[at]]
-    cut = np.flatnonzero(np.diff(v, prepend=v[:1] + np.uint64(1))) if len(v) else np.zeros(0, np.int64)
+    new = np.empty(len(v), bool)
+    new[:1] = True
+    np.not_equal(v[1:], v[:-1], out=new[1:])
+    place = np.empty(len(v), np.int64)
+    place[at] = np.cumsum(new) - 1
+    cut = np.flatnonzero(new)
     if not len(cut):
-        return v, np.zeros(0, bool)
-    return v[cut], np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut)
+        return v, np.zeros(0, bool), place
+    return v[cut], np.minimum.reduceat(d, cut) != np.maximum.reduceat(d, cut), place
 
 
 def gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -151,8 +165,8 @@ def gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def distinct_stretches(s: Stretches, shared: np.ndarray, ids: np.ndarray, length: int):
-    """Distinct stretches of shared minimizers in byte order: (bytes, smallest document id, minimizer); and which occurrences have which."""
-    use = np.flatnonzero(np.isin(s.value, shared, assume_unique=False)) if len(shared) else np.zeros(0, np.int64)
+    """Distinct stretches, of those that ``shared`` flags, in byte order, with the smallest document id; and which occurrences have which."""
+    use = np.flatnonzero(shared)
     coded = gathered(s.data, s.first[use], s.windows[use] + length - 1).dictionary_encode()
     order = pc.sort_indices(coded.dictionary).to_numpy()
     rank = np.empty(len(order), np.int64)
@@ -160,9 +174,7 @@ def distinct_stretches(s: Stretches, shared: np.ndarray, ids: np.ndarray, length
     code = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(use) else np.zeros(0, np.int64)
     least = np.full(len(order), LATE)
     np.minimum.at(least, code, ids[s.doc[use]])
-    value = np.zeros(len(order), np.uint64)
-    value[code] = s.value[use]
-    return use, code, coded.dictionary.take(pa.array(order)), least, value
+    return use, code, coded.dictionary.take(pa.array(order)), least
 
 
 # ---- the run-length index --------------------------------------------------------------------------------------------
@@ -172,62 +184,99 @@ def sorted_suffixes(t: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     """(rows, new): positions of all suffixes in order, each by its bytes up to its string's end, then by position;
     and where the first ``length`` bytes differ from the row before.
 
-    ``ends`` are the places of the end bytes. Doubling compares 8, 16, ... bytes
-    and stops when the longest string is compared as a whole.
+    ``ends`` are the places of the end bytes. Doubling compares 8, 16, ... bytes,
+    among suffixes that are still alike only, and stops when the longest string is
+    compared as a whole. A rank is the first row of the suffixes alike so far.
     """
     n = len(t)
-    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # bytes before the end
+    left = (np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)).astype(np.int32)  # bytes before the end
     padded = np.concatenate([t, np.zeros(8, np.uint8)])
     key = np.ndarray((n,), ">u8", padded, 0, (1,)).astype(np.uint64)
-    short = left < 8
-    drop = (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64))) % np.uint64(64)
-    key[short] = np.where(left[short] > 0, key[short] >> drop << drop, np.uint64(0))
-    have, longest = 8, int(left.max()) if n else 0
+    short = np.flatnonzero(left < 8)
+    drop = np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64))
+    key[short] = np.where(left[short] > 0, key[short] >> (drop & np.uint64(63)) << (drop & np.uint64(63)), np.uint64(0))
     # equal bytes of unequal lengths (zero bytes inside strings) are told apart by length
-    rank = _ranks(key, None if np.count_nonzero(t == 0) == len(ends) else np.minimum(left, 8))
+    plain = np.count_nonzero(t == 0) == len(ends)
+    rows = np.argsort(key) if plain else np.lexsort((np.minimum(left, 8), key))
+    key = key[rows]
+    differs = np.empty(n + 1, bool)
+    differs[0] = differs[n] = True
+    np.not_equal(key[1:], key[:-1], out=differs[1:n])
+    if not plain:
+        size = np.minimum(left, 8)[rows]
+        differs[1:n] |= size[1:] != size[:-1]
+    rank = np.empty(n, np.int32)
+    rank[rows] = np.maximum.accumulate(np.where(differs[:n], np.arange(n, dtype=np.int32), 0))
+    have, longest = 8, int(left.max()) if n else 0
     level, kept = have, rank  # ranks of the longest power that fits in ``length``
-    while have < longest:
-        after = np.zeros(n, np.uint64)
-        inside = np.flatnonzero(left >= have)
-        after[inside] = rank[inside + have] + np.uint64(1)
-        rank = _ranks(rank << np.uint64(32) | after)
+    alike = rows[~(differs[:n] & differs[1:])]  # in row order: those whose rank another one shares
+    while have < longest and len(alike):
+        if level == have:
+            rank = rank.copy()
+        old = rank[alike]
+        after = np.where(left[alike] >= have, rank[np.minimum(alike + have, n - 1)] + 1, 0)
+        both = old.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
+        order = np.argsort(both)
+        alike, both = alike[order], both[order]
+        own = np.empty(len(alike) + 1, bool)
+        own[0] = own[-1] = True
+        np.not_equal(both[1:], both[:-1], out=own[1:-1])
+        old = (both >> np.uint64(32)).astype(np.int32)
+        group = np.empty(len(alike), bool)
+        group[:1] = True
+        np.not_equal(old[1:], old[:-1], out=group[1:])
+        at = np.arange(len(alike), dtype=np.int32)
+        place = old + at - np.maximum.accumulate(np.where(group, at, 0))  # rows of a rank lie side by side
+        rank[alike] = np.maximum.accumulate(np.where(own[:-1], place, 0))
+        rows[place] = alike
+        alike = alike[~(own[:-1] & own[1:])]
         have *= 2
         if have <= length:
             level, kept = have, rank
-    rows = np.argsort(rank << np.uint64(32) | np.arange(n, dtype=np.uint64))
+    if len(alike):  # wholly alike: by position
+        both = np.sort(rank[alike].astype(np.uint64) << np.uint64(32) | alike.astype(np.uint64))
+        old, alike = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        group = np.empty(len(alike), bool)
+        group[:1] = True
+        np.not_equal(old[1:], old[:-1], out=group[1:])
+        at = np.arange(len(alike))
+        rows[old + at - np.maximum.accumulate(np.where(group, at, 0))] = alike
+    if have <= length:
+        level, kept = length, rank  # all are told apart
     # two windows of ``level`` bytes cover ``length``; shorter suffixes are never asked for, and stand alone
     first = kept[rows]
-    shift = rows + (length - level)
-    second = np.where(left[rows] >= length, kept[np.minimum(shift, n - 1)].astype(np.int64), -1 - rows)
+    second = np.where(left[rows] >= length, kept[np.minimum(rows + (length - level), n - 1)], -1 - rows)
     new = np.empty(n, bool)
     new[:1] = True
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     return rows, new
 
 
-def _ranks(key: np.ndarray, then: np.ndarray | None = None) -> np.ndarray:
-    rows = np.argsort(key) if then is None else np.lexsort((then, key))
-    k = key[rows]
-    new = np.empty(len(k), bool)
-    new[:1] = False
-    np.not_equal(k[1:], k[:-1], out=new[1:])
-    if then is not None:
-        new[1:] |= then[rows][1:] != then[rows][:-1]
-    rank = np.empty(len(k), np.uint64)
-    rank[rows] = np.cumsum(new)
-    return rank
+class Marks:
+    """Marked rows of n, as bits with a count every 64: which mark is the last at or before a row."""
+
+    def __init__(self, at: np.ndarray, n: int):
+        bits = np.zeros(-(-n // 64) * 64, bool)
+        bits[at] = True
+        self.words = np.packbits(bits, bitorder="little").view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+
+    def last(self, row: np.ndarray) -> np.ndarray:
+        word = row >> 6
+        low = self.words[word] & (~np.uint64(0) >> (np.uint64(63) - (row & 63).astype(np.uint64)))
+        return self.before[word] + np.bitwise_count(low) - 1
 
 
 class RunIndex:
     """Run-compressed transform of strings that each end in a zero byte.
 
     Kept per run: its byte, first row, where its first row maps to, and the
-    suffix position at its end; and the rows where a suffix differs from the one
-    before within ``length`` bytes. Zero bytes inside strings are fine: strings
-    are streamed by their own lengths.
+    suffix positions at its first and last row; per group of suffixes alike in
+    ``length`` bytes, its first row and the least weight of their strings. Any
+    bytes may stand in strings and patterns.
     """
 
-    def __init__(self, strings: pa.Array, length: int):
+    def __init__(self, strings: pa.Array, length: int, weight: np.ndarray):
         ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
         body = np.frombuffer(strings.buffers()[2], np.uint8)
         size = np.diff(ends)
@@ -235,149 +284,203 @@ class RunIndex:
         t = np.zeros(int((size + 1).sum()), np.uint8)
         where = np.repeat(at - (ends[:-1] - ends[0]), size) + np.arange(int(size.sum()))
         t[where] = body[ends[0] : ends[-1]]
-        self.size, self.length, self.n = size, length, len(t)
-        exact, new = sorted_suffixes(t, at + size, length)
-        bwt = t[exact - 1]
-        head = np.flatnonzero(np.diff(bwt, prepend=bwt[:1] + np.uint8(1)))
+        self.length, self.n = length, len(t)
+        rows, new = sorted_suffixes(t, at + size, length)
+        # bytes count from 1; the end of the string before a first byte is 0, which no pattern has
+        self.text = t.astype(np.int16) + np.int16(1)
+        self.text[at + size] = 0
+        bwt = self.text[rows - 1]
+        head = np.flatnonzero(np.diff(bwt, prepend=bwt[:1] + np.int16(1)))
         self.run_start, self.run_byte = head, bwt[head]
         run_len = np.diff(np.append(head, self.n))
         order = np.argsort(self.run_byte, kind="stable")
         self.run_map = np.empty(len(head), np.int64)
         self.run_map[order] = np.cumsum(run_len[order]) - run_len[order]
-        self.run_end_position = exact[np.append(head[1:], self.n) - 1]  # sampled run ends
-        # rows where the first ``length`` bytes change
-        self.group_start = np.flatnonzero(new)
-        self.row_of_end = np.empty(self.n, np.int64)
-        self.row_of_end[exact] = np.arange(self.n)
-        self.row_of_end = self.row_of_end[at + size]  # rows of the zero bytes that end the strings
-        self.owner = np.searchsorted(at, exact, "right") - 1
-
-    def steps(self) -> np.ndarray:
-        """For each row, the row of the suffix one byte longer: every run maps as a whole, and is spread out for one pass of streaming."""
-        size = np.diff(np.append(self.run_start, self.n))
-        return (np.repeat(self.run_map - self.run_start, size) + np.arange(self.n)).astype(np.int32)
-
-    def least_of_matches(self, weight: np.ndarray, batch: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
-        """(first, out): for every place of every string with ``length`` bytes to its right, the least weight of a string that holds those bytes.
-
-        Strings are streamed through the index together, each from its end;
-        ``first`` says where in ``out`` a string's places begin.
+        self.run_end = np.append(head[1:], self.n) - 1
+        self.start_position, self.end_position = rows[head], rows[self.run_end]
+        # the runs of each byte in order, to find the nearest ones
+        self.of_byte = order
+        self.run_key = self.run_byte[order].astype(np.int64) * (len(head) + 1) + order
+        self.byte_at = np.searchsorted(self.run_byte[order], np.arange(258))
+        self.runs, group_start = Marks(head, self.n), np.flatnonzero(new)
+        self.groups = Marks(group_start, self.n)
+        self.group_least = np.minimum.reduceat(np.repeat(weight, size + 1)[rows], group_start)
+
+    def _agree(self, body: np.ndarray, at: np.ndarray, most: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """How many bytes of a pattern at body[at], of at most ``most``, agree with the text at ``position``."""
+        out = np.zeros(len(at), np.int64)
+        live = np.flatnonzero(most > 0)
+        while len(live):
+            k = out[live]
+            place = position[live] + k
+            same = (place < self.n) & (body[at[live] + k] == self.text[np.minimum(place, self.n - 1)])
+            live = live[same]
+            out[live] += 1
+            live = live[out[live] < most[live]]
+        return out
+
+    def stream(self, patterns: pa.Array, batch: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """(first, out): for every place of every pattern with ``length`` bytes to its right, the least weight of a string that holds those bytes, or LATE.
+
+        Patterns go through the index together, each from its end; ``first`` says
+        where in ``out`` a pattern's places begin. The matched length is that of
+        the pattern's suffix at the row's own suffix, at most ``length``.
         """
-        group_least = np.minimum.reduceat(weight[self.owner], self.group_start)
-        step = self.steps()
-        group = np.repeat(np.arange(len(self.group_start), dtype=np.int32), np.diff(np.append(self.group_start, self.n)))
-        places = np.maximum(0, self.size - self.length + 1)
+        bounds = np.frombuffer(patterns.buffers()[1], np.int64)[patterns.offset : patterns.offset + len(patterns) + 1]
+        body = np.frombuffer(patterns.buffers()[2] or b"", np.uint8).astype(np.int16) + np.int16(1)
+        size = np.diff(bounds)
+        places = np.maximum(0, size - self.length + 1)
         first = np.cumsum(places) - places
         out = np.full(int(places.sum()), LATE)
-        by_size = np.argsort(-self.size, kind="stable")
-        for at in range(0, len(by_size), batch):
-            own = by_size[at : at + batch]
-            row, left, matched = self.row_of_end[own], self.size[own].copy(), 0
-            live = len(own)
+        by_size = np.argsort(-size, kind="stable")
+        for start in range(0, len(by_size), batch):
+            own = by_size[start : start + batch]
+            left, at = size[own].copy(), bounds[own + 1].copy()  # bytes to go, and the place of what is matched
+            row, position, matched = np.zeros(len(own), np.int64), np.full(len(own), self.start_position[0]), np.zeros(len(own), np.int64)
             while True:
-                live = int(np.searchsorted(-left[:live], 0, "left")) if live else 0  # lengths descend
+                live = int(np.searchsorted(-left, 0, "left"))  # lengths descend
                 if not live:
                     break
-                row = step[row[:live]]
-                left = left[:live] - 1
-                matched += 1
-                if matched >= self.length:
-                    out[first[own[:live]] + left] = group_least[group[row]]
+                left, at, row, position, matched, own = left[:live] - 1, at[:live], row[:live], position[:live], matched[:live], own[:live]
+                byte = body[at - 1]
+                run = self.runs.last(row)
+                off = np.flatnonzero(self.run_byte[run] != byte)
+                if len(off):
+                    run, row, position, matched = self._jump(off, byte, run, row, position, matched, body, at)
+                row = self.run_map[run] + row - self.run_start[run]
+                position = position - 1
+                matched = np.minimum(matched + 1, self.length)
+                at = at - 1
+                whole = np.flatnonzero(matched >= self.length)
+                out[first[own[whole]] + left[whole]] = self.group_least[self.groups.last(row[whole])]
         return first, out
 
+    def _jump(self, off, byte, run, row, position, matched, body, at):
+        """Rows whose run holds another byte go to the nearest run of theirs, above or below, by the longer agreement with the samples there."""
+        own = byte[off].astype(np.int64)
+        low, high = self.byte_at[own], self.byte_at[own + 1]
+        # the next run of the byte after this one
+        below = np.searchsorted(self.run_key, own * (len(self.run_start) + 1) + run[off])
+        has_below, has_above = below < high, below > low
+        r_below, r_above = self.of_byte[np.minimum(below, len(self.of_byte) - 1)], self.of_byte[np.maximum(below - 1, 0)]
+        most = matched[off]
+        n_below = np.where(has_below, self._agree(body, at[off], np.where(has_below, most, 0), self.start_position[r_below]), -1)
+        n_above = np.where(has_above, self._agree(body, at[off], np.where(has_above, most, 0), self.end_position[r_above]), -1)
+        down = n_below > n_above
+        chosen = np.where(down, r_below, r_above)
+        absent = ~has_below & ~has_above  # a byte that the text has not: nothing is matched, and the row stays where it may begin again
+        run, row, position, matched = run.copy(), row.copy(), position.copy(), matched.copy()
+        run[off] = np.where(absent, run[off], chosen)
+        row[off] = np.where(absent, self.run_start[run[off]], np.where(down, self.run_start[chosen], self.run_end[chosen]))
+        position[off] = np.where(absent, self.start_position[run[off]], np.where(down, self.start_position[chosen], self.end_position[chosen]))
+        matched[off] = np.where(absent, -1, np.maximum(n_below, n_above))
+        return run, row, position, matched
+
 
 # ---- the operator ----------------------------------------------------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _pack_minimizers(items: pa.Table) -> bytes:
+    return to_payload(pa.table({"v": [pack_sorted(items.column("v").to_numpy())], "twice": [np.packbits(items.column("twice").to_numpy()).tobytes()]}))
+
+
+def _unpack_minimizers(payload) -> pa.Table:
+    row = from_payload(payload)
+    v = unpack_sorted(row.column("v")[0].as_py())
+    return pa.table({"v": v, "twice": np.unpackbits(np.frombuffer(row.column("twice")[0].as_py(), np.uint8), count=len(v)).astype(bool)})
+
+
+def _met_minimizers(tables: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
+    """Distinct minimizers, ascending, and whether two documents have them."""
+    distinct, where = np.unique(np.concatenate([t.column("v").to_numpy() for t in tables]), return_inverse=True)
+    times = np.bincount(where, weights=1 + np.concatenate([t.column("twice").to_numpy() for t in tables]), minlength=len(distinct))
+    cuts = np.cumsum([0] + [t.num_rows for t in tables])
+    return pa.table({"v": distinct, "twice": times > 1}), [where[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def minimizers_of(strings: pa.Array) -> np.ndarray:
+    """The least k-gram hash of each string, which is the minimizer of all its windows."""
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    h = kgram_hashes(np.frombuffer(strings.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    start = ends[:-1] - ends[0]
+    inner = np.empty(2 * len(start), np.int64)
+    inner[::2], inner[1::2] = start, start + np.diff(ends) - K + 1
+    inner = np.minimum(inner, len(h))
+    return np.minimum.reduceat(np.append(h, ~np.uint64(0)), inner)[::2]
+
+
+def _met_stretches(tables: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
+    """Distinct stretches in byte order, each with its smallest document."""
+    coded = pa.concat_arrays([c for t in tables for c in t.column("s").chunks]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    least = np.full(len(order), LATE)
+    np.minimum.at(least, code, np.concatenate([t.column("d").to_numpy() for t in tables]))
+    cuts = np.cumsum([0] + [t.num_rows for t in tables])
+    return pa.table({"s": coded.dictionary.take(pa.array(order)), "d": least}), [code[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes: int = BLOCK_BYTES, radix: int = RADIX) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, end: the maximal removed runs), kept (the bytes that stay)."""
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     n = blocks_for(docs, block_bytes)
-    blocks = packed_blocks(base, n, "doc_id")
+    blocks = packed_blocks(base, n, "doc_id", "text")
+
+    def answer(items: pa.Table) -> pa.Table:
+        """Of each stretch, the places from which another document is the smallest that holds the bytes there."""
+        strings = flat_column(items, "s")
+        first, found = RunIndex(strings, length, items.column("d").to_numpy()).stream(strings)
+        new = np.diff(found, prepend=found[:1] ^ 1) != 0
+        new[first] = True
+        at = np.flatnonzero(new)
+        bounds = np.append(np.searchsorted(at, first), len(at))
+        whose = np.searchsorted(first, at, "right") - 1
+        return pa.table({"at": pa.LargeListArray.from_arrays(bounds, pa.array((at - first[whose]).astype(np.int32))), "d": pa.LargeListArray.from_arrays(bounds, pa.array(found[at]))})
+
+    by_value = Meeting(n, lambda items: items.column("v").to_numpy(), _met_minimizers, lambda items: pa.table({"shared": items.column("twice")}), _pack_minimizers, _unpack_minimizers, radix)
+    by_stretch = Meeting(n, lambda items: minimizers_of(flat_column(items, "s")), _met_stretches, answer, radix=radix)
 
     def opened(group: pa.Table):
         rows = unpacked(group)
         ids = pc.fill_null(rows.column("doc_id"), LATE).to_numpy()
-        text = rows.column("text").combine_chunks()
-        text = pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text
-        return rows, ids, stretches(text, length)
+        return rows, ids, stretches(flat_column(rows, "text"), length)
 
-    def table(cols, types, names):
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+    def values(s: Stretches, ids: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+        value, twice, place = values_of(s, np.unique(ids, return_inverse=True)[1])
+        return pa.table({"v": value, "twice": twice}), place
 
     def minimizers(group: pa.Table) -> pa.Table:
         _, ids, s = opened(group)
-        value, twice = values_of(s, np.unique(ids, return_inverse=True)[1])
-        part, block = by_part(value, n), group.column("block")[0].as_py()
-        out = [(p, block, pack_sorted(value[mine := part == p]), np.packbits(twice[mine]).tobytes()) for p in np.unique(part).tolist()]
-        return table(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), ["part", "block", "value", "twice"])
-
-    def shared_in_part(group: pa.Table) -> pa.Table:
-        asked = [unpack_sorted(x.as_py()) for x in group.column("value")]
-        twice = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(v)) for x, v in zip(group.column("twice"), asked, strict=True)]
-        distinct, where = np.unique(np.concatenate(asked), return_inverse=True)
-        times = np.bincount(where, weights=1 + np.concatenate(twice), minlength=len(distinct))
-        shared, at, back = times[where] > 1, 0, []
-        for v in asked:
-            back.append(np.packbits(shared[at : at + len(v)]).tobytes())
-            at += len(v)
-        return pa.table({"block": group.column("block"), "kind": pa.array([0] * len(back), pa.int32()), "part": group.column("part"), "found": pa.array(back, pa.binary())})
+        return by_value.ask(values(s, ids)[0], group.column("block")[0].as_py())
 
     def shared_of(s: Stretches, ids: np.ndarray, found: pa.Table) -> np.ndarray:
-        value, _ = values_of(s, np.unique(ids, return_inverse=True)[1])
-        part, out = by_part(value, n), [np.zeros(0, np.uint64)]
-        for p, bits in zip(found.column("part").to_pylist(), found.column("found"), strict=True):
-            mine = value[part == p]
-            out.append(mine[np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(mine)).astype(bool)])
-        return np.concatenate(out)
+        items, place = values(s, ids)
+        told = by_value.told(items, found)
+        return np.zeros(0, bool) if told is None else told.column("shared").to_numpy()[place]
 
     def shared_stretches(group: pa.Table, found: pa.Table) -> pa.Table:
         _, ids, s = opened(group)
-        _, _, strings, least, value = distinct_stretches(s, shared_of(s, ids, found), ids, length)
-        part, block = by_part(value, n), group.column("block")[0].as_py() if len(group) else -1
-        out = [(p, block, to_payload(pa.table({"s": strings.filter(pa.array(mine := part == p)), "d": least[mine]}))) for p in np.unique(part).tolist()]
-        return table(zip(*out, strict=True) if out else [[]] * 3, (pa.int32(), pa.int32(), pa.binary()), ["part", "block", "asked"])
-
-    def index_part(group: pa.Table) -> pa.Table:
-        tidy()
-        asked = [from_payload(x.as_buffer()) for x in group.column("asked")]
-        strings = pa.concat_arrays([c for t in asked for c in t.column("s").chunks]).dictionary_encode()
-        code = strings.indices.to_numpy(zero_copy_only=False)
-        least = np.full(len(strings.dictionary), LATE)
-        np.minimum.at(least, code, np.concatenate([t.column("d").to_numpy() for t in asked]))
-        first, found = RunIndex(strings.dictionary, length).least_of_matches(least)
-        places = np.append(first[1:], len(found)) - first
-        at, back = 0, []
-        for t in asked:
-            own = code[at : at + len(t)]
-            at += len(t)
-            k = places[own]
-            ends = np.cumsum(k)
-            flat = found[np.repeat(first[own] - (ends - k), k) + np.arange(int(ends[-1]))]
-            new = np.flatnonzero(np.diff(flat, prepend=flat[:1] ^ 1))
-            back.append(to_payload(pa.table({"at": new.astype(np.int32), "d": flat[new]})))
-        return pa.table({"block": group.column("block"), "kind": pa.array([1] * len(back), pa.int32()), "part": group.column("part"), "found": pa.array(back, pa.binary())})
+        _, _, strings, least = distinct_stretches(s, shared_of(s, ids, found), ids, length)
+        return by_stretch.ask(pa.table({"s": strings, "d": least}), group.column("block")[0].as_py())
 
     def cut(group: pa.Table, found: pa.Table) -> pa.Table:
         rows, ids, s = opened(group)
-        found = found.sort_by("part")
         kind = found.column("kind").to_numpy()
-        use, code, _, _, value = distinct_stretches(s, shared_of(s, ids, found.filter(pa.array(kind == 0))), ids, length)
-        part = by_part(value, n)
-        sent = np.argsort(part, kind="stable")  # distinct stretches as the parts had them
-        windows = np.zeros(len(value), np.int64)
-        windows[code] = s.windows[use]
-        size = windows[sent]
-        least = np.empty(int(size.sum()), np.int64)
-        at = 0
-        for p, x in zip(*(lambda f: (f.column("part").to_pylist(), f.column("found")))(found.filter(pa.array(kind == 1))), strict=True):
-            t = from_payload(x.as_buffer())
-            total = int(windows[part == p].sum())
-            new = t.column("at").to_numpy()
-            least[at : at + total] = np.repeat(t.column("d").to_numpy(), np.diff(np.append(new, total)))
-            at += total
-        begin = np.empty(len(value), np.int64)
-        begin[sent] = np.cumsum(size) - size
+        use, code, strings, _ = distinct_stretches(s, shared_of(s, ids, found.filter(pa.array(kind == 0))), ids, length)
+        told = by_stretch.told(pa.table({"s": strings}), found.filter(pa.array(kind == 1)))
+        size = np.zeros(len(strings), np.int64)
+        size[code] = s.windows[use]
+        begin = np.cumsum(size) - size
+        if told is None:
+            least = np.zeros(0, np.int64)
+        else:
+            at = flat_column(told, "at")
+            change = at.flatten().to_numpy() + np.repeat(begin, np.diff(at.offsets.to_numpy()))
+            least = np.repeat(flat_column(told, "d").flatten().to_numpy(), np.diff(np.append(change, int(size.sum()))))
         # each occurrence's windows: gone if an earlier document has the string
         k = s.windows[use]
         ends = np.cumsum(k)
@@ -403,9 +506,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept_n.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(s.data[~out]))])
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": pa.array(np.diff(s.starts)), "spans": spans, "kept": kept.cast(pa.binary())})
 
-    asked = blocks.groupBy("block").applyInArrow(minimizers, "part int, block int, value binary, twice binary")
-    shared = asked.groupBy("part").applyInArrow(shared_in_part, "block int, kind int, part int, found binary")
-    sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(shared_stretches, "part int, block int, asked binary")
-    answers = sent.groupBy("part").applyInArrow(index_part, "block int, kind int, part int, found binary")
-    every = shared.unionByName(answers)
-    return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    shared = by_value.meet(blocks.groupBy("block").applyInArrow(minimizers, ASKED))
+    asked = blocks.groupBy("block").cogroup(shared.groupBy("to_grp")).applyInArrow(shared_stretches, ASKED)
+    every = shared.withColumn("kind", F.lit(0)).unionByName(by_stretch.meet(asked).withColumn("kind", F.lit(1)))
+    return blocks.groupBy("block").cogroup(every.groupBy("to_grp")).applyInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
