@@ -221,8 +221,9 @@ def test_training_takes_every_window(spark):
 # 3 ---------------------------------------------------------------------------------------------------------------------
 
 
-def test_repeated_spans(docs):
-    got = suffix_dedup.repeated_spans(docs, length=50, block_bytes=1 << 10).collect()
+@pytest.mark.parametrize("radix", [3, 256])
+def test_repeated_spans(docs, radix):
+    got = suffix_dedup.repeated_spans(docs, length=50, block_bytes=1 << 10, radix=radix).collect()
     rows = sorted((r[0], (r[1] or "").encode()) for r in rows_of())
     seen, want = set(), {}
     for _, group in itertools.groupby(rows, key=lambda r: r[0]):
@@ -242,14 +243,84 @@ def test_repeated_spans(docs):
         assert sum(e - s for s, e in r.spans) == r.n_bytes - len(r.kept)
 
 
-def test_run_index_is_compressed():
+def _index(strings, length, weight):
+    import pyarrow as pa
+
+    return suffix_dedup.RunIndex(pa.array(strings, pa.large_binary()), length, np.array(weight))
+
+
+def _streamed(index, patterns):
     import pyarrow as pa
 
-    strings = pa.array([b"abcabcabcabcabcabc" * 9, b"bcabcabca" * 9], pa.large_binary())
-    index = suffix_dedup.RunIndex(strings, 10)
+    first, out = index.stream(pa.array(patterns, pa.large_binary()), batch=7)
+    return [out[a:b].tolist() for a, b in zip(first, [*first[1:], len(out)], strict=True)]
+
+
+def test_run_index_is_compressed():
+    strings = [b"abcabcabcabcabcabc" * 9, b"bcabcabca" * 9]
+    index = _index(strings, 10, [5, 2])
     assert len(index.run_start) < index.n / 4
-    first, least = index.least_of_matches(np.array([5, 2]))
-    assert set(least[: first[1]].tolist()) == {2}
+    assert set(_streamed(index, strings)[0]) == {2}
+
+
+def _repetitive(rng):
+    base = bytes(rng.choice(b"abcd") for _ in range(60))
+    strings = set()
+    for _ in range(40):
+        s = bytearray(base[rng.randint(0, 20) : rng.randint(30, 60)])
+        for _ in range(rng.randint(0, 3)):
+            s[rng.randrange(len(s))] = rng.choice(b"abcd\0")
+        strings.add(bytes(s))
+    return sorted(strings)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_streaming_any_pattern(seed):
+    rng = random.Random(seed)
+    strings, length = _repetitive(rng), rng.choice([8, 9, 12, 16, 20])
+    weight = [rng.randint(0, 99) for _ in strings]
+    index = _index(strings, length, weight)
+    # patterns that the index has, parts of them put together, and strangers with bytes it has not
+    patterns = strings + [rng.choice(strings)[-15:] + rng.choice(strings)[:25] for _ in range(60)] + [bytes(rng.choice(b"abcdez") for _ in range(30)) for _ in range(20)] + [b"", b"a"]
+    least = lambda w: min((x for s, x in zip(strings, weight, strict=True) if w in s), default=suffix_dedup.LATE)
+    assert _streamed(index, patterns) == [[least(p[i : i + length]) for i in range(max(0, len(p) - length + 1))] for p in patterns]
+
+
+def test_streaming_needs_the_samples():
+    rng = random.Random(1)
+    strings = _repetitive(rng)
+    patterns = strings + [rng.choice(strings)[-15:] + rng.choice(strings)[:25] for _ in range(60)]
+    right = _streamed(_index(strings, 12, range(len(strings))), patterns)
+    for wrong in ("start_position", "end_position"):
+        index = _index(strings, 12, range(len(strings)))
+        setattr(index, wrong, np.zeros_like(getattr(index, wrong)))
+        assert _streamed(index, patterns) != right, wrong
+
+
+def test_suffixes_are_sorted():
+    rng = random.Random(5)
+    for _ in range(20):
+        strings = [s for s in _repetitive(rng) if s]
+        t = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8)
+        ends = np.cumsum([len(s) + 1 for s in strings]) - 1
+        rows, new = suffix_dedup.sorted_suffixes(t, ends, 20)
+        stop = {p: e for p, e in zip(range(len(t)), np.repeat(ends, np.diff(ends, prepend=-1)).tolist(), strict=True)}
+        suffix = lambda p: bytes(t[p : stop[p]])
+        assert rows.tolist() == sorted(range(len(t)), key=lambda p: (suffix(p), p))
+        for i in range(1, len(rows)):
+            a, b = suffix(rows[i - 1]), suffix(rows[i])
+            if len(a) >= 20 and len(b) >= 20:
+                assert new[i] == (a[:20] != b[:20])
+
+
+def test_minimizers_are_those_of_the_stretches():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = pa.array([bytes(rng.choice(b"ab c") for _ in range(n)) for n in (200, 49, 50, 51, 0, 700)], pa.large_binary())
+    s = suffix_dedup.stretches(texts, 50)
+    strings = suffix_dedup.gathered(s.data, s.first, s.windows + 49)
+    assert (suffix_dedup.minimizers_of(strings) == s.value).all() and len(s.value) > 20
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------------
