@@ -210,11 +210,15 @@ def sorted_suffixes(t: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     have, longest = 8, int(left.max()) if n else 0
     level, kept = have, rank  # ranks of the longest power that fits in ``length``
     alike = rows[~(differs[:n] & differs[1:])]  # in row order: those whose rank another one shares
+    whole = []  # of them, those compared to their ends
     while have < longest and len(alike):
+        ended = left[alike] < have
+        whole.append(alike[ended])
+        alike = alike[~ended]
         if level == have:
             rank = rank.copy()
         old = rank[alike]
-        after = np.where(left[alike] >= have, rank[np.minimum(alike + have, n - 1)] + 1, 0)
+        after = rank[alike + have] + 1
         both = old.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
         order = np.argsort(both)
         alike, both = alike[order], both[order]
@@ -233,6 +237,7 @@ def sorted_suffixes(t: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
         have *= 2
         if have <= length:
             level, kept = have, rank
+    alike = np.concatenate([*whole, alike])
     if len(alike):  # wholly alike: by position
         both = np.sort(rank[alike].astype(np.uint64) << np.uint64(32) | alike.astype(np.uint64))
         old, alike = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
