@@ -4,8 +4,8 @@ Documents gather in blocks by hash. A block's texts are split at ASCII white
 space, and only its distinct words leave it; where they meet (see ``exchange``),
 each distinct word is encoded once. The ids come back per block and are joined to
 the words by position. Decoding joins each id to its piece: the vocabulary, whose
-size the tokenizer fixes, stands in the plan in the order of its ids, so the join
-is by index, row by row in the JVM, without a shuffle.
+size the tokenizer fixes, stands in every task in the order of its ids, so the
+join is by index, a batch of documents at a time, without a shuffle.
 
 The tokenizer must drop white space and treat every word by itself (NFC, lower
 case, split into letters, digits and the rest, as word-level vocabularies do);
@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import ASKED, RADIX, Meeting, flat_column, word_key
@@ -134,19 +134,22 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return blocks.groupBy("block").cogroup(answered.groupBy("to_grp")).applyInArrow(join_by_position, f"doc_id {kind}, n_tokens bigint, ids array<int>")
 
 
-def pieces_by_id(path: str) -> Column:
-    """The vocabulary as one constant: the piece of id i at place i + 1. Its size is that of the tokenizer's file."""
-    pieces = _pieces(path).to_pylist()
-    mark = next(chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in p for p in pieces if p))
-    return F.split(F.lit(mark.join(p or "" for p in pieces)), mark)
-
-
-def decoded(ids: Column, path: str) -> Column:
-    """Text of a list of ids: its pieces with one blank between, as the library decodes without a decoder."""
-    pieces = pieces_by_id(path)
-    return F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), " ")
+def decode_ids(ids: pa.Array, path: str) -> pa.Array:
+    """Text of each list of ids: its pieces with one blank between, as the library decodes without a decoder."""
+    pieces = _pieces(path).take(ids.values)
+    return pc.binary_join(pa.LargeListArray.from_arrays(ids.offsets.cast(pa.int64()), pieces), pa.scalar(" ", pa.large_string()))
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``decoded``; null ids decode to the empty text."""
-    return encoded.withColumn("decoded", F.coalesce(decoded(F.col(f"`{ids_col}`"), path), F.lit("")))
+    """``encoded`` with a column ``decoded``: ids joined to the vocabulary's pieces by index; null ids decode to the empty text."""
+
+    @F.arrow_udf("string")
+    def joined(ids: pa.Array) -> pa.Array:
+        at = ids.offsets.to_numpy()
+        # a few documents at a time, so that their pieces stay small
+        cuts = [0, *np.flatnonzero(np.diff(at[:-1] // 500_000)) + 1, len(ids)]
+        parts = [decode_ids(ids.slice(a, b - a), path).cast(pa.string()) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+    wanted = F.coalesce(F.col(f"`{ids_col}`").cast("array<int>"), F.array().cast("array<int>"))
+    return encoded.withColumn("decoded", joined(wanted))

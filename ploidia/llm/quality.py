@@ -129,7 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending")]))
     x = table.column("x").combine_chunks()
     flat, at = x.values.to_numpy(), x.offsets.to_numpy()
-    return fit([flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], table.column("grade").to_numpy(), **how)
+    model = fit([flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)], table.column("grade").to_numpy(), **how)
+    del table, x, flat, at
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", cut: float = 0.5) -> DataFrame:
