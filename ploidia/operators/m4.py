@@ -148,7 +148,9 @@ def relabel_clusters(labelled: DataFrame, max_subclones: int = Params.max_subclo
 
 
 def subclones(dev: DataFrame, calls: DataFrame, params: Params = Params()) -> DataFrame:
-    """cell_id, subclone for all cells of ``calls``; empty for non-tumor cells."""
+    """cell_id, subclone for all cells of ``calls``; empty for non-tumor cells, and for all if subclones aren't wanted."""
+    if not params.subclones:
+        return calls.select("cell_id", F.lit("").alias("subclone"))
     tumor = calls.where(F.col("class") == "tumor").select("cell_id")
     if (n := tumor.count()) < params.min_tumor_cells:
         return calls.select("cell_id", F.when(F.col("class") == "tumor", "subclone_1").otherwise("").alias("subclone"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import AUTOSOMES
+from ..functions.kernels import ward_order
 from ..functions.ranks import percentiles
 from ..params import Params
 from ..session import written
@@ -137,6 +139,35 @@ def panel_sample(cells: DataFrame, cap: int, group: str | None = "subclone", see
     return sized.withColumn("quota", quota).withColumn("rn", F.row_number().over(order)).where("rn <= quota").select(*cells.columns)
 
 
+def panels(signal: DataFrame, predictions: DataFrame, *, n_ref: int = Params.heatmap_n_ref, max_obs: int = Params.heatmap_max_obs, quantile: float = Params.ref_score_quantile, cluster_max: int = Params.cluster_max, show_low_complexity: bool = False, seed: int = 0) -> DataFrame:
+    """panel, row, cell_id, subclone, values: the rows of a heatmap in drawing order.
+
+    References are the confident diploid cells, observations the tumor cells in
+    blocks by subclone, uncertain those flagged; low-complexity cells are left out
+    unless asked for. Each panel is drawn down to its cap, and each block is in
+    Ward leaf order, in one group: its size is the cap's.
+    """
+    value = F.col("cn_burden") if "cn_burden" in predictions.columns else F.abs("tumor_score")
+    low = F.coalesce("low_complexity", F.lit(False)) if "low_complexity" in predictions.columns else F.lit(False)
+    calls = predictions.select("cell_id", "class", F.coalesce("subclone", F.lit("")).alias("subclone"), low.alias("low"), value.alias("v"))
+    cut = percentiles(calls.where((F.col("class") == "normal") & ~F.col("low")), "v", {"q": quantile})
+    plotted = calls.crossJoin(F.broadcast(cut)).where(F.lit(show_low_complexity) | ~F.col("low"))  # one row
+    shown = lambda which, name, cap, group: panel_sample(plotted.where(which).select("cell_id", "subclone"), cap, group, seed).select(F.lit(name).alias("panel"), "cell_id", F.col("subclone") if group else F.lit("").alias("subclone"))
+    rows = shown((F.col("class") == "normal") & (F.col("v") <= F.col("q")), "references", n_ref, None)
+    rows = rows.unionByName(shown(F.col("class") == "tumor", "observations", max_obs, "subclone")).unionByName(shown(F.col("class") == "uncertain", "uncertain", n_ref, None))
+    arrays = signal.join(F.broadcast(rows.select("cell_id")), "cell_id").groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "value"))), lambda x: x["value"]).alias("values"))
+    kind = predictions.schema["cell_id"].dataType.simpleString()
+
+    def ordered(pdf):
+        pdf = pdf.sort_values("cell_id").reset_index(drop=True)
+        pdf = pdf.iloc[ward_order(np.array(pdf["values"].tolist(), float).reshape(len(pdf), -1), cluster_max)]
+        return pdf.assign(place=range(len(pdf)))
+
+    block = rows.join(arrays, "cell_id").select("panel", "subclone", "cell_id", "values").groupBy("panel", "subclone").applyInPandas(ordered, f"panel string, subclone string, cell_id {kind}, values array<double>, place int")
+    line = F.row_number().over(Window.partitionBy("panel").orderBy("subclone", "place")) - 1
+    return block.select("panel", line.alias("row"), "cell_id", "subclone", "values")
+
+
 def group_runs(rows: DataFrame, group: str, order: str) -> DataFrame:
     """group, first, last: contiguous runs of a group in row order."""
     line = Window.orderBy(order)

@@ -27,6 +27,7 @@ class Params:
     # calls
     call_confidence: float = 0.5
     outlier_fence_mult: float = 12.0
+    subclones: bool = True
     max_subclones: int = 5
     subclone_sweep: tuple[float, ...] = (0.3, 0.5, 0.8, 1.2, 1.8)
     min_tumor_cells: int = 30

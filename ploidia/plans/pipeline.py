@@ -7,18 +7,19 @@ one-dimensional fit.
 
 from __future__ import annotations
 
+import io
 import json
 import time
 from dataclasses import dataclass, field
-from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.genome import AUTOSOMES, NON_MALIGNANT, SIGNATURES
 from ..operators import m1, m2, m3, m4, outputs
 from ..params import Params
-from ..session import ship, written
+from ..session import put_bytes, ship, written
 
 
 @dataclass
@@ -115,19 +116,36 @@ def call_cnv(counts: DataFrame, cells: DataFrame, genes: DataFrame, gene_order:
     return cells.join(p, "cell_id", "left").join(by_chr, "cell_id", "left"), r.qc
 
 
-def write_run(r: Result, out_dir: str, sample: str = "sample", centered: bool = False, denoised: bool = False, amplifier: float = Params.sd_amplifier) -> None:
-    """The run's tables as Parquet, plus CSV and .seg directories for other tools, and qc.json."""
+def npz_of(arrays: DataFrame, **more) -> bytes:
+    """A numpy archive of a table (cell_id, cn): ``cn`` and ``cell_barcodes``, by barcode. All rows come to the driver."""
+    t = arrays.select(F.col("cell_id").cast("string").alias("cell_id"), "cn").orderBy("cell_id").toArrow()
+    names = np.array(t.column("cell_id").to_pylist(), dtype=str)
+    flat = t.column("cn").combine_chunks().flatten().to_numpy(zero_copy_only=False) if t.num_rows else np.zeros(0)
+    held = io.BytesIO()
+    np.savez_compressed(held, cn=flat.reshape(len(names), len(flat) // max(1, len(names))).astype(np.float32), cell_barcodes=names, **more)
+    return held.getvalue()
+
+
+def write_run(r: Result, out_dir: str, sample: str = "sample", centered: bool = False, denoised: bool = False, amplifier: float = Params.sd_amplifier, npz_cells: int = 200_000) -> None:
+    """The run's tables as Parquet, plus CSV and .seg directories for other tools, and qc.json; up to ``npz_cells`` cells as numpy archives too."""
+    spark = r.predictions.sparkSession
     put = lambda df, name: df.write.mode("overwrite").parquet(f"{out_dir}/{name}.parquet")
     csv = lambda df, name, sep=",": df.coalesce(1).write.mode("overwrite").csv(f"{out_dir}/{name}", header=True, sep=sep)
     ordered = r.predictions.select(F.col("cell_id").alias("barcode"), "class", "confidence", "tumor_score", "subclone", "n_segments_altered", "low_complexity", "cn_burden").orderBy("barcode")
     put(ordered, "prediction")
     csv(ordered, "prediction.csv")
     put(r.segments.orderBy("segment_id"), "segments")
-    put(r.cn.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "value"))), lambda x: x["value"]).alias("cn")), "cn_per_segment")
+    arrays = lambda df: df.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "value"))), lambda x: x["value"]).alias("cn"))
+    put(arrays(r.cn), "cn_per_segment")
+    n_cells = r.qc["n_cells"]
+    if n_cells <= npz_cells:
+        put_bytes(spark, f"{out_dir}/cn_per_segment.npz", npz_of(spark.read.parquet(f"{out_dir}/cn_per_segment.parquet")))
     csv(outputs.wide_chr_matrix(r.chr_matrix, AUTOSOMES).withColumnRenamed("cell_id", "barcode").orderBy("barcode"), "chr_cnv_matrix.csv")
     if centered:
         csv(outputs.wide_chr_matrix(outputs.center_chr_matrix(r.chr_matrix), AUTOSOMES).withColumnRenamed("cell_id", "barcode").orderBy("barcode"), "chr_cnv_matrix_centered.csv")
     csv(outputs.seg_table(outputs.clone_segments(r.cn, r.segments, r.predictions, r.axis, r.baseline), sample), "clones.seg", "\t")
     if denoised:
-        put(outputs.reference_relative_signal(r.cn, r.predictions, r.segments, amplifier), "cn_per_segment_denoised")
-    Path(out_dir, "qc.json").write_text(json.dumps(r.qc, indent=1, default=str))
+        put(arrays(outputs.reference_relative_signal(r.cn, r.predictions, r.segments, amplifier)), "cn_per_segment_denoised")
+        if n_cells <= npz_cells:
+            put_bytes(spark, f"{out_dir}/cn_per_segment_denoised.npz", npz_of(spark.read.parquet(f"{out_dir}/cn_per_segment_denoised.parquet"), sd_amplifier=amplifier))
+    put_bytes(spark, f"{out_dir}/qc.json", json.dumps(r.qc, indent=1, default=str).encode())

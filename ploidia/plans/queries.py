@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genome
 from ..operators import evaluate, m1, m2, m3, m4, outputs
 from ..params import Params
-from ..session import written
+from ..session import scratch, written
 from ..sources import text, validate
+from ..sources.counts import BUNDLES, load_counts, read_10x_mtx, read_mtx_trio, resolve_bundle
+from ..sources.discover import find_inputs
 from . import driver_tables as t
 from . import sql
 from .pipeline import run_pipeline
@@ -111,6 +113,114 @@ def src12(spark: SparkSession, d: str) -> DataFrame:
     return text.gene_table_from_gtf(p.select(line.alias("value"), F.col("p_partkey").alias("ix")))
 
 
+def _matrix_files(spark: SparkSession, d: str, transposed: bool) -> str:
+    """A folder with the line items as Matrix Market entries, repeated coordinates and all, and its axes. The forms are single files."""
+    folder = scratch(spark, "matrix")
+    cells = t.cells(spark, d).select("cell_id", F.row_number().over(Window.orderBy("cell_id")).alias("i"))
+    genes = t.genes(spark, d).select("gene", F.row_number().over(Window.orderBy("orig_ix")).alias("j"))
+    items = t.table(spark, d, "lineitem").join(t.table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("cell_id"), F.concat_ws("-", "p_brand", "p_size").alias("gene"), F.col("l_quantity").cast("double").alias("value"))
+    entries = items.join(cells, "cell_id").join(genes, "gene").select(F.lit(1).alias("o"), F.concat_ws(" ", *(("j", "i") if transposed else ("i", "j")), "value").alias("value"))
+    n, m, k = cells.count(), genes.count(), items.count()
+    head = spark.createDataFrame([(0, f"%%MatrixMarket matrix coordinate real general\n% made of line items\n{f'{m} {n}' if transposed else f'{n} {m}'} {k}")], "o int, value string")
+    head.unionByName(entries).coalesce(1).sortWithinPartitions("o").select("value").write.option("compression", "gzip" if transposed else "none").text(f"{folder}/{'matrix.mtx.gz' if transposed else 'counts.mtx'}")
+    line = lambda df, o, *c: df.coalesce(1).sortWithinPartitions(o).select(F.concat_ws("\t" if transposed else ",", *c).alias("value"))
+    if transposed:
+        line(cells, "i", "cell_id").write.option("compression", "gzip").text(f"{folder}/barcodes.tsv.gz")
+        line(genes, "j", F.concat(F.lit("id"), "j"), "gene", F.when(F.col("j") % 7 == 0, "Antibody Capture").otherwise("Gene Expression")).write.option("compression", "gzip").text(f"{folder}/features.tsv.gz")
+    else:
+        cells.coalesce(1).sortWithinPartitions("i").select(F.col("cell_id").alias("barcode"), (F.col("i") % 2).alias("kind")).write.option("header", True).csv(f"{folder}/obs.csv")
+        genes.coalesce(1).sortWithinPartitions("j").select(F.col("gene").alias("symbol")).write.option("header", True).csv(f"{folder}/var.csv")
+    return folder
+
+
+RAW = BASE + ", gx AS (SELECT gene, row_number() OVER (ORDER BY chr_rank * 1000 + \"start\" // 10) AS j FROM genes)"
+
+
+@query("src3_mtx_trio", RAW + " SELECT cell_id::VARCHAR AS cell_id, gene, value FROM counts")
+def src3(spark: SparkSession, d: str) -> DataFrame:
+    folder = _matrix_files(spark, d, False)
+    return read_mtx_trio(spark, f"{folder}/counts.mtx", f"{folder}/obs.csv", f"{folder}/var.csv").counts
+
+
+@query("src4_10x_mtx", RAW + " SELECT cell_id::VARCHAR AS cell_id, gene, value FROM counts JOIN gx USING (gene) WHERE j % 7 <> 0")
+def src4(spark: SparkSession, d: str) -> DataFrame:
+    return read_10x_mtx(spark, _matrix_files(spark, d, True)).counts
+
+
+@query("src1_load_counts", RAW + " SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS cell_ix, s_suppkey::VARCHAR AS cell_id, (row_number() OVER (ORDER BY s_suppkey) % 2)::VARCHAR AS kind, coalesce((SELECT sum(value) FROM counts c WHERE c.cell_id = s_suppkey), 0) AS total FROM supplier")
+def src1(spark: SparkSession, d: str) -> DataFrame:
+    folder = _matrix_files(spark, d, False)
+    m = load_counts(spark, counts=f"{folder}/counts.mtx", obs=f"{folder}/obs.csv", var=f"{folder}/var.csv", raw_count_check="raise")
+    totals = m.counts.groupBy("cell_id").agg(F.sum("value").alias("total"))
+    return m.cells.join(totals, "cell_id", "left").select("cell_ix", "cell_id", "kind", F.coalesce("total", F.lit(0.0)).alias("total"))
+
+
+FOUND = [("10x folder", "cellranger_dir"), ("10x file", "cellranger_h5"), ("bundle folder", "bundle"), ("bundle file", "bundle"), ("h5ad", "anndata"), ("trio", "trio"), ("nothing", None)]
+
+
+@query("src13_find_inputs", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if f is None else repr(f)})" for k, f in FOUND) + ') v(had, form)')
+def src13(spark: SparkSession, d: str) -> DataFrame:
+    """What is found in folders that have ever less: the listing is of local files, so they are made for it."""
+    import tempfile
+    from pathlib import Path
+
+    gone = ["outs/filtered_feature_bc_matrix", "filtered_feature_bc_matrix.h5", "outs/cell_feature_matrix.zarr", "cell_feature_matrix.zarr.zip", "deep/er/x.h5ad", "normalization"]
+    with tempfile.TemporaryDirectory() as top:
+        root = Path(top)
+        for folder, files in ((gone[0], ["barcodes.tsv", "matrix.mtx", "genes.tsv"]), (gone[5], ["counts.mtx", "obs.csv", "var.csv"])):
+            (root / folder).mkdir(parents=True)
+            for f in files:
+                (root / folder / f).write_text("x\n")
+        (root / gone[2]).mkdir()
+        (root / "deep/er").mkdir(parents=True)
+        for f in (gone[1], gone[3], gone[4]):
+            (root / f).touch()
+        rows = []
+        for (had, _), path in zip(FOUND, [*gone, None], strict=True):
+            rows.append((had, find_inputs(top)["form"]))
+            if path:
+                (root / path).rename(root / f"used-{len(rows)}{'.old' if '.' in path else ''}")
+    return spark.createDataFrame(rows, "had string, form string")
+
+
+@query("src6_bundle_path", "SELECT * FROM (VALUES (0, 'outs/cell_feature_matrix.zarr.zip'), (1, 'cell_feature_matrix.zarr.zip'), (2, 'outs/cell_feature_matrix.zarr'), (3, 'cell_feature_matrix.zarr'), (4, NULL)) v(without, found)")
+def src6(spark: SparkSession, d: str) -> DataFrame:
+    import tempfile
+    from pathlib import Path
+
+    rows = []
+    with tempfile.TemporaryDirectory() as top:
+        (Path(top) / "outs").mkdir()
+        for c in BUNDLES:
+            (Path(top) / c).touch()
+        for i in range(len(BUNDLES) + 1):
+            try:
+                rows.append((i, resolve_bundle(top)[len(top) + 1 :]))
+            except ValueError:
+                rows.append((i, None))
+            if i < len(BUNDLES):
+                (Path(top) / BUNDLES[i]).unlink()
+    return spark.createDataFrame(rows, "without int, found string")
+
+
+@query("val3_validate", "SELECT * FROM (VALUES ('fractional', 'raise', 'error'), ('fractional', 'warn', 'warning'), ('fractional', 'ignore', 'nothing'), ('raw', 'raise', 'nothing'), ('raw', 'warn', 'nothing'), ('raw', 'ignore', 'nothing')) v(matrix, action, came)")
+def val3(spark: SparkSession, d: str) -> DataFrame:
+    import warnings
+
+    raw = written(t.counts(spark, d), "counts")
+    rows = []
+    for name, m in (("fractional", raw.withColumn("value", F.col("value") + 0.5)), ("raw", raw)):
+        for action in ("raise", "warn", "ignore"):
+            with warnings.catch_warnings(record=True) as told:
+                warnings.simplefilter("always")
+                try:
+                    validate.validate_raw_counts(m, action)
+                    rows.append((name, action, "warning" if any("raw counts" in str(w.message) for w in told) else "nothing"))
+                except ValueError:
+                    rows.append((name, action, "error"))
+    return spark.createDataFrame(rows, "matrix string, action string, came string")
+
+
 LIB = """, lib AS (SELECT count(*) AS n, stddev_pop(tot) / avg(tot) AS cv, median(tot) AS med FROM (SELECT cell_id, sum(value) AS tot FROM counts GROUP BY 1 HAVING sum(value) > 0))
 SELECT CASE WHEN (SELECT bool_or(value < 0) FROM counts) THEN 'negative' WHEN (SELECT bool_or(isnan(value) OR isinf(value)) FROM counts) THEN 'non_finite' WHEN (SELECT bool_or(abs(value - round_even(value, 0)) > 1e-6) FROM counts) THEN 'fractional'
   WHEN n >= 10 AND cv < 0.01 AND (abs(med - 10000) <= 200 OR abs(med - 1000000) <= 20000) THEN 'uniform' END AS reason FROM lib"""
@@ -525,6 +635,15 @@ def out4(spark: SparkSession, d: str) -> DataFrame:
     return outputs.center_chr_matrix(_chr(spark, d)).select("cell_id", "chr", r6("value").alias("value"))
 
 
+BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+@query("out11_centered_wide", CHR + "SELECT cell_id, " + ", ".join(f"round(max(value) FILTER (chr = '{b}'), 6) AS \"{b}\"" for b in BRANDS) + " FROM (SELECT cell_id, chr, CASE WHEN m = 0 THEN value ELSE value / m END AS value FROM (SELECT *, median(value) OVER (PARTITION BY cell_id) AS m FROM cm)) GROUP BY 1")
+def out11(spark: SparkSession, d: str) -> DataFrame:
+    w = outputs.wide_chr_matrix(outputs.center_chr_matrix(_chr(spark, d)), BRANDS)
+    return w.select("cell_id", *[(r6(F.col(f"`{b}`")) if b in w.columns else F.lit(None).cast("double")).alias(b) for b in BRANDS])
+
+
 @query("out5_chr_wide", EMB + "SELECT cell_id, " + ", ".join(f"round(exp(sum(n_genes * value) FILTER (chr = 'chr{i}') / sum(n_genes) FILTER (chr = 'chr{i}')), 6) AS chr{i}" for i in range(1, 9)) + " FROM cn JOIN segs USING (segment_id) GROUP BY 1")
 def out5(spark: SparkSession, d: str) -> DataFrame:
     cn, _, segs = t.matrix(spark, d)
@@ -627,6 +746,14 @@ def out20(spark: SparkSession, d: str) -> DataFrame:
     return rc.join(p.select("cell_id", F.col("class").alias("panel")), "cell_id").groupBy("panel").agg(F.count("*").alias("n_cells"), r6(F.avg("value")).alias("mean"))
 
 
+@query("out20_panel_rows", DIP + "SELECT panel, subclone, count(*) AS n, min(row) AS first, max(row) AS last FROM (SELECT *, (row_number() OVER (PARTITION BY panel ORDER BY subclone) - 1)::INT AS row FROM (SELECT 'references' AS panel, '' AS subclone FROM refc UNION ALL SELECT 'observations', subclone FROM pred WHERE class = 'tumor' AND NOT low_complexity)) GROUP BY ALL")
+def out20_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All rows of the panels, counted by block; the order in a block is Ward's."""
+    cn, segs, _, p = t.predictions(spark, d)
+    rows = outputs.panels(outputs.recenter(cn, outputs.confident_diploid(p), segs), p, n_ref=10**9, max_obs=10**9)
+    return rows.groupBy("panel", "subclone").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last"))
+
+
 @query("out21_group_runs", "WITH o AS (SELECT vec_id, label::INT AS label, row_number() OVER (ORDER BY vec_id) - 1 AS row, lag(label) OVER (ORDER BY vec_id) AS l FROM embeddings), r AS (SELECT *, sum(CASE WHEN l IS NULL OR l <> label THEN 1 ELSE 0 END) OVER (ORDER BY vec_id) AS run FROM o) SELECT label, min(row)::BIGINT AS first, max(row)::BIGINT AS last FROM r GROUP BY run, label")
 def out21(spark: SparkSession, d: str) -> DataFrame:
     r = outputs.group_runs(t.matrix(spark, d)[1], "label", "cell_id")

@@ -272,3 +272,56 @@ def test_variance_pool_by_numpy(spark):
     assert facts["all_variances"] == pytest.approx(variance)
     winner = min(sorted(variance), key=variance.get)
     assert {r.cell_id for r in pool.where("is_ref").collect()} == {f"c{i:02d}" for i in np.flatnonzero(own == int(winner))}
+
+
+def test_panels_are_in_leaf_order(spark):
+    rng = np.random.default_rng(4)
+    n = 60
+    x = rng.normal(0, 1, (n, 5))
+    kind = ["normal"] * 20 + ["tumor"] * 30 + ["uncertain"] * 10
+    clone = [""] * 20 + [f"subclone_{1 + i % 3}" for i in range(30)] + [""] * 10
+    burden = rng.random(n)
+    calls = spark.createDataFrame([(f"c{i:02d}", kind[i], clone[i], i % 7 == 0, float(burden[i])) for i in range(n)], "cell_id string, class string, subclone string, low_complexity boolean, cn_burden double")
+    signal = spark.createDataFrame([(f"c{i:02d}", j, float(x[i, j])) for i in range(n) for j in range(5)], "cell_id string, segment_id int, value double")
+    got = outputs.panels(signal, calls).orderBy("panel", "row").collect()
+    clean = [i for i in range(n) if i % 7]
+    cut = np.quantile([burden[i] for i in clean if i < 20], 0.5)
+    want = []
+    for panel, blocks in (("observations", [[i for i in clean if kind[i] == "tumor" and clone[i] == f"subclone_{c}"] for c in (1, 2, 3)]), ("references", [[i for i in clean if i < 20 and burden[i] <= cut]]), ("uncertain", [[i for i in clean if i >= 50]])):
+        rows = [f"c{b[j]:02d}" for b in blocks for j in k.ward_order(x[b], 8000)]
+        want += [(panel, r, c) for r, c in enumerate(rows)]
+    assert [(r.panel, r.row, r.cell_id) for r in got] == want
+    assert all(r["values"] == pytest.approx(x[int(r.cell_id[1:])].tolist()) for r in got)
+    few = outputs.panels(signal, calls, n_ref=3, max_obs=6).groupBy("panel").count().collect()
+    assert {r.panel: r["count"] for r in few} == {"references": 3, "observations": 6, "uncertain": 3}
+
+
+def _ward_cost(x, order):
+    """Sum of the merge costs of the best tree over a leaf order, by joining neighbours greedily."""
+    blocks = [[i] for i in order]
+    total = 0.0
+    while len(blocks) > 1:
+        cost = [len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum() for a, b in zip(blocks, blocks[1:], strict=False)]
+        i = int(np.argmin(cost))
+        total += cost[i]
+        blocks[i : i + 2] = [blocks[i] + blocks[i + 1]]
+    return total
+
+
+def _ward_brute(x):
+    """Merges the cheapest of all pairs, again and again."""
+    blocks, total = [[i] for i in range(len(x))], 0.0
+    while len(blocks) > 1:
+        cost, i, j = min((len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum(), i, j) for i, a in enumerate(blocks) for j, b in enumerate(blocks) if i < j)
+        total += cost
+        blocks[i] = blocks[i] + blocks.pop(j)
+    return total
+
+
+def test_ward_order_by_brute_force():
+    rng = np.random.default_rng(6)
+    for n in (3, 5, 12, 25):
+        x = rng.normal(0, 1, (n, 3))
+        order = k.ward_order(x, 100)
+        assert sorted(order.tolist()) == list(range(n))
+        assert _ward_cost(x, order.tolist()) == pytest.approx(_ward_brute(x))

@@ -6,7 +6,7 @@ import json
 import numpy as np
 import pytest
 
-from ploidia.plans.pipeline import write_run  # noqa: F401
+from ploidia.plans.pipeline import npz_of, write_run  # noqa: F401
 from ploidia.sources import discover, text, validate
 from ploidia.sources.counts import load_counts, resolve_bundle
 
@@ -124,3 +124,16 @@ def test_gtf(spark, tmp_path):
     a = 'gene_id "i"; gene_name "A";'
     (tmp_path / "x.gtf").write_text("#!head\n" + line("chr2", "s", "gene", "10", "20", ".", "+", ".", a) + line("chr1", "s", "gene", "5", "90", ".", "+", ".", a) + line("chr1", "s", "exon", "1", "999", ".", "+", ".", a) + line("chrM", "s", "gene", "1", "9", ".", "+", ".", a.replace("A", "M")) + "bad\n")
     assert [tuple(r) for r in text.read_gtf(spark, f"{tmp_path}/x.gtf").collect()] == [("A", "chr1", 5, 90)]
+
+
+def test_archives_and_bytes(spark, tmp_path):
+    import io
+
+    from ploidia.session import exists, put_bytes
+
+    put_bytes(spark, f"file://{tmp_path}/deep/x.bin", bytes(range(256)))
+    assert (tmp_path / "deep" / "x.bin").read_bytes() == bytes(range(256)) and exists(spark, f"{tmp_path}/deep/x.bin") and not exists(spark, f"{tmp_path}/y")
+    t = spark.createDataFrame([("b", [1.0, 2.0]), ("001", [3.0, -1.5])], "cell_id string, cn array<double>")
+    held = np.load(io.BytesIO(npz_of(t, sd_amplifier=0.5)))
+    assert held["cell_barcodes"].tolist() == ["001", "b"] and held["cn"].tolist() == [[3.0, -1.5], [1.0, 2.0]] and held["sd_amplifier"] == 0.5
+    assert np.load(io.BytesIO(npz_of(t.limit(0))))["cn"].shape == (0, 0)
