@@ -60,7 +60,7 @@ class Meeting:
 
     def _order(self, items: pa.Table, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rows by digit, digits, where each digit's rows start) for what a node of ``level`` sends."""
-        digit = (self.key(items) // np.uint64(self.radix**level) % np.uint64(self.radix)).astype(np.int64)
+        digit = (self.key(items) // np.uint64(self.radix**level) % np.uint64(self.radix)).astype(np.uint16)
         rows = np.argsort(digit, kind="stable")
         digits, starts = np.unique(digit[rows], return_index=True)
         return rows, digits, np.append(starts, len(rows))

@@ -8,11 +8,11 @@ strings meet in one part whatever documents they are in, and a part's size is se
 by the number of parts. Minimizers that stand in one document only are left out
 first, by exchanging their hashes alone.
 
-A part holds each distinct stretch once, with its smallest document. It builds a
-run-length index of them: suffixes sorted, the Burrows-Wheeler transform in runs,
+A part holds each distinct stretch once, with its smallest document. Of those that
+are not alone with their minimizer it builds a run-length index: suffixes sorted, the Burrows-Wheeler transform in runs,
 suffix positions sampled at both ends of each run, and the rows at which suffixes
 begin to differ within ``length`` bytes, with the smallest document of each such
-group. All stretches are then streamed through it together, right to left, as any
+group. These stretches are then streamed through it together, right to left, as any
 pattern would be: a byte that the row's run holds maps the row, another one moves
 to the nearest run of that byte above or below whose sampled suffix agrees longer,
 and the matched length follows. Where it reaches ``length`` bytes, the row's group
@@ -46,7 +46,7 @@ from .shared import blocks_for, from_payload, packed_blocks, to_payload, unpacke
 
 LENGTH = 50
 #: Bytes of a k-gram: windows have length - K + 1 of them.
-K = 20
+K = 17
 #: Stored input bytes of a block.
 BLOCK_BYTES = 3 << 20
 #: Windows whose minimizers are worked out at once.
@@ -143,7 +143,7 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 def values_of(s: Stretches, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct minimizers of a block, ascending; whether two documents of it have them; and each stretch's place among them. order: rank of each document."""
-    at = np.argsort(s.value, kind="stable")
+    at = np.argsort(s.value)
     v, d = s.value[at], order[s.doc[at]]
     new = np.empty(len(v), bool)
     new[:1] = True
@@ -437,14 +437,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def answer(items: pa.Table) -> pa.Table:
         """Of each stretch, the places from which another document is the smallest that holds the bytes there."""
-        strings = flat_column(items, "s")
-        first, found = RunIndex(strings, length, items.column("d").to_numpy()).stream(strings)
+        strings, weight = flat_column(items, "s"), items.column("d").to_numpy()
+        # stretches that share bytes have one minimizer: one that is alone with its own shares none, and its document is the smallest throughout
+        _, which, times = np.unique(minimizers_of(strings), return_inverse=True, return_counts=True)
+        alone = times[which] == 1
+        indexed = strings.filter(pa.array(~alone))
+        first, found = RunIndex(indexed, length, weight[~alone]).stream(indexed) if len(indexed) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         new = np.diff(found, prepend=found[:1] ^ 1) != 0
         new[first] = True
         at = np.flatnonzero(new)
         bounds = np.append(np.searchsorted(at, first), len(at))
         whose = np.searchsorted(first, at, "right") - 1
-        return pa.table({"at": pa.LargeListArray.from_arrays(bounds, pa.array((at - first[whose]).astype(np.int32))), "d": pa.LargeListArray.from_arrays(bounds, pa.array(found[at]))})
+        singles = int(alone.sum())
+        bounds = np.concatenate([np.arange(singles), singles + bounds])
+        back = np.argsort(np.argsort(~alone, kind="stable"))  # those alone come first in what follows
+        lists = lambda one, other: pa.LargeListArray.from_arrays(bounds, pa.array(np.concatenate([one, other]))).take(pa.array(back))
+        return pa.table({"at": lists(np.zeros(singles, np.int32), (at - first[whose]).astype(np.int32)), "d": lists(weight[alone], found[at])})
 
     by_value = Meeting(n, lambda items: items.column("v").to_numpy(), _met_minimizers, lambda items: pa.table({"shared": items.column("twice")}), _pack_minimizers, _unpack_minimizers, radix)
     by_stretch = Meeting(n, lambda items: minimizers_of(flat_column(items, "s")), _met_stretches, answer, radix=radix)
@@ -492,10 +500,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         step = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - k, k)
         gone = least[np.repeat(begin[code], k) + step] < np.repeat(ids[s.doc[use]], k)
         start = (np.repeat(s.first[use], k) + step)[gone]
-        cover = np.zeros(len(s.data) + 1, np.int32)
-        np.add.at(cover, start, 1)
-        np.add.at(cover, start + length, -1)
-        out = np.cumsum(cover[:-1]) > 0
+        # windows start at different places: a byte goes if one starts in the ``length`` places up to it
+        begun = np.zeros(len(s.data) + 1, np.int32)
+        begun[start + 1] = 1
+        np.cumsum(begun, out=begun)
+        out = begun[1:] > 0
+        out[length:] = begun[length + 1 :] > begun[1 : max(1, len(begun) - length)]
         edge = out.copy()
         edge[1:] &= ~out[:-1]
         inner = s.starts[:-1][np.diff(s.starts) > 0]
