@@ -42,7 +42,7 @@ from .shared import slices, small_batches, staged
 
 MIN_LINE, MIN_BLOCK = 24, 48
 #: Pairs of one first document that one group of an aligning task holds.
-PART = 1000
+PART = 250
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
