@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ploidia.llm import bpe, exact_dedup, exchange, fingerprints, line_dedup, lm_scoring, mixing, near_copies, quality, simhash, suffix_dedup, token_store
+from ploidia.llm import bpe, exact_dedup, exchange, fingerprints, line_dedup, lm_scoring, mixing, near_copies, quality, shared, simhash, suffix_dedup, token_store
 
 SCHEMA = "doc_id long, text string, source string, rid string, name string, h long, `a.b` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -420,7 +420,7 @@ def _lines_gone(texts, min_line=24, min_block=48):
     return out
 
 
-@pytest.mark.parametrize("part", [3, 1000])
+@pytest.mark.parametrize("part", [3, 250])
 def test_lines_against_brute_force(spark, part):
     rng = random.Random(3)
     lines = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 6, 7, 12, 13, 20, 24, 25, 30, 33, 40, 47, 48, 60)]
@@ -819,6 +819,105 @@ def test_items_of_all_blocks_meet_once(spark, n, radix):
     assert len(got) == n and all(r.right for r in got)
 
 
+# layouts, null ids, long texts -----------------------------------------------------------------------------------------
+
+BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
+RUNS = {
+    "exact": lambda d: exact_dedup.exact_groups(d).select("doc_id", "keep_id", "group_size", "text_sha256"),
+    "spans": lambda d: suffix_dedup.repeated_spans(d, block_bytes=1 << 10).select("doc_id", "n_bytes", "kept"),
+    "lines": lambda d: line_dedup.drop_common_lines(d).select("doc_id", "n_lines", "n_removed", "kept"),
+    "winnowing": lambda d: fingerprints.edited_and_next(d, range_rows=10),
+    "simhash": lambda d: simhash.near_groups(d).select("doc_id", "fingerprint", "component_id"),
+    "near": lambda d: near_copies.drop_near_copies(d).select("doc_id", "text"),
+    "store": lambda d: token_store.read_documents(token_store.write_store(d, BYTES, 2)).select("doc_id", "start", "n_tokens", "ids"),
+    "mix": lambda d: mixing.Mix(d, block=8, slots=32, lanes=4).taken().select("doc_id", "size", "taken"),
+    "bpe": lambda d: bpe.decode_documents(bpe.encode_documents(d, WORDS, block_bytes=256), WORDS).select("doc_id", "ids", "decoded"),
+    "words": lambda d: lm_scoring.score_documents(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score")),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_layouts_agree(docs, name):
+    one, two = (sorted(map(repr, RUNS[name](d).collect())) for d in (docs, docs.coalesce(1).orderBy(F.xxhash64("text")).repartition(7)))
+    assert one == two and len(one) > 40
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_null_ids(spark, name):
+    t = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
+    rows_ = [(None, t[0], "a"), (None, t[1], "a"), (None, t[0], None), (None, None, "b"), (3, t[0], "a"), (4, t[2], "b"), (5, "", "b"), (None, t[1] + " end", "a")]
+    got = RUNS[name](spark.createDataFrame(rows_, "doc_id long, text string, source string")).collect()
+    ids_ = [r.doc_id for r in got]
+    if name == "near":  # null is last, so 3 stays of its group; of two null ones the first seen; of null and empty texts the empty one with an id
+        assert sorted(x for x in ids_ if x is not None) == [3, 4, 5] and ids_.count(None) == 1
+        return
+    assert sorted((x is None, x or 0) for x in ids_) == [(False, 3), (False, 4), (False, 5)] + [(True, 0)] * 5
+    if name == "spans":  # null is later than any id, and null ids are not earlier than one another
+        assert sorted((r.doc_id or 0, len(r.kept)) for r in got)[-3:] == [(3, len(t[0])), (4, len(t[2])), (5, 0)] and [len(r.kept) for r in got if r.doc_id is None and r.n_bytes == len(t[0])] != []
+    if name == "store":
+        assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [3, 4, 5] + [None] * 5
+    if name == "words":
+        assert all(r.held_out == (zlib.crc32(b"null") % 10 == 0) for r in got if r.doc_id is None)
+
+
+def test_long_texts(spark):
+    rng = random.Random(11)
+    long = " ".join(f"{rng.choice(['an', 'other', 'thing', 'Ünter', 'que'])}{rng.randint(0, 9999)}" for _ in range(60_000))
+    rows_ = [(1, long, "a"), (2, "short text", "a"), (3, "x " + long[: len(long) // 2], "b"), (4, long.replace("thing", "think", 1), "b")]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(2)
+    text = {i: t for i, t, _ in rows_}
+    t = Tokenizer.from_file(WORDS)
+    for r in RUNS["bpe"](d).collect():
+        own = t.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert list(r.ids) == own and r.decoded == t.decode(own, skip_special_tokens=False)
+    t = Tokenizer.from_file(BYTES)
+    for r in RUNS["store"](d).collect():
+        assert list(r.ids) == [*t.encode(text[r.doc_id], add_special_tokens=False).ids, 2]
+    assert {r.doc_id: r.fingerprint for r in RUNS["simhash"](d).collect()} == {i: f"{simhash_of(x):016x}" for i, x in text.items()}
+    assert sorted(r.doc_id for r in RUNS["near"](d).collect()) == [1, 2, 3]
+    kept = {r.doc_id: bytes(r.kept).decode() for r in RUNS["spans"](d).collect()}
+    assert kept[1] == long and kept[2] == "short text" and kept[3] == "x " and kept[4] == "k"
+    assert {r.doc_id: r.size for r in RUNS["mix"](d).collect()} == {i: len(words(x)) for i, x in text.items()}
+    assert {r.doc_id: r.n_tokens for r in RUNS["words"](d).collect()} == {i: len(words(x)) + 1 for i, x in text.items()}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in RUNS["exact"](d).collect()} == {i: (i, 1) for i in text}
+    assert {r.doc_id: r.n_removed for r in RUNS["lines"](d).collect()} == dict.fromkeys(text, 0)
+    assert {r.doc_id: r.fingerprint for r in RUNS["winnowing"](d).collect()} == {i: " ".join(f"{p}:{h & (1 << 64) - 1:x}" for h, p in winnowed(x)) for i, x in text.items()}
+
+
+def test_blocks_hold_what_was_put_in(docs):
+    blocks = shared.packed_blocks(docs.select("doc_id", "text"), 5, "doc_id", "text", flush_bytes=1 << 10)
+    assert blocks.count() > 10
+    got = blocks.groupBy("block").applyInArrow(lambda g: shared.unpacked(g), "doc_id long, text string")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, docs.select("doc_id", "text").collect()))
+
+
+# the classifier's scores -----------------------------------------------------------------------------------------------
+
+
+def _places(text):
+    t = text or ""
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    found = [w for w in words(t.translate({ord(c): " " for c in marks}).lower())]
+    places = {h64(w) % quality.PLACES for w in found}
+    n, count = max(len(t), 1), max(len(found), 1)
+    share = lambda chars: sum(c in chars for c in t) / n
+    style = [share("!#$%&*+/<=>?@[\\]^_{|}~"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), 4 * share("|"), len(places) / count, min(n / count, 40.0) / 40.0]
+    return sorted(places | {quality.PLACES + i * (quality.STEPS + 1) + min(math.floor(s * quality.STEPS), quality.STEPS) for i, s in enumerate(style)})
+
+
+def test_quality_scores_by_hand(docs):
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(0, 0.05, quality.SIZE), np.array([-0.4, 0.7]))
+    got = quality.score(docs, model, cut=0.45).select("row.doc_id", "expected_grade", "tail", "selected").collect()
+    text = {r[0]: r[1] for r in rows_of()}
+    assert len(got) == len(rows_of())
+    for r in got:
+        s = model.weights.astype(np.float32)[_places(text[r.doc_id])].astype(float).sum()
+        tails = 1 / (1 + np.exp(model.thresholds - s))
+        assert (r.expected_grade, r.tail) == (pytest.approx(tails.sum(), abs=1e-4), pytest.approx(tails[-1], abs=1e-4))
+        assert r.selected == (r.tail >= 0.45)
+
+
 # empty tables ----------------------------------------------------------------------------------------------------------
 
 
