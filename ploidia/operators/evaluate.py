@@ -37,11 +37,14 @@ def direction_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def bulk_correlation(profile: DataFrame, bulk: DataFrame) -> DataFrame:
-    """Pearson correlation of the median-centred log2 pseudobulk with bulk, by region."""
+    """Pearson correlation of the median-centred log2 pseudobulk with bulk, by region. NaN if either side is the same in all regions, null without regions."""
     log = profile.select("region", F.log2(F.greatest("value", F.lit(1e-6))).alias("x"))
     med = log.agg(F.median("x").alias("m"))
     both = log.crossJoin(F.broadcast(med)).join(bulk.select("region", F.col("value").alias("y")), "region")  # one row
-    return both.agg(F.corr(F.col("x") - F.col("m"), "y").alias("pearson"))
+    pairs = both.select((F.col("x") - F.col("m")).alias("x"), "y").where("x is not null and y is not null")
+    # the built-in correlation divides by a spread of zero, which is an error in ANSI mode
+    r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y")))
+    return pairs.agg(F.coalesce(r, F.when(F.count("*") > 0, F.lit(float("nan")))).alias("pearson"))
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:

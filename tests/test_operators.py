@@ -186,6 +186,20 @@ def test_auc_with_ties(spark):
     assert evaluate.auc(d, "score", "pos").first()["auc"] == pytest.approx(want)
 
 
+@pytest.mark.parametrize(
+    "x, y", [([1.0, 2.0, 4.0, 8.0], [0.5, -1.0, 2.0, 3.0]), ([1.0, 2.0, 4.0], [0.1, 0.1, 0.1]), ([2.0, 2.0], [1.0, 3.0]), ([2.0], [1.0]), ([], [])]
+)
+def test_bulk_correlation_without_spread(spark, x, y):
+    table = lambda v: spark.createDataFrame([(str(i), a) for i, a in enumerate(v)], "region string, value double")
+    got = evaluate.bulk_correlation(table(x), table(y)).first()["pearson"]
+    if not x:
+        assert got is None
+    elif len(set(x)) == 1 or len(set(y)) == 1:
+        assert np.isnan(got)
+    else:
+        assert got == pytest.approx(np.corrcoef(np.log2(x), y)[0, 1])
+
+
 def test_ucell(spark):
     values = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate([5, 4, 4, 1])], "cell_id string, gene_ix int, value double")
     cells = spark.createDataFrame([("a",), ("b",)], "cell_id string")
