@@ -3,18 +3,21 @@
 Words are lower-cased (A-Z) and split into subword ids; a text's ids are those
 of its words and one end id. A subword belongs to a class, and
 
-    P(id | before) = P(class | context) * P(id | class, what stands before)
-
-The second factor comes from counts over every training document: each distinct
-word of the corpus is counted and encoded once, where its copies meet. An id that
-begins a word is drawn from its class's counts; one that goes on, from counts
-after the very id before it where both are among the ``OWN`` most frequent, and
-after that id's class otherwise. The first factor is a causal self-attention layer
-on subword ids, started at the corpus's class transitions. It trains on every id of
-every training document, in rounds of a share of the documents each: in every
-partition by steps from common weights, whose means are taken after the
-round. What it learns from grows with the corpus, and only tables of fixed size
-reach the driver or the tasks.
+    P(id | before) = P(class | context) * P(id | class, context)
+
+a softmax over the ids in two steps. Both come from a block of causal
+self-attention on subword ids: embeddings of ids and places, masked attention with
+its residual, a normalised feed-forward layer with its residual, and out of that the
+scores of the classes and of the ids within them. Ids beyond the ``OWN`` most frequent
+have a score by bands of like frequency. Scores start at counts over every training
+document: each distinct word of the corpus is counted and encoded once, where its
+copies meet; class scores start at the corpus's class transitions, those of an id that
+begins a word at its class's counts, of one that goes on at counts after the very id
+before it where both are among the ``OWN`` most frequent, and after that id's class
+otherwise. The block trains on every id of every training document, in rounds of a
+share of the documents each: in every partition by steps from common weights, whose
+means are taken after the round. What it learns from grows with the corpus, and only
+tables of fixed size reach the driver or the tasks.
 
 Texts longer than a window are scored in windows that overlap: the first ids of
 a window are context only, so each id is scored once, and masks keep ids from
@@ -54,6 +57,10 @@ BEGIN_ALONE, GO_ON_ALONE = 8, 16
 CLASSES = BEGIN + GO_ON
 #: Ids with an embedding of their own; others share that of their class.
 OWN = 1024
+#: Places of the feed-forward layer.
+INNER = 2 * WIDTH
+#: Bands by frequency of the ids that begin a word and have no embedding of their own, and of those that go on.
+BANDS = 16
 #: Rounds in which the training documents are gone through once, and windows of a step.
 ROUNDS, BATCH = 3, 256
 #: Bytes of ids (two each) laid out at once.
@@ -174,6 +181,48 @@ class Classes:
     within: np.ndarray  # log P(id | class, class before) as [class before or CLASSES for a word's start, id]
     pair: np.ndarray  # the same for an id that goes on, as [id before, id], by embedding row, where both have their own
     start: np.ndarray  # log P(class | embedding row before), the layer's starting point
+    row: np.ndarray | None = None  # row of each id's score within its class; ids of one row keep the counts' shares
+
+    def __post_init__(self):
+        self.row = self.slot if self.row is None else self.row
+
+
+class Members:
+    """Of each class of several rows: the rows, and the log of their share by the embedding row before; ``place``: where a row stands among its class's."""
+
+    def __init__(self, c: Classes):
+        self.row, self.rows, self.log, self.place = c.row, {}, {}, np.zeros(OWN + CLASSES + 2 * BANDS, np.int64)
+        before = np.arange(OWN + CLASSES) - OWN  # class of each embedding row
+        own = c.slot < OWN
+        before[c.slot[own]] = c.of[own]
+        before[before < 0] = 0  # rows of no id
+        for k in np.unique(c.of):
+            ids = np.flatnonzero(c.of == k)
+            rows, which = np.unique(c.row[ids], return_inverse=True)
+            if len(rows) == 1:
+                continue
+            share = np.zeros((len(c.within), len(rows)), np.float64)
+            np.add.at(share.T, which, np.exp(c.within[:, ids], dtype=np.float64).T)
+            log = np.log(share).astype(np.float32)
+            if k < BEGIN:
+                log = log[CLASSES:]
+            else:
+                log = log[before]
+                if rows[-1] < OWN:
+                    log[:OWN] = c.pair[:, rows]
+            self.rows[int(k)], self.log[int(k)], self.place[rows] = rows, np.ascontiguousarray(log), np.arange(len(rows))
+
+    def groups(self, y: np.ndarray):
+        """Places of y by class, and (class, run of these places) for the classes of several rows."""
+        order = np.argsort(y.astype(np.int8), kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(y, minlength=CLASSES))]).tolist()
+        return order, [(k, slice(cut[k], cut[k + 1])) for k in self.rows if cut[k + 1] > cut[k]]
+
+    def odds(self, k: int, h: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """What each row of class k, whose scores are u, stands for after states h and embedding rows x, before it is made to sum to one."""
+        z = h @ u.T
+        z += self.log[k] if k < BEGIN else np.take(self.log[k], x, axis=0)
+        return np.exp(z, out=z)
 
 
 def _k_means(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
@@ -252,7 +301,14 @@ def classes_of(stats: DataFrame, begins: np.ndarray, end_id: int, n_docs: int) -
     go += ends[:, None] * begin_mass[None, :]
     overall = go.sum(0) + 1e-3
     go += 5.0 * overall / overall.sum()
-    return Classes(of.astype(np.int64), slot.astype(np.int64), within, pair, np.log(go / go.sum(1, keepdims=True)).astype(np.float32))
+    # the other ids in bands of like frequency and equal weight
+    row = slot.copy()
+    for i, wanted in enumerate((True, False)):
+        rest = np.flatnonzero((slot >= OWN) & (begins == wanted) & (np.arange(size) != end_id))
+        rest = rest[np.argsort(-one[rest], kind="stable")]
+        mass = np.cumsum(one[rest] + 0.05)
+        row[rest] = OWN + CLASSES + BANDS * i + np.minimum(BANDS - 1, (BANDS * mass / mass[-1:]).astype(np.int64))
+    return Classes(of.astype(np.int64), slot.astype(np.int64), within, pair, np.log(go / go.sum(1, keepdims=True)).astype(np.float32), row.astype(np.int64))
 
 
 # ---- the attention layer ---------------------------------------------------------------------------------------------
@@ -265,9 +321,32 @@ def new_weights(start: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     draw = lambda *s, by=0.2: (rng.standard_normal(s) * by).astype(np.float32)
     w = {"emb": draw(len(start), WIDTH, by=0.5), "pos": draw(WINDOW, WIDTH, by=0.1), "qkv": draw(WIDTH, 3 * WIDTH), "out": draw(WIDTH, WIDTH), "cls": draw(WIDTH, CLASSES, by=0.02), "bias": start.copy()}
     w["qkv"][:, :WIDTH] *= np.float32(WIDTH**-0.5)
+    # the feed-forward layer and the ids' scores start at nothing, so the counts are the starting point
+    w |= {"ff_in": draw(WIDTH, INNER, by=WIDTH**-0.5), "ff_bias": np.zeros(INNER, np.float32), "ff_out": np.zeros((INNER, WIDTH), np.float32)}
+    w["ids"] = np.zeros((len(start) + 2 * BANDS, WIDTH), np.float32)
     return w
 
 
+CENTRE = np.eye(WIDTH, dtype=np.float32) - np.float32(1 / WIDTH)
+
+
+def normalised(h: np.ndarray):
+    """(n, over): rows less their mean, over their spread; and one over the spread."""
+    n = h @ CENTRE.astype(h.dtype)
+    over = 1 / np.sqrt(np.einsum("nd,nd->n", n, n) / WIDTH + h.dtype.type(1e-5))
+    n *= over[:, None]
+    return n, over
+
+
+def feed_forward(w: dict, h: np.ndarray):
+    """(h plus what the layer makes of h, what its backward step needs)."""
+    n, over = normalised(h)
+    f = n @ w["ff_in"]
+    f += w["ff_bias"]
+    np.maximum(f, 0, out=f)
+    return h + f @ w["ff_out"], (n, over, f)
+
+
 def attend(qkv: np.ndarray):
     """(a, s, over): what each place of the windows [B, T, 3 WIDTH] draws from places up to itself; masked weights, and one over their sums."""
     t = qkv.shape[1]
@@ -280,8 +359,9 @@ def attend(qkv: np.ndarray):
     return a, s, over
 
 
-def backward(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray):
-    """Mean loss over live places of windows x of embedding rows [B, T], and gradients of all but the counted class transitions (``bias``), which stay as they are."""
+def backward(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, members: Members | None = None, row: np.ndarray | None = None):
+    """Mean loss over live places of windows x of embedding rows [B, T], whose next ids are of classes y and rows ``row`` of ``members``
+    (left out: of the classes alone), and gradients of all but the counted class transitions (``bias``), which stay as they are."""
     (b, t), n = x.shape, max(1.0, float(live.sum()))
     whole = lambda m: m.reshape(b, t, -1)
     flat = lambda m: m.reshape(b * t, -1)
@@ -290,8 +370,9 @@ def backward(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray):
     e = flat(whole(e) + w["pos"][:t])
     qkv = whole(e @ w["qkv"])
     a, s, over = attend(qkv)
-    h = flat(a) @ w["out"]
-    h += e
+    mid = flat(a) @ w["out"]
+    mid += e
+    h, (norm, spread, f) = feed_forward(w, mid)
     z = h @ w["cls"]
     z += np.take(w["bias"], rows, axis=0)
     weight = (live.ravel() / n).astype(z.dtype)
@@ -302,8 +383,31 @@ def backward(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray):
     loss = float(((np.log(total) - said) * weight).sum())
     z *= (weight / total)[:, None]
     every[want] -= weight  # now the gradient
-    g = {"cls": h.T @ z}
+    g = {"cls": h.T @ z, "ids": np.zeros_like(w["ids"])}
     dh = z @ w["cls"].T
+    if members is not None:
+        order, groups = members.groups(y.ravel())
+        hs, xs, target, share = h[order], rows[order], members.place[row.ravel()[order]], weight[order]
+        ds = np.zeros_like(hs)
+        for k, i in groups:
+            u = w["ids"][members.rows[k]]
+            q = members.odds(k, hs[i], xs[i], u)
+            over_all = 1 / (q @ np.ones(q.shape[1], q.dtype))
+            said, every = np.arange(len(q)) * q.shape[1] + target[i], q.reshape(-1)
+            loss -= float((np.log(every[said] * over_all) * share[i]).sum())
+            q *= (share[i] * over_all)[:, None]
+            every[said] -= share[i]
+            g["ids"][members.rows[k]] = q.T @ hs[i]
+            np.matmul(q, u, out=ds[i])
+        dh[order] += ds
+    g["ff_out"] = f.T @ dh
+    df = dh @ w["ff_out"].T
+    df *= f > 0
+    g["ff_bias"], g["ff_in"] = df.sum(0), norm.T @ df
+    dn = df @ w["ff_in"].T
+    dn -= norm * (np.einsum("nd,nd->n", dn, norm) / WIDTH)[:, None]
+    dn *= spread[:, None]
+    dh += dn @ CENTRE.astype(dn.dtype)
     g["out"] = flat(a).T @ dh
     da = whole(dh @ w["out"].T)
     s *= over
@@ -332,36 +436,41 @@ class Scorer:
     """The layer for scoring: what depends on an embedding row or a place alone is worked out once, in tables."""
 
     def __init__(self, w: dict):
+        self.w = w
         self.qkv, self.qkv_at = w["emb"] @ w["qkv"], w["pos"] @ w["qkv"]
-        self.z, self.z_at = w["emb"] @ w["cls"] + w["bias"], w["pos"] @ w["cls"]
-        self.out = w["out"] @ w["cls"]
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        """Class scores at each place of windows x of embedding rows [B, T], before they are made to sum to one; [B T, CLASSES]."""
-        t = x.shape[1]
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """The block's output at each place of windows x of embedding rows [B, T]; [B T, WIDTH]."""
+        t, w = x.shape[1], self.w
         qkv = np.take(self.qkv, x, axis=0)
         qkv += self.qkv_at[:t]
         a, _, _ = attend(qkv)
-        z = np.take(self.z, x, axis=0)
-        z += self.z_at[:t]
-        z = z.reshape(-1, CLASSES)
-        z += a.reshape(-1, WIDTH) @ self.out
+        e = np.take(w["emb"], x, axis=0)
+        e += w["pos"][:t]
+        e = e.reshape(-1, WIDTH)
+        e += a.reshape(-1, WIDTH) @ w["out"]
+        return feed_forward(w, e)[0]
+
+    def logits(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Class scores after embedding rows x and states h, before they are made to sum to one."""
+        z = np.take(self.w["bias"], x, axis=0)
+        z += h @ self.w["cls"]
         return z
 
 
 class Descent:
     """Adam over windows as they come, each once, in a seeded order within what comes together."""
 
-    def __init__(self, w: dict, rate: float, batch: int = BATCH):
+    def __init__(self, w: dict, rate: float, members: Members, batch: int = BATCH):
         self.w = {k: v.copy() for k, v in w.items()}
         self.m, self.u = ({k: np.zeros_like(v) for k, v in w.items() if k != "bias"} for _ in range(2))
-        self.rate, self.batch, self.t, self.seen = rate, batch, 0, 0
+        self.rate, self.members, self.batch, self.t, self.seen = rate, members, batch, 0, 0
 
-    def feed(self, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
+    def feed(self, x: np.ndarray, y: np.ndarray, row: np.ndarray, live: np.ndarray) -> None:
         order = np.random.default_rng(len(x)).permutation(len(x))
         for at in range(0, len(x), self.batch):
             i = order[at : at + self.batch]
-            _, g = backward(self.w, x[i], y[i], live[i].astype(np.float32))
+            _, g = backward(self.w, x[i], y[i], live[i].astype(np.float32), self.members, row[i])
             self.t += 1
             self.seen += len(i)
             step = self.rate / (1 - 0.9**self.t)
@@ -424,21 +533,21 @@ def train(documents: DataFrame, classes: Classes, end_id: int, rounds: int = ROU
     spark = documents.sparkSession
     training = documents.where("not held_out").select("ids")
     windows = 0
-    tables = spark.sparkContext.broadcast((classes.of.astype(np.int8), classes.slot.astype(np.int16), classes.start))
+    tables = spark.sparkContext.broadcast((classes.of.astype(np.int8), classes.slot.astype(np.int16), classes.row.astype(np.int16), classes.start, Members(classes)))
     for r in range(rounds):
         held = spark.sparkContext.broadcast(pack(w))
 
         def local(batches, r=r, held=held):
-            of, slot, start = tables.value
+            of, slot, row, start, members = tables.value
             out, at = {"bias": start}, 0
             for k, s in shapes.items():
                 out[k] = held.value[at : at + (n := int(np.prod(s)))].reshape(s).astype(np.float32)
                 at += n
-            descent = Descent(out, rate=0.02 / (1 + 2 * r))
+            descent = Descent(out, 0.02 / (1 + 2 * r), members)
             for b in (part for batch in batches for part in slices(batch, 0, IDS_BYTES)):
                 flat, at = _laid_out(b.column(0))
                 before, target, live = tiles(flat, at, end_id)
-                descent.feed(slot[before], of[target], live)
+                descent.feed(slot[before], of[target], row[target], live)
             if descent.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([(pack(descent.w).astype(np.float64) * descent.seen).tobytes()], pa.binary()), pa.array([float(descent.seen)])], names=["w", "n"])
 
@@ -460,10 +569,11 @@ def train(documents: DataFrame, classes: Classes, end_id: int, rounds: int = ROU
     return w, windows
 
 
-def score_ids(flat: np.ndarray, at: np.ndarray, scorer: Scorer, c: Classes, end_id: int, batch: int = 256) -> np.ndarray:
+def score_ids(flat: np.ndarray, at: np.ndarray, scorer: Scorer, c: Classes, end_id: int, batch: int = 256, members: Members | None = None) -> np.ndarray:
     """log10 probability of each document's ids."""
     if len(flat) == 0:
         return np.zeros(len(at) - 1)
+    members, u = members or Members(c), scorer.w["ids"]
     low, flat = at[0], flat[at[0] : at[-1]]
     at = at - low
     # what doesn't depend on the window, once for each id
@@ -481,17 +591,28 @@ def score_ids(flat: np.ndarray, at: np.ndarray, scorer: Scorer, c: Classes, end_
     first = at[:-1][doc] + first
     end = at[1:][doc]
     ones = np.ones(CLASSES, np.float32)
+    state = np.empty((len(flat), WIDTH), np.float32)
     for i in range(0, len(doc), batch):
         j = slice(i, i + batch)
         place = start[j, None] + np.arange(WINDOW)
         scored = ((place >= first[j, None]) & (place < end[j, None])).ravel()
         np.minimum(place, len(flat) - 1, out=place)  # beyond a text's end nothing is scored, and nothing before sees it
-        z = scorer.logits(x[place])
-        place = place.ravel()
+        h = scorer.states(x[place])[scored]
+        place = place.ravel()[scored]
+        z = scorer.logits(x[place], h)
         got = z[np.arange(len(place)), own[place]]
         np.exp(z, out=z)
         got -= np.log(z @ ones)
-        p[place[scored]] += got[scored]
+        p[place] += got
+        state[place] = h
+    order, groups = members.groups(own)
+    row = c.row[flat]
+    for k, i in groups:
+        uk = u[members.rows[k]]
+        for part in (order[s : min(s + 2048, i.stop)] for s in range(i.start, i.stop, 2048)):
+            h = state[part]
+            q = members.odds(k, h, x[part], uk)
+            p[part] += np.einsum("nd,nd->n", h, np.take(u, row[part], axis=0)) - np.log(q @ np.ones(q.shape[1], q.dtype))
     sums = np.concatenate([[0.0], np.cumsum(p, dtype=np.float64)])
     return (sums[at[1:]] - sums[at[:-1]]) / np.log(10)
 
@@ -510,14 +631,14 @@ def score_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 5025
     begins[end_id] = True
     classes = classes_of(stats, begins, end_id, trained)
     weights, _ = train(documents, classes, end_id)
-    held = docs.sparkSession.sparkContext.broadcast((weights, classes))
+    held = docs.sparkSession.sparkContext.broadcast((weights, classes, Members(classes)))
 
     def run(batches):
-        w, c = held.value
+        w, c, members = held.value
         scorer = Scorer(w)
         for b in batches:
             parts = [_laid_out(x.column(4)) for x in slices(b, 4, IDS_BYTES)]
-            scores = np.concatenate([score_ids(flat, at, scorer, c, end_id) for flat, at in parts] or [np.zeros(0)])
+            scores = np.concatenate([score_ids(flat, at, scorer, c, end_id, members=members) for flat, at in parts] or [np.zeros(0)])
             sizes = np.concatenate([np.diff(at) for _, at in parts] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(scores), pa.array(sizes), b.column(5)], names=["doc_id", "held_out", "n_words", "n_known", "score", "n_ids", "known_sum"])
 

@@ -196,6 +196,63 @@ def test_gradients():
         assert g[k][at] == pytest.approx(slope, rel=2e-2, abs=1e-4), k
 
 
+def _rows_of_their_own(n=60):
+    """Classes of three and more ids, where ids below 40 have rows of their own, and the others of a class share one of two bands."""
+    rng = np.random.default_rng(5)
+    c = _classes(n)
+    of = np.arange(n) % 3 + np.where(np.arange(n) % 2, lm_scoring.BEGIN, 0)
+    slot = np.where(np.arange(n) < 40, np.arange(n), lm_scoring.OWN + of)
+    of = np.where(slot < lm_scoring.OWN, of, np.where(of < lm_scoring.BEGIN, lm_scoring.BEGIN - 1, lm_scoring.CLASSES - 1))
+    slot = np.where(slot < lm_scoring.OWN, slot, lm_scoring.OWN + of)
+    within, pair = np.full((lm_scoring.CLASSES + 1, n), -50.0, np.float32), np.full((lm_scoring.OWN, lm_scoring.OWN), -40.0, np.float32)
+    for k in np.unique(of):
+        ids = np.flatnonzero(of == k)
+        share = lambda rows: np.log((p := rng.random((rows, len(ids))) + 0.1) / p.sum(1, keepdims=True))  # noqa: E731, B023
+        within[:, ids] = share(len(within))
+        if ids[0] < 40:
+            pair[:, ids] = share(len(pair))
+    row = np.where(slot < lm_scoring.OWN, slot, lm_scoring.OWN + lm_scoring.CLASSES + lm_scoring.BANDS * (of >= lm_scoring.BEGIN) + np.arange(n) % 4 // 2)
+    return lm_scoring.Classes(of, slot, within, pair, c.start, row)
+
+
+def _stirred(c):
+    """Weights as training might leave them, with no part at its starting point."""
+    rng = np.random.default_rng(8)
+    return {k: v if k == "bias" else v + (rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in lm_scoring.new_weights(c.start).items()}
+
+
+def test_ids_within_their_class_go_by_the_context():
+    c = _rows_of_their_own()
+    w = _stirred(c)
+    w["bias"][:, np.setdiff1d(np.arange(lm_scoring.CLASSES), c.of)] = -40  # classes of no id
+    score = lambda ids: lm_scoring.score_ids(np.array(ids, np.uint16), np.array([0, len(ids)]), lm_scoring.Scorer(w), c, 0)[0]
+    after = lambda *head: np.array([score([*head, i]) for i in range(60)]) - score(head)
+    one, other = after(7, 3, 12), after(30, 41, 12)
+    for p in (one, other):  # all ids together have probability 1
+        assert (10**p).sum() == pytest.approx(1, abs=1e-3)
+    for k in np.unique(c.of):  # the same id stands before: odds between ids of a class follow what is further back
+        ids = np.flatnonzero(c.of == k)
+        assert np.ptp((one - other)[ids]) > 1e-3, k
+
+
+def test_gradients_of_the_whole_block():
+    c = _rows_of_their_own()
+    m = lm_scoring.Members(c)
+    w = {k: v.astype(np.float64) for k, v in _stirred(c).items()}
+    rng = np.random.default_rng(2)
+    ids, y = rng.integers(0, 60, (2, 9)), rng.integers(0, 60, (2, 9))
+    live = rng.random((2, 9)) < 0.8
+    loss = lambda w: lm_scoring.backward(w, c.slot[ids], c.of[y], live, m, c.row[y])
+    g = loss(w)[1]
+    assert set(g) == set(w) - {"bias"} and all(np.abs(v).max() > 1e-5 for v in g.values())
+    for k in g:
+        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        up, down = ({**w, k: w[k].copy()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert g[k][at] == pytest.approx((loss(up)[0] - loss(down)[0]) / 2e-4, rel=1e-3, abs=1e-6), k
+
+
 def test_tiles_hold_every_id_once():
     flat, at = np.arange(1, 60).astype("<u2"), np.array([4, 4, 5, 21, 54])
     before, target, live = lm_scoring.tiles(flat, at, 99)
