@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, staged
+from .shared import SPACE, staged, tidy
 
 BLOCK = 128
 SLOTS = 8192
@@ -157,6 +157,7 @@ class Mix:
                             at[sel] = permuted(k[sel] % sizes[s], int(sizes[s]), [seed, int(s), int(turn)])
                     slot = np.random.default_rng([seed, 1, shard]).permutation(len(k))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard, np.int64)), pa.array(slot.astype(np.int64)), pa.array(ix.astype(np.int32)), pa.array(at)], names=["shard", "slot", "source_ix", "block"])
+            tidy()
 
         # written, so that the planner knows its true size: it would broadcast what it believes as small as the range of shards
         self.slots = staged(spark.range(0, shards if counts.sum() else 0, 1, max(1, min(shards, 1 << 14))).mapInArrow(draw, "shard bigint, slot bigint, source_ix int, block bigint"), "mix-slots")

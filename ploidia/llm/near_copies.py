@@ -72,6 +72,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = bands(h)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(simhash_batch(h)), lists], names=["doc_id", "print", "fp", "bands"])
+    tidy()
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -167,6 +168,8 @@ def _forests(similarity: float):
             kept = t.slice(starts[-1])
         if kept is not None:
             yield from group(kept)
+        t = kept = None
+        tidy()  # not all workers of this stage are used by the next ones
 
     return run
 

@@ -88,6 +88,19 @@ def from_payload(payload) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload) if isinstance(payload, bytes) else payload).read_all()
 
 
+def payloads(held: list[pa.RecordBatch]):
+    """(block, payload) of the batches' rows by their column __block; empties ``held``, so that rows are held once."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    held.clear()
+    at = table.column("__block").to_numpy()
+    table = table.drop_columns(["__block"])
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
+        payload = to_payload(table.take(pa.array(order[s:e])))
+        yield pa.RecordBatch.from_arrays([pa.array([at[order[s]]], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+
 def packed_blocks(df: DataFrame, n_blocks: int, *key: str, flush_bytes: int = 32 << 20) -> DataFrame:
     """(block, payload): the rows of ``df`` by hash of ``key``, as zstd Arrow streams that shuffle small.
 
@@ -95,28 +108,22 @@ def packed_blocks(df: DataFrame, n_blocks: int, *key: str, flush_bytes: int = 32
     again; with the text in the key, many rows of one id lie in many blocks.
     """
 
-    def emit(held):
-        table = pa.Table.from_batches(held).combine_chunks()
-        at = table.column("__block").to_numpy()
-        table = table.drop_columns(["__block"])
-        order = np.argsort(at, kind="stable")
-        starts = np.flatnonzero(np.diff(at[order], prepend=-1))
-        for s, e in zip(starts, [*starts[1:], len(order)], strict=True):
-            payload = to_payload(table.take(pa.array(order[s:e])))
-            yield pa.RecordBatch.from_arrays([pa.array([at[order[s]]], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
-
     def pack(batches):
+        tidy()  # the worker may come from an operator that took more
         held: list[pa.RecordBatch] = []
         size = 0
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 size += b.nbytes
+            del b
             if size >= flush_bytes:
-                yield from emit(held)
-                held, size = [], 0
+                yield from payloads(held)
+                size = 0
+                tidy()
         if held:
-            yield from emit(held)
+            yield from payloads(held)
+        tidy()
 
     small_batches(df)
     keyed = df.withColumn("__block", F.pmod(F.xxhash64(*key), F.lit(n_blocks)))

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -941,6 +942,18 @@ def test_long_texts(spark):
     assert {r.doc_id: r.fingerprint for r in RUNS["winnowing"](d).collect()} == {i: " ".join(f"{p}:{h & (1 << 64) - 1:x}" for h, p in winnowed(x)) for i, x in text.items()}
 
 
+def test_packing_holds_rows_once():
+    texts = [f"{i} " + "x" * 1000 for i in range(3000)]
+    held = [pa.RecordBatch.from_arrays([pa.array([t]), pa.array([i % 4], pa.int64())], names=["text", "__block"]) for i, t in enumerate(texts)]
+    before, size = pa.total_allocated_bytes(), sum(b.nbytes for b in held)
+    rows = shared.payloads(held)
+    first = next(rows)
+    # the rows in one piece, and no more of those that came in
+    assert not held and pa.total_allocated_bytes() - before < size / 2
+    got = {b.column(0)[0].as_py(): shared.from_payload(b.column(1)[0].as_py()).column("text").to_pylist() for b in [first, *rows]}
+    assert got == {k: texts[k::4] for k in range(4)}
+
+
 def test_blocks_hold_what_was_put_in(docs):
     blocks = shared.packed_blocks(docs.select("doc_id", "text"), 5, "doc_id", "text", flush_bytes=1 << 10)
     assert blocks.count() > 10
