@@ -403,17 +403,22 @@ def _met_minimizers(tables: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]
     return pa.table({"v": distinct, "twice": times > 1}), [where[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def minimizers_of(strings: pa.Array) -> np.ndarray:
-    """The least k-gram hash of each string, which is the minimizer of all its windows."""
+def minimizers_of(strings: pa.Array, length: int | None = None) -> np.ndarray:
+    """The minimizer of all windows of each stretch: they share one, so that of the first window, whatever the stretch's size. Without ``length``, windows are of the shortest string's."""
     ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    if not len(strings):
-        return np.zeros(0, np.uint64)
-    h = kgram_hashes(np.frombuffer(strings.buffers()[2], np.uint8)[ends[0] : ends[-1]])
-    start = ends[:-1] - ends[0]
-    inner = np.empty(2 * len(start), np.int64)
-    inner[::2], inner[1::2] = start, start + np.diff(ends) - K + 1
-    inner = np.minimum(inner, len(h))
-    return np.minimum.reduceat(np.append(h, ~np.uint64(0)), inner)[::2]
+    out = np.empty(len(strings), np.uint64)
+    if not len(out):
+        return out
+    length = length or int(np.diff(ends).min())
+    body = np.frombuffer(strings.buffers()[2], np.uint8)
+    windows = np.ndarray((int(ends[-1]) - length + 1, length), np.uint8, body, 0, (1, 1))
+    step = PIECE // (2 * length)  # a piece at a time, so that what it needs stays in the processor's cache
+    for at in range(0, len(out), step):
+        start = ends[at : min(at + step, len(out))]
+        first = np.zeros(len(start) * length + K - 1, np.uint8)
+        first[: len(start) * length].reshape(-1, length)[:] = windows[start]
+        out[at : at + step] = kgram_hashes(first).reshape(-1, length)[:, : length - K + 1].min(1)
+    return out
 
 
 def _met_stretches(tables: list[pa.Table]) -> tuple[pa.Table, list[np.ndarray]]:
@@ -439,7 +444,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         """Of each stretch, the places from which another document is the smallest that holds the bytes there."""
         strings, weight = flat_column(items, "s"), items.column("d").to_numpy()
         # stretches that share bytes have one minimizer: one that is alone with its own shares none, and its document is the smallest throughout
-        _, which, times = np.unique(minimizers_of(strings), return_inverse=True, return_counts=True)
+        _, which, times = np.unique(minimizers_of(strings, length), return_inverse=True, return_counts=True)
         alone = times[which] == 1
         indexed = strings.filter(pa.array(~alone))
         first, found = RunIndex(indexed, length, weight[~alone]).stream(indexed) if len(indexed) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -455,7 +460,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"at": lists(np.zeros(singles, np.int32), (at - first[whose]).astype(np.int32)), "d": lists(weight[alone], found[at])})
 
     by_value = Meeting(n, lambda items: items.column("v").to_numpy(), _met_minimizers, lambda items: pa.table({"shared": items.column("twice")}), _pack_minimizers, _unpack_minimizers, radix)
-    by_stretch = Meeting(n, lambda items: minimizers_of(flat_column(items, "s")), _met_stretches, answer, radix=radix)
+    by_stretch = Meeting(n, lambda items: minimizers_of(flat_column(items, "s"), length), _met_stretches, answer, radix=radix)
 
     def opened(group: pa.Table):
         rows = unpacked(group)

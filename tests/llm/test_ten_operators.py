@@ -381,6 +381,20 @@ def test_minimizers_are_those_of_the_stretches():
     assert (suffix_dedup.minimizers_of(strings) == s.value).all() and len(s.value) > 20
 
 
+@pytest.mark.parametrize("length", [17, 50, 64])
+def test_minimizers_of_stretches_take_one_window(length):
+    rng = np.random.default_rng(9)
+    texts = [rng.integers(97, 100, n).astype(np.uint8).tobytes() for n in (0, 10, 50, 64, 400, 3000)] * 30
+    s = suffix_dedup.stretches(pa.array(texts, pa.large_binary()), length)
+    strings = suffix_dedup.gathered(s.data, s.first, s.windows + length - 1)
+    assert (suffix_dedup.minimizers_of(strings, length) == s.value).all() and len(strings) > suffix_dedup.PIECE // (2 * length)
+    assert (suffix_dedup.minimizers_of(strings.slice(7, 40), length) == s.value[7:47]).all()
+    # of a stretch, no more than its first window is read
+    cut = suffix_dedup.gathered(s.data, s.first, np.full(len(s.first), length))
+    assert (suffix_dedup.minimizers_of(cut, length) == s.value).all()
+    assert len(suffix_dedup.minimizers_of(strings.slice(0, 0), length)) == 0
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------
 
 
