@@ -44,8 +44,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK_BYTES, _distinct, _split, merged_words
-from .exchange import ASKED, RADIX, REMARKS, Meeting, flat_column, word_key
+from .bpe import BLOCK_BYTES, _split
+from .exchange import ASKED, RADIX, REMARKS, Meeting, flat_column, word_hashes, word_key
 from .shared import ascii_lower, blocks_for, from_payload, packed_blocks, slices, staged, to_payload, unpacked
 
 #: Window, of which the first OVERLAP ids are context only.
@@ -79,6 +79,19 @@ def _encoding(path: str, pattern: str):
 # ---- ids and word counts ---------------------------------------------------------------------------------------------
 
 
+def _coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Code of each word, and the distinct words in an order that they alone decide: by hash, or by bytes if two hashes are equal."""
+    coded = words.dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    hashes = word_hashes(words)
+    order = np.argsort(hashes)
+    if not np.diff(hashes.take(order)).all():
+        order = pc.sort_indices(words).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank.take(codes) if len(codes) else np.zeros(0, np.int64), words.take(pa.array(order))
+
+
 def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, radix: int = RADIX):
     """(documents, stats): per document its ids and base sums; per part the counts of words, ids and pairs of ids.
 
@@ -93,20 +106,20 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
     )
     kind = base.schema["doc_id"].dataType.simpleString()
     n = blocks_for(docs, block_bytes)
-    blocks = packed_blocks(base, n, "doc_id", "text")
+    blocks = staged(packed_blocks(base, n, "doc_id", "text"), "lm-blocks")  # read twice
 
     def words_of(group: pa.Table):
         """(rows of a block, its lists of words, code of each word, table of distinct words and their counts in training)."""
         rows = unpacked(group)
         lists = _split(rows.column("text"))
-        codes, words = _distinct(lists)
+        codes, words = _coded(lists.values)
         trained = np.repeat(~rows.column("held_out").to_numpy(), np.diff(lists.offsets.to_numpy()))
         return rows, lists, codes, pa.table({"w": words, "n": np.bincount(codes[trained], minlength=len(words)).astype(np.int64)})
 
     def merge(tables: list[pa.Table]):
-        words, places = merged_words(tables)
-        count = np.bincount(np.concatenate(places), weights=np.concatenate([t.column("n").to_numpy() for t in tables]), minlength=words.num_rows)
-        return words.append_column("n", pa.array(count.astype(np.int64))), places
+        codes, words = _coded(pa.concat_arrays([c for t in tables for c in t.column("w").chunks]))
+        count = np.bincount(codes, weights=np.concatenate([t.column("n").to_numpy() for t in tables]), minlength=len(words))
+        return pa.table({"w": words, "n": pa.array(count.astype(np.int64))}), np.split(codes, np.cumsum([t.num_rows for t in tables])[:-1])
 
     def answer(items: pa.Table):
         """Ids of each word; and this node's counts, weighted by the words'."""
@@ -146,9 +159,9 @@ def tokenised(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str
         count = np.zeros(0, np.int64) if told is None else told.column("n").to_numpy()
         starts = lists.offsets.to_numpy()
         lens = pc.list_value_length(ids).to_numpy() if len(ids) else np.zeros(0, np.int64)
-        own = np.concatenate([[0], np.cumsum(lens[codes])])[starts]
-        known = np.concatenate([[0], np.cumsum(count[codes] > 0)])[starts]
-        logs = np.concatenate([[0.0], np.cumsum(np.log10(count + 0.1)[codes])])[starts]
+        own = np.concatenate([[0], np.cumsum(lens.take(codes))])[starts]
+        known = np.concatenate([[0], np.cumsum((count > 0).take(codes))])[starts]
+        logs = np.concatenate([[0.0], np.cumsum(np.log10(count + 0.1).take(codes))])[starts]
         out, texts = [], len(starts) - 1
         step = max(1, texts // max(1, int(own[-1] // 2_000_000)))
         for a in range(0, texts, step):
@@ -188,7 +201,11 @@ class Classes:
 
 
 class Members:
-    """Of each class of several rows: the rows, and the log of their share by the embedding row before; ``place``: where a row stands among its class's."""
+    """Of each class of several rows: the rows, and the log of their share by the embedding row before; ``place``: where a row stands among its class's.
+
+    These classes are numbered as they come (``order``; all others share the number
+    after the last), and their rows stand one class after the other in ``all``.
+    """
 
     def __init__(self, c: Classes):
         self.row, self.rows, self.log, self.place = c.row, {}, {}, np.zeros(OWN + CLASSES + 2 * BANDS, np.int64)
@@ -211,18 +228,41 @@ class Members:
                 if rows[-1] < OWN:
                     log[:OWN] = c.pair[:, rows]
             self.rows[int(k)], self.log[int(k)], self.place[rows] = rows, np.ascontiguousarray(log), np.arange(len(rows))
+        self.order = np.full(CLASSES, len(self.rows), np.int8)
+        self.order[list(self.rows)] = np.arange(len(self.rows))
+        self.width = np.array([*map(len, self.rows.values()), 0], np.int64)
+        self.all = np.concatenate([np.zeros(0, np.int64), *self.rows.values()])
+        self.spans = [slice(e - n, e) for n, e in zip(self.width.tolist(), np.cumsum(self.width).tolist(), strict=True)]
 
     def groups(self, y: np.ndarray):
-        """Places of y by class, and (class, run of these places) for the classes of several rows."""
-        order = np.argsort(y.astype(np.int8), kind="stable")
-        cut = np.concatenate([[0], np.cumsum(np.bincount(y, minlength=CLASSES))]).tolist()
-        return order, [(k, slice(cut[k], cut[k + 1])) for k in self.rows if cut[k + 1] > cut[k]]
-
-    def odds(self, k: int, h: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """What each row of class k, whose scores are u, stands for after states h and embedding rows x, before it is made to sum to one."""
-        z = h @ u.T
-        z += self.log[k] if k < BEGIN else np.take(self.log[k], x, axis=0)
-        return np.exp(z, out=z)
+        """Places of y by class, those of the classes of several rows first, with their number; and (class, run of these places, its span in ``all``)."""
+        key = self.order.take(y)
+        n = np.bincount(key, minlength=len(self.spans)).tolist()
+        runs, at = [], 0
+        for k, size, span in zip(self.rows, n, self.spans, strict=False):
+            if size:
+                runs.append((k, slice(at, at + size), span))
+                at += size
+        return key.argsort(kind="stable"), at, runs
+
+    def odds(self, groups, h: np.ndarray, x: np.ndarray, u: np.ndarray):
+        """What each row of the class stands for after states h and embedding rows x, before it is made to sum to one; all in a row,
+        and as one matrix a run of ``groups``. ``u``: the scores of ``all``."""
+        size = sum((i.stop - i.start) * (n.stop - n.start) for _, i, n in groups)
+        z, log, parts, at = np.empty(size, h.dtype), np.empty(size, np.float32), [], 0
+        for k, i, n in groups:
+            shape = i.stop - i.start, n.stop - n.start
+            end = at + shape[0] * shape[1]
+            part, to = z[at:end].reshape(shape), log[at:end].reshape(shape)
+            np.matmul(h[i], u[n].T, out=part)
+            if k < BEGIN:
+                to[:] = self.log[k]
+            else:
+                self.log[k].take(x[i], 0, to, "clip")
+            parts.append(part)
+            at = end
+        z += log
+        return np.exp(z, out=z), parts
 
 
 def _k_means(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
@@ -327,33 +367,54 @@ def new_weights(start: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     return w
 
 
+#: Places whose odds of classes are held at once, so that they stay near the processor; and where each one's start.
+RUN = 1024
+FIRST = np.arange(RUN) * CLASSES
+
 CENTRE = np.eye(WIDTH, dtype=np.float32) - np.float32(1 / WIDTH)
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each row of a with that of b; [n, 1]."""
+    return (a * b) @ np.ones((a.shape[1], 1), a.dtype)
+
+
+def _turned(m: np.ndarray) -> np.ndarray:
+    """Each window's matrix the other way round, laid out anew: products of small matrices are slow with one that is not."""
+    return np.ascontiguousarray(m.transpose(0, 2, 1))
+
+
 def normalised(h: np.ndarray):
-    """(n, over): rows less their mean, over their spread; and one over the spread."""
-    n = h @ CENTRE.astype(h.dtype)
-    over = 1 / np.sqrt(np.einsum("nd,nd->n", n, n) / WIDTH + h.dtype.type(1e-5))
-    n *= over[:, None]
+    """(n, over): columns less their mean, over their spread; and one over the spread."""
+    n = CENTRE.astype(h.dtype, copy=False) @ h
+    over = (n * n).sum(0)
+    over /= WIDTH
+    over += h.dtype.type(1e-5)
+    np.sqrt(over, out=over)
+    np.divide(1, over, out=over)
+    n *= over
     return n, over
 
 
 def feed_forward(w: dict, h: np.ndarray):
-    """(h plus what the layer makes of h, what its backward step needs)."""
+    """(h plus what the layer makes of h, what its backward step needs). Inside, a place is a column: rows of WIDTH are short for numpy's loops."""
+    h = np.ascontiguousarray(h.T)
     n, over = normalised(h)
-    f = n @ w["ff_in"]
-    f += w["ff_bias"]
+    f = w["ff_in"].T @ n
+    f += w["ff_bias"][:, None]
     np.maximum(f, 0, out=f)
-    return h + f @ w["ff_out"], (n, over, f)
+    h += w["ff_out"].T @ f
+    return np.ascontiguousarray(h.T), (n, over, f)
 
 
 def attend(qkv: np.ndarray):
     """(a, s, over): what each place of the windows [B, T, 3 WIDTH] draws from places up to itself; masked weights, and one over their sums."""
     t = qkv.shape[1]
-    s = qkv[:, :, :WIDTH] @ qkv[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    s = qkv[:, :, :WIDTH] @ _turned(qkv[:, :, WIDTH : 2 * WIDTH])
     s += MASK[:t, :t]
     np.exp(s, out=s)  # scores are small: no shift is needed, masked ones vanish
-    over = 1 / (s @ np.ones((t, 1), s.dtype))
+    over = (s.reshape(-1, t) @ np.ones(t, s.dtype)).reshape(-1, t, 1)
+    np.divide(1, over, out=over)
     a = s @ qkv[:, :, 2 * WIDTH :]
     a *= over
     return a, s, over
@@ -361,74 +422,99 @@ def attend(qkv: np.ndarray):
 
 def backward(w: dict, x: np.ndarray, y: np.ndarray, live: np.ndarray, members: Members | None = None, row: np.ndarray | None = None):
     """Mean loss over live places of windows x of embedding rows [B, T], whose next ids are of classes y and rows ``row`` of ``members``
-    (left out: of the classes alone), and gradients of all but the counted class transitions (``bias``), which stay as they are."""
+    (left out: of the classes alone), and gradients of all but the counted class transitions (``bias``), which stay as they are.
+
+    Behind the attention, places stand by class. Odds within classes are not made to sum
+    to one: their sums go into the rows of states, which are narrower.
+    """
     (b, t), n = x.shape, max(1.0, float(live.sum()))
     whole = lambda m: m.reshape(b, t, -1)
     flat = lambda m: m.reshape(b * t, -1)
-    rows = x.ravel().astype(np.intp)
-    e = np.take(w["emb"], rows, axis=0)
-    e = flat(whole(e) + w["pos"][:t])
+    rows, kind = x.ravel().astype(np.intp), y.ravel()
+    e = whole(w["emb"].take(rows, 0))
+    e += w["pos"][:t]
+    e = flat(e)
     qkv = whole(e @ w["qkv"])
     a, s, over = attend(qkv)
     mid = flat(a) @ w["out"]
     mid += e
-    h, (norm, spread, f) = feed_forward(w, mid)
-    z = h @ w["cls"]
-    z += np.take(w["bias"], rows, axis=0)
-    weight = (live.ravel() / n).astype(z.dtype)
-    want, every = np.arange(b * t) * z.shape[1] + y.ravel(), z.reshape(-1)
-    said = every[want]
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    loss = float(((np.log(total) - said) * weight).sum())
-    z *= (weight / total)[:, None]
-    every[want] -= weight  # now the gradient
-    g = {"cls": h.T @ z, "ids": np.zeros_like(w["ids"])}
-    dh = z @ w["cls"].T
+    weight = (live.ravel() / n).astype(mid.dtype)
+    after = rows
     if members is not None:
-        order, groups = members.groups(y.ravel())
-        hs, xs, target, share = h[order], rows[order], members.place[row.ravel()[order]], weight[order]
-        ds = np.zeros_like(hs)
-        for k, i in groups:
-            u = w["ids"][members.rows[k]]
-            q = members.odds(k, hs[i], xs[i], u)
-            over_all = 1 / (q @ np.ones(q.shape[1], q.dtype))
-            said, every = np.arange(len(q)) * q.shape[1] + target[i], q.reshape(-1)
-            loss -= float((np.log(every[said] * over_all) * share[i]).sum())
-            q *= (share[i] * over_all)[:, None]
-            every[said] -= share[i]
-            g["ids"][members.rows[k]] = q.T @ hs[i]
-            np.matmul(q, u, out=ds[i])
-        dh[order] += ds
-    g["ff_out"] = f.T @ dh
-    df = dh @ w["ff_out"].T
+        order, several, groups = members.groups(kind)
+        mid, after, kind, weight = mid.take(order, 0), rows.take(order), kind.take(order), weight.take(order)
+    h, (norm, spread, f) = feed_forward(w, mid)
+    loss, g, dh = 0.0, {"cls": np.zeros_like(w["cls"]), "ids": np.zeros_like(w["ids"])}, np.empty_like(h)
+    back_to, ones = np.ascontiguousarray(w["cls"].T), np.ones(CLASSES, h.dtype)
+    for i in (slice(at, min(at + RUN, len(h))) for at in range(0, len(h), RUN)):
+        z = h[i] @ w["cls"]
+        z += w["bias"].take(after[i], 0)
+        want = kind[i] + FIRST[: len(z)]
+        said = z.take(want)
+        np.exp(z, out=z)
+        total = z @ ones
+        loss += float((np.log(total) - said) @ weight[i])
+        z *= (weight[i] / total)[:, None]
+        z.reshape(-1)[want] -= weight[i]  # now the gradient
+        g["cls"] += h[i].T @ z
+        np.matmul(z, back_to, out=dh[i])
+    if members is not None and several:
+        u = w["ids"].take(members.all, 0)
+        q, parts = members.odds(groups, h, after, u)
+        width = members.width.take(members.order.take(kind[:several]))
+        want = np.cumsum(width)
+        want += members.place.take(row.ravel().take(order[:several])) - width
+        total = np.empty(several, q.dtype)
+        ones = np.ones(max(members.width), q.dtype)
+        for (_, i, _), part in zip(groups, parts, strict=True):
+            np.matmul(part, ones[: part.shape[1]], out=total[i])
+        loss -= float((np.log(q.take(want) / total) * weight[:several]).sum())
+        q[want] -= total
+        share = (weight[:several] / total)[:, None]
+        hs, du, ds = h[:several] * share, np.zeros_like(u), np.empty_like(h[:several])
+        for (_, i, m), part in zip(groups, parts, strict=True):
+            np.matmul(part.T, hs[i], out=du[m])
+            np.matmul(part, u[m], out=ds[i])
+        g["ids"][members.all] = du
+        ds *= share
+        dh[:several] += ds
+    dh = np.ascontiguousarray(dh.T)
+    g["ff_out"] = f @ dh.T
+    df = w["ff_out"] @ dh
     df *= f > 0
-    g["ff_bias"], g["ff_in"] = df.sum(0), norm.T @ df
-    dn = df @ w["ff_in"].T
-    dn -= norm * (np.einsum("nd,nd->n", dn, norm) / WIDTH)[:, None]
-    dn *= spread[:, None]
-    dh += dn @ CENTRE.astype(dn.dtype)
+    g["ff_bias"], g["ff_in"] = df.sum(1), norm @ df.T
+    dn = w["ff_in"] @ df
+    along = (dn * norm).sum(0)
+    along /= WIDTH
+    dn -= norm * along
+    dn *= spread
+    dh += CENTRE.astype(dn.dtype, copy=False) @ dn
+    dh = np.ascontiguousarray(dh.T)
+    if members is not None:
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        dh = dh.take(back, 0)
     g["out"] = flat(a).T @ dh
-    da = whole(dh @ w["out"].T)
-    s *= over
+    da = dh @ w["out"].T
+    da *= flat(over)
+    along = whole(_dots(da, flat(a)))
+    da = whole(da)
     dqkv = np.empty_like(qkv)
-    dqkv[:, :, 2 * WIDTH :] = s.transpose(0, 2, 1) @ da
-    ds = da @ qkv[:, :, 2 * WIDTH :].transpose(0, 2, 1)
-    ds -= np.einsum("btd,btd->bt", da, a)[:, :, None]
+    np.matmul(s.transpose(0, 2, 1), da, out=dqkv[:, :, 2 * WIDTH :])
+    ds = da @ _turned(qkv[:, :, 2 * WIDTH :])
+    ds -= along
     ds *= s
-    dqkv[:, :, :WIDTH] = ds @ qkv[:, :, WIDTH : 2 * WIDTH]
-    dqkv[:, :, WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ qkv[:, :, :WIDTH]
+    np.matmul(ds, qkv[:, :, WIDTH : 2 * WIDTH], out=dqkv[:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), qkv[:, :, :WIDTH], out=dqkv[:, :, WIDTH : 2 * WIDTH])
     dqkv = flat(dqkv)
     g["qkv"] = e.T @ dqkv
     de = dqkv @ w["qkv"].T
     de += dh
     g["pos"] = np.zeros_like(w["pos"])
-    g["pos"][:t] = whole(de).sum(0)
-    order = np.argsort(rows.astype(np.int16), kind="stable")
-    rows = rows[order]
-    starts = np.flatnonzero(np.diff(rows, prepend=-1))
-    g["emb"] = np.zeros_like(w["emb"])
-    g["emb"][rows[starts]] = np.add.reduceat(de[order], starts)
+    g["pos"][:t] = (np.ones(b, de.dtype) @ de.reshape(b, -1)).reshape(t, -1)
+    g["emb"] = np.empty_like(w["emb"])
+    for i, part in enumerate(np.ascontiguousarray(de.T)):
+        g["emb"][:, i] = np.bincount(rows, part, len(w["emb"]))
     return loss, g
 
 
@@ -439,22 +525,22 @@ class Scorer:
         self.w = w
         self.qkv, self.qkv_at = w["emb"] @ w["qkv"], w["pos"] @ w["qkv"]
 
-    def states(self, x: np.ndarray) -> np.ndarray:
-        """The block's output at each place of windows x of embedding rows [B, T]; [B T, WIDTH]."""
+    def states(self, x: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The block's output at each place of windows x of embedding rows [B, T], or at those ``wanted`` of them all; [places, WIDTH]."""
         t, w = x.shape[1], self.w
-        qkv = np.take(self.qkv, x, axis=0)
+        qkv = self.qkv.take(x, 0)
         qkv += self.qkv_at[:t]
         a, _, _ = attend(qkv)
-        e = np.take(w["emb"], x, axis=0)
+        e = w["emb"].take(x, 0)
         e += w["pos"][:t]
         e = e.reshape(-1, WIDTH)
         e += a.reshape(-1, WIDTH) @ w["out"]
-        return feed_forward(w, e)[0]
+        return feed_forward(w, e if wanted is None else e.take(wanted, 0))[0]
 
     def logits(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Class scores after embedding rows x and states h, before they are made to sum to one."""
-        z = np.take(self.w["bias"], x, axis=0)
-        z += h @ self.w["cls"]
+        z = h @ self.w["cls"]
+        z += self.w["bias"].take(x, 0)
         return z
 
 
@@ -462,23 +548,33 @@ class Descent:
     """Adam over windows as they come, each once, in a seeded order within what comes together."""
 
     def __init__(self, w: dict, rate: float, members: Members, batch: int = BATCH):
-        self.w = {k: v.copy() for k, v in w.items()}
-        self.m, self.u = ({k: np.zeros_like(v) for k, v in w.items() if k != "bias"} for _ in range(2))
+        # all weights that move in one vector, of which those by name are parts
+        self.moving = [k for k in w if k != "bias"]
+        self.flat = np.concatenate([w[k].ravel() for k in self.moving])
+        cut = np.cumsum([w[k].size for k in self.moving])[:-1]
+        self.w = {**w, **{k: v.reshape(w[k].shape) for k, v in zip(self.moving, np.split(self.flat, cut), strict=True)}}
+        self.m, self.u = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.rate, self.members, self.batch, self.t, self.seen = rate, members, batch, 0, 0
 
     def feed(self, x: np.ndarray, y: np.ndarray, row: np.ndarray, live: np.ndarray) -> None:
         order = np.random.default_rng(len(x)).permutation(len(x))
+        x, y, row, live = (m.take(order, 0) for m in (x, y, row, live))
         for at in range(0, len(x), self.batch):
-            i = order[at : at + self.batch]
+            i = slice(at, at + self.batch)
             _, g = backward(self.w, x[i], y[i], live[i].astype(np.float32), self.members, row[i])
+            g = np.concatenate([g[k].ravel() for k in self.moving])
             self.t += 1
-            self.seen += len(i)
+            self.seen += len(x[i])
             step = self.rate / (1 - 0.9**self.t)
             damp = np.float32(1 / (1 - 0.98**self.t))
-            for k in g:
-                self.m[k] += np.float32(0.1) * (g[k] - self.m[k])
-                self.u[k] += np.float32(0.02) * (g[k] ** 2 - self.u[k])
-                self.w[k] -= np.float32(step) * self.m[k] / (np.sqrt(self.u[k] * damp) + np.float32(1e-6))
+            self.m += np.float32(0.1) * (g - self.m)
+            g *= g
+            g -= self.u
+            g *= np.float32(0.02)
+            self.u += g
+            np.sqrt(np.multiply(self.u, damp, out=g), out=g)
+            g += np.float32(1e-6)
+            self.flat -= np.divide(np.float32(step) * self.m, g, out=g)
 
 
 def windows_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -547,7 +643,7 @@ def train(documents: DataFrame, classes: Classes, end_id: int, rounds: int = ROU
             for b in (part for batch in batches for part in slices(batch, 0, IDS_BYTES)):
                 flat, at = _laid_out(b.column(0))
                 before, target, live = tiles(flat, at, end_id)
-                descent.feed(slot[before], of[target], row[target], live)
+                descent.feed(slot.take(before), of.take(target), row.take(target), live)
             if descent.seen:
                 yield pa.RecordBatch.from_arrays([pa.array([(pack(descent.w).astype(np.float64) * descent.seen).tobytes()], pa.binary()), pa.array([float(descent.seen)])], names=["w", "n"])
 
@@ -573,46 +669,48 @@ def score_ids(flat: np.ndarray, at: np.ndarray, scorer: Scorer, c: Classes, end_
     """log10 probability of each document's ids."""
     if len(flat) == 0:
         return np.zeros(len(at) - 1)
-    members, u = members or Members(c), scorer.w["ids"]
+    members = members or Members(c)
     low, flat = at[0], flat[at[0] : at[-1]]
     at = at - low
     # what doesn't depend on the window, once for each id
     before = np.empty_like(flat)
     before[1:] = flat[:-1]
     before[at[:-1][np.diff(at) > 0]] = end_id
-    x, own, row = c.slot[before], c.of[flat], c.slot[flat]
+    x, own, row = c.slot.take(before), c.of.take(flat), c.slot.take(flat)
     exact = (own >= BEGIN) & (x < OWN) & (row < OWN)
-    p = np.empty(len(flat), np.float32)
-    p[exact] = c.pair[x[exact], row[exact]]
-    rest = ~exact
-    p[rest] = c.within[np.where(own[rest] < BEGIN, CLASSES, c.of[before[rest]]), flat[rest]]
+    p, rest, exact = np.empty(len(flat), np.float32), np.flatnonzero(~exact), np.flatnonzero(exact)
+    p[exact] = c.pair.reshape(-1).take(x.take(exact) * OWN + row.take(exact))
+    p[rest] = c.within.reshape(-1).take(np.where(own.take(rest) < BEGIN, CLASSES, c.of.take(before.take(rest))) * c.within.shape[1] + flat.take(rest))
     doc, first = windows_of(np.diff(at))
     start = at[:-1][doc] + np.maximum(0, first - OVERLAP)
     first = at[:-1][doc] + first
     end = at[1:][doc]
     ones = np.ones(CLASSES, np.float32)
     state = np.empty((len(flat), WIDTH), np.float32)
+    done = 0
     for i in range(0, len(doc), batch):
         j = slice(i, i + batch)
         place = start[j, None] + np.arange(WINDOW)
-        scored = ((place >= first[j, None]) & (place < end[j, None])).ravel()
+        scored = np.flatnonzero((place >= first[j, None]) & (place < end[j, None]))
         np.minimum(place, len(flat) - 1, out=place)  # beyond a text's end nothing is scored, and nothing before sees it
-        h = scorer.states(x[place])[scored]
-        place = place.ravel()[scored]
-        z = scorer.logits(x[place], h)
-        got = z[np.arange(len(place)), own[place]]
-        np.exp(z, out=z)
-        got -= np.log(z @ ones)
-        p[place] += got
+        h = scorer.states(x.take(place), scored)
+        place = slice(done, done := done + len(scored))  # windows score the ids in their order
         state[place] = h
-    order, groups = members.groups(own)
-    row = c.row[flat]
-    for k, i in groups:
-        uk = u[members.rows[k]]
+        for r in range(0, len(h), RUN):
+            some = slice(place.start + r, min(place.start + r + RUN, done))
+            z = scorer.logits(x[some], h[r : r + RUN])
+            got = z.take(FIRST[: len(z)] + own[some])
+            np.exp(z, out=z)
+            got -= np.log(z @ ones)
+            p[some] += got
+    order, _, groups = members.groups(own)
+    row, u = c.row.take(flat), scorer.w["ids"]
+    among = u.take(members.all, 0)
+    for k, i, n in groups:
         for part in (order[s : min(s + 2048, i.stop)] for s in range(i.start, i.stop, 2048)):
-            h = state[part]
-            q = members.odds(k, h, x[part], uk)
-            p[part] += np.einsum("nd,nd->n", h, np.take(u, row[part], axis=0)) - np.log(q @ np.ones(q.shape[1], q.dtype))
+            h = state.take(part, 0)
+            q = members.odds([(k, slice(0, len(part)), n)], h, x.take(part), among)[1][0]
+            p[part] += _dots(h, u.take(row.take(part), 0))[:, 0] - np.log(q @ np.ones(q.shape[1], q.dtype))
     sums = np.concatenate([[0.0], np.cumsum(p, dtype=np.float64)])
     return (sums[at[1:]] - sums[at[:-1]]) / np.log(10)
 

@@ -116,6 +116,30 @@ def test_lm_scoring(docs):
         assert np.frombuffer(r.ids, "<u2").tolist() == [i for w in text[r.doc_id] for i in encode(" " + w)] + [50256]
 
 
+def test_lm_texts_are_packed_once(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    d = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "text")
+    out, _ = lm_scoring.tokenised(d.mapInArrow(counted, d.schema), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, 50256, "doc_id", "text")
+    assert seen.value == d.count() == out.count()
+
+
+def test_lm_words_stand_in_one_order_whatever_their_hashes(monkeypatch):
+    one, other = pa.array(["b", "a", "c", "b", "é"], pa.large_string()), pa.array(["é", "c", "b", "a"], pa.large_string())
+    for hashes in (lm_scoring.word_hashes, lambda w: np.zeros(len(w), np.uint64)):
+        monkeypatch.setattr(lm_scoring, "word_hashes", hashes)
+        codes, words = lm_scoring._coded(one)
+        assert words.take(pa.array(codes)) == one and len(words) == 4
+        assert lm_scoring._coded(other)[1] == words
+    assert words.to_pylist() == ["a", "b", "c", "é"]  # equal hashes: by bytes
+
+
 def test_windows_score_each_id_once():
     for n in (1, 31, 32, 33, 58, 59, 500):
         doc, first = lm_scoring.windows_of(np.array([n]))
